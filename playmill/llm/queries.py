@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playmill.llm import packing, pieces, quality, sharding, toxicity
+from playmill.llm import lines, near, packing, pieces, quality, sharding, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occur earlier, and what was removed."""
+    cut = lines.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", "removed", F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long").alias("removed_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with the spans that made it."""
     docs = _table(spark, sf_dir, "documents")
@@ -35,6 +41,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "spans")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -54,7 +65,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
