@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playmill.llm import lines, near, packing, pieces, quality, sharding, toxicity
+from playmill.llm import lines, near, onebit, packing, pieces, quality, sharding, toxicity, urls, voronoi
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,12 +28,31 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every 50th vector."""
+    return voronoi.voronoi_top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that occur earlier, and what was removed."""
     cut = lines.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "removed", F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"]).cast("long").alias("removed_chars"))
 
 
+def op4_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours found for every 100th vector."""
+    return onebit.one_bit_neighbours(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with the spans that made it."""
     docs = _table(spark, sf_dir, "documents")
@@ -65,7 +84,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_voronoi_top_k": op2_voronoi_top_k,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_one_bit_codes": op4_one_bit_codes,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
