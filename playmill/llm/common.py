@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,6 +73,14 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def per_worker(key, make: Callable[[], object]):
+    """An object that lives as long as the Python worker, so tasks that follow one another share it."""
+    store = sys.modules.setdefault("_playmill_worker", types.ModuleType("_playmill_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class Remembered:
     """A bounded two-generation cache: at most twice ``limit`` entries; what was used lately survives."""
 

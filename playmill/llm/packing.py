@@ -13,6 +13,7 @@ gives no pieces; very long texts are tokenised whole and give many full pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playmill.llm.common import Remembered, arrow_map, global_rank, materialize
+from playmill.llm.common import Remembered, arrow_map, global_rank, materialize, per_worker
 
 
 @dataclass
@@ -129,6 +130,55 @@ def rank_ranges(demand: dict[int, int], patterns: list[Pattern], first: int) ->
     return out
 
 
+class WordIds:
+    """Ids of words without white space, as little-endian bytes; remembers words and the parts they are made of.
+
+    The vocabulary's pre-tokens encode on their own.  Words of plain letters, digits and marks are cut into them here;
+    any other word is handed to the tokenizer whole.
+    """
+
+    #: ASCII without white space, and the letters of Latin-1 with the two signs among them; all in composed form.
+    PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+    #: The pre-tokens: contractions, letters, single digits, other marks.
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, tokenizer_file: str, slice_of: int = 4000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.slice_of = Tokenizer.from_file(tokenizer_file), slice_of
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        self.words, self.parts = Remembered(), Remembered()
+
+    def of(self, found: set[str]) -> dict[str, bytes]:
+        """A dict with the ids of every word of ``found``."""
+        return self.words.fill(found, self._new_words)
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        cut = [[w.lower()] if w.isascii() and w.isalpha() else self.PARTS.findall(w.lower()) if self.PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        known = self.parts.fill({p for ps in cut if ps for p in ps}, self._new_parts)
+        return [(known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) if ps else self._ids(w) for w, ps in zip(words, cut)]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _new_parts(self, parts: list[str]) -> list[bytes]:
+        """Parts are encoded side by side; each ends with a token that ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), self.slice_of):
+            some = parts[at : at + self.slice_of]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some):
+                out += map(self._ids, some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
     """Per document: doc_tokens and the pieces (start, length, ids_crc32) that ``capacity`` cuts its ids into.
 
@@ -137,21 +187,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capac
     """
 
     def make():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        words, white = Remembered(), re.compile(r"\s+")
+        words = per_worker(("word ids", tokenizer_file), lambda: WordIds(tokenizer_file))
+        white = re.compile(r"\s+")
         end = np.array([end_id], dtype="<u4").tobytes()
 
-        def new(found: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(found, add_special_tokens=False)]
-
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             split = [t.split() if t.isascii() else white.split(t) for t in (x or "" for x in batch.column(1).to_pylist())]
-            known = words.fill({w for ws in split for w in ws}, new)
+            known = words.of({w for ws in split for w in ws}).__getitem__
             lengths, pieces = [], []
             for ws in split:
-                raw = b"".join([known[w] for w in ws]) + end
+                raw = b"".join(map(known, ws)) + end
                 lengths.append(len(raw) // 4)
                 pieces.append([{"start": at // 4, "length": min(capacity, (len(raw) - at) // 4), "ids_crc32": zlib.crc32(raw[at : at + 4 * capacity])} for at in range(0, len(raw), 4 * capacity)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
