@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmill.llm.common import Remembered, arrow_map
+from playmill.llm.common import Remembered, arrow_map, per_worker
 
 SPACE = "▁"
 
@@ -139,7 +139,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """Per row: id_col, n_tokens, ids (array, if asked for), decoded, ids_sha256 and decoded_sha256."""
 
     def make():
-        codec = PieceCodec(model_file, verify)
+        codec = per_worker(("pieces", model_file, verify), lambda: PieceCodec(model_file, verify))
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = codec.encode_batch(batch.column(1).to_pylist())
