@@ -2,11 +2,15 @@
 
 Texts become sets of hashed word shingles.  One pass makes each set's digest, MinHash bands and odd sketch (a bitmap in
 which every MinHash sample flips one bit).  Equal sets collapse into classes first.  Classes that share a band meet in
-a bucket; a bucket is worked off by stars: one of its classes is tried against all others, those it links with need no
-further trial, and the next star follows among what is left in different components.  Once the pairs left in all
-buckets are fewer than ``pairs_per_class`` for each class they are tried one by one, so every pair that shares a band
-is either tried, or already known to be in one component.  The odd sketches drop pairs whose estimate is far below the
-threshold (over six standard deviations); the others are confirmed on the full sets.
+a bucket, and two steps find all links that the components need:
+
+1. Stars.  Every class of a bucket is tried against the bucket's smallest class.  Odd sketches drop pairs whose
+   estimate is far below the threshold (six standard deviations); the others are confirmed on the full sets.
+2. Blocks.  Where a bucket still holds several components, its classes outside the bucket's largest component are
+   attached to that component.  Each attached class is then tried on full sets against all members of the component
+   and all other classes attached to it, block by block, so every pair that shares a band is tried unless it is
+   already in one component.  Blocks are cut by the number of shingles; rows are copied once for each block, not for
+   each pair, and a block returns at most one link for each class it joins.
 
 The chance that a pair at the threshold shares none of the ``bands`` bands of ``rows`` rows is
 (1 - 0.8 ** 5) ** 40 = 1e-7.
@@ -35,14 +39,14 @@ WORDS_64 = 8
 
 @dataclass(frozen=True)
 class NearSettings:
-    """Shingle width, threshold (percent), banding and how many left-over pairs are tried one by one."""
+    """Shingle width, threshold (percent), banding, least sketch estimate worth a trial, and shingles in a block."""
 
     width: int = 2
     percent: int = 80
     bands: int = 40
     rows: int = 5
     doubt: float = 0.5
-    pairs_per_class: int = 8
+    block: int = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,59 +203,111 @@ def components(edges: DataFrame) -> DataFrame:
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def solve_block(table: pa.Table, percent: int) -> pa.Table:
+    """Links of one block: rows of kind 1 are tried against rows of kind 0, of which ``inside`` ones are connected already.
+
+    An inverted index over the shingles of kind 1 gives the intersections of one set with all of them at once.
+    """
+    kind, node = table.column("kind").to_numpy(), table.column("node").to_numpy()
+    inside, raw = table.column("inside").to_numpy(zero_copy_only=False), table.column("shingles").to_pylist()
+    sets = [np.frombuffer(r, dtype=np.uint64) for r in raw]
+    asked, held = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+    u, v = [], []
+    if len(asked) and len(held):
+        sizes = np.array([len(sets[k]) for k in asked])
+        values, owner = np.concatenate([sets[k] for k in asked]), np.repeat(np.arange(len(asked)), sizes)
+        order = np.argsort(values, kind="stable")
+        owner = owner[order]
+        distinct, begin = np.unique(values[order], return_index=True)
+        count = np.diff(np.append(begin, len(owner)))
+        root = {"inside": "inside"} | {int(node[k]): int(node[k]) for k in range(len(node))}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for k in np.flatnonzero(inside):
+            root[int(node[k])] = "inside"
+        for k in sorted(held, key=lambda k: (not inside[k], node[k])):
+            mine = find(int(node[k]))
+            at = np.searchsorted(distinct, sets[k])
+            at = np.minimum(at, len(distinct) - 1)
+            at = at[distinct[at] == sets[k]]
+            n = count[at]
+            where = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, dtype=np.int64)
+            both = np.bincount(owner[where], minlength=len(asked))
+            for j in np.flatnonzero((both > 0) & (100 * both >= percent * (len(sets[k]) + sizes - both))):
+                other = int(node[asked[j]])
+                if other != node[k] and find(other) != (mine := find(int(node[k]))):
+                    a, b = (find(other), mine) if mine == "inside" else (mine, find(other))
+                    root[a] = b
+                    u.append(max(other, int(node[k])))
+                    v.append(min(other, int(node[k])))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def star_pairs(buckets: DataFrame, sketches: DataFrame, s: NearSettings) -> DataFrame:
+    """(u, v): each class of a bucket with the bucket's smallest, where sizes and odd sketches leave a chance."""
+    centre = buckets.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("c"))
+    pairs = buckets.join(centre, "band").where("node <> c.node")
+    pairs = pairs.where(f"100 * least(n_shingles, c.n_shingles) >= {s.percent} * greatest(n_shingles, c.n_shingles)")
+    pairs = pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
+    pairs = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
+    pairs = pairs.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
+    return pairs.where(_estimate(s.bands * s.rows) >= s.doubt).select("u", "v")
+
+
+def attached(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(home, node): classes of buckets with several components, each with the largest component there but its own.
+
+    Buckets of two have had their only pair tried.
+    """
+    marked = buckets.join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    parts = marked.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = parts.groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"))
+    return marked.join(homes.where("parts > 1 and size > 2"), "band").where("component <> home").select("home", "node").distinct()
+
+
+def block_links(outside: DataFrame, comps: DataFrame, sizes: DataFrame, docs: DataFrame, s: NearSettings) -> DataFrame:
+    """Links of attached classes with their home component and with each other."""
+    homes = outside.select("home").distinct()
+    members = comps.join(homes.withColumnRenamed("home", "component"), "component", "left_semi").select(F.col("component").alias("home"), "node", F.lit(True).alias("inside"))
+    alone = homes.join(comps.select(F.col("component").alias("home")).distinct(), "home", "left_anti").select("home", F.col("home").alias("node"), F.lit(True).alias("inside"))
+    rows = materialize(members.unionByName(alone).unionByName(outside.withColumn("inside", F.lit(False))).join(sizes, "node"), "blocks")
+    parts = lambda c: F.ceil(F.greatest(F.lit(1), F.sum(c)) / F.lit(s.block)).cast("int")
+    cuts = rows.groupBy("home").agg(parts(F.col("n_shingles")).alias("chunks"), parts(F.when(~F.col("inside"), F.col("n_shingles")).otherwise(0)).alias("asked"))
+    dealt = rows.join(cuts, "home")
+    sets = shingle_sets(docs.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), s).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = materialize(dealt.join(sets, "node"), "sets")
+    held = full.select("home", place("chunks").alias("i"), every("asked").alias("j"), F.lit(0).alias("kind"), "node", "inside", "shingles")
+    asked = full.where("not inside").select("home", every("chunks").alias("i"), place("asked").alias("j"), F.lit(1).alias("kind"), "node", "inside", "shingles")
+    percent = s.percent
+    return held.unionByName(asked).groupBy("home", "i", "j").applyInArrow(lambda t: solve_block(t, percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, s: NearSettings = NearSettings()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
     signed = materialize(signatures(docs, s), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     member = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "class_id")
     heads = signed.join(classes, (signed.digest == classes.digest) & (signed.doc_id == classes.class_id), "left_semi").dropDuplicates(["doc_id"])
-    buckets = materialize(
-        _shared(heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), "n_shingles")), "buckets"
-    )
+    buckets = materialize(_shared(heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"), "n_shingles")), "buckets")
     sketches = signed.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    sets = None
-    edges, comps, turn = None, None, 0
-    limit = None
-    while True:
-        left = buckets
-        if comps is not None:
-            marked = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-            left = materialize(marked.join(mixed, "band"), "buckets")
-        else:
-            left = left.withColumn("component", F.col("node"))
-        sizes = left.groupBy("band").count()
-        todo = sizes.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
-        if not todo["pairs"]:
-            break
-        if limit is None:
-            limit = s.pairs_per_class * max(1000, signed.count())
-        last = turn > 0 and todo["pairs"] <= limit
-        if last:
-            a, b = left.alias("a"), left.alias("b")
-            pairs = a.join(b, F.col("a.band") == F.col("b.band")).where("a.node > b.node and a.component <> b.component")
-            pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n_shingles").alias("x"), F.col("b.n_shingles").alias("y"))
-        else:
-            order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("o"), F.col("node").alias("node"), F.col("component").alias("component"), F.col("n_shingles").alias("n"))
-            centre = left.groupBy("band").agg(F.min(order).alias("c"))
-            tried = left.join(centre, "band")
-            pairs = tried.where("component <> c.component").select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v"), F.col("n_shingles").alias("x"), F.col("c.n").alias("y"))
-            buckets = tried.where("node <> c.node").select("band", "node", "n_shingles")
-        pairs = pairs.where(f"100 * least(x, y) >= {s.percent} * greatest(x, y)").select("u", "v").distinct()
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
-        pairs = materialize(pairs.where(_estimate(s.bands * s.rows) >= s.doubt).select("u", "v"), "pairs")
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = materialize(shingle_sets(docs.join(needed, "doc_id", "left_semi"), s).dropDuplicates(["doc_id"]), "sets")
-        found = materialize(confirm(pairs, sets, s), "edges")
-        edges = found if edges is None else edges.unionByName(found)
-        comps = materialize(components(edges), "components")
-        turn += 1
-        if last:
-            break
-        buckets = materialize(_shared(buckets), "buckets")
-    linked = member if comps is None else member.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    linked = linked.select("doc_id", "n_shingles", (F.coalesce("component", "class_id") if comps is not None else F.col("class_id")).alias("component_id"))
+    pairs = materialize(star_pairs(buckets, sketches, s), "pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = materialize(shingle_sets(docs.join(needed, "doc_id", "left_semi"), s).dropDuplicates(["doc_id"]), "sets")
+    edges = materialize(confirm(pairs, sets, s), "edges")
+    comps = materialize(components(edges), "components")
+    outside = materialize(attached(buckets, comps), "attached")
+    if not outside.isEmpty():
+        more = materialize(block_links(outside, comps, buckets.select("node", "n_shingles").distinct(), docs, s), "edges")
+        if not more.isEmpty():
+            comps = materialize(components(edges.unionByName(more)), "components")
+    linked = member.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
