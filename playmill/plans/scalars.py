@@ -31,9 +31,9 @@ def score(plays: DataFrame) -> DataFrame:
  WHEN shot AND kind LIKE '%dunk%' THEN CASE WHEN made OR pts = 2 THEN 'dunk' ELSE 'dunka' END || sfx WHEN shot AND (kind LIKE '%jump shot%') THEN CASE WHEN made OR pts = 2 THEN '2pm' ELSE '2pa' END || sfx
  WHEN shot AND pts = 3 THEN '3pm' || sfx WHEN shot AND pts = 2 THEN '2pm' || sfx WHEN shot AND pts = 1 THEN 'ftm' WHEN shot THEN CASE WHEN d >= 23 THEN '3pa' ELSE '2pa' END || sfx
  WHEN kind LIKE '%free throw%' THEN CASE WHEN made OR pts = 1 THEN 'ftm' ELSE 'ftx' END WHEN kind LIKE '%rebound%' THEN CASE WHEN kind LIKE '%offensive%' THEN 'o_reb' ELSE 'd_reb' END
- WHEN kind LIKE '%foul%' THEN CASE WHEN kind LIKE '%offensive%' THEN 'o_foul' WHEN kind LIKE '%shooting%' THEN 's_foul' ELSE 'p_foul' END WHEN kind LIKE '%timeout%' THEN 'timeout' ELSE 'unknown' END AS code
-FROM (SELECT event_id AS play_id, event_id % 4 AS pts, event_id % 35 AS d, CASE WHEN event_id % 35 > 0 THEN CAST(event_id % 35 AS STRING) ELSE '' END AS sfx, event_id % 2 = 0 AS made, (event_type = 'click' OR k LIKE '%shot%' AND k NOT LIKE '%free%' OR k LIKE '%layup%' OR k LIKE '%dunk%') AS shot, CASE WHEN event_type = 'click' OR k NOT LIKE 'free%' THEN k ELSE k END AS kind
- FROM (SELECT *, ['3pt jump shot', 'driving layup', 'dunk', 'jump shot', 'free throw 1 of 2', 'offensive rebound', 'offensive foul', 'shooting foul', 'timeout', 'hm'][event_id % 10 + 1] AS k FROM events))""".replace("k LIKE '%shot%' AND k NOT LIKE '%free%'", "k LIKE '%shot%'"), "t:events")
+ WHEN kind LIKE '%foul%' THEN CASE WHEN kind LIKE '%offensive%' THEN 'o_foul' WHEN kind LIKE '%shooting%' THEN 's_foul' ELSE 'p_foul' END WHEN kind LIKE '%timeout%' THEN 'timeout' WHEN pts = 1 THEN 'ftm' WHEN pts = 2 THEN '2pm' || sfx WHEN pts = 3 THEN '3pm' || sfx ELSE 'unknown' END AS code
+FROM (SELECT event_id AS play_id, event_id % 4 AS pts, event_id % 35 AS d, CASE WHEN event_id % 35 > 0 THEN CAST(event_id % 35 AS STRING) ELSE '' END AS sfx, event_id % 2 = 0 AS made, (event_type = 'click' OR k LIKE '%shot%' OR k LIKE '%layup%' OR k LIKE '%dunk%') AS shot, k AS kind
+ FROM (SELECT *, ['3pt jump shot', 'driving layup', 'dunk', 'jump shot', 'free throw 1 of 2', 'offensive rebound', 'offensive foul', 'shooting foul', 'timeout', 'hm'][event_id % 10 + 1] AS k FROM events))""", "t:events")
 def structured(events: DataFrame) -> DataFrame:
     """F-S6: event codes of structured plays."""
     kinds = F.array(*[F.lit(k) for k in ("3pt jump shot", "driving layup", "dunk", "jump shot", "free throw 1 of 2", "offensive rebound", "offensive foul", "shooting foul", "timeout", "hm")])
