@@ -26,22 +26,21 @@ from pyspark.sql import functions as F
 
 from playmill.llm.common import arrow_map, materialize
 
-#: A line's sentences; a unit ends at a line end, or behind ., ! or ? where white space follows.
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|$)")
-WHITE = re.compile(r"\s+")
+#: Where a unit ends: behind ., ! or ? if white space follows, or at a line end.
+BREAK = re.compile(r"[.!?]+(?=\s)|\n")
 
 
 def cut_units(text: str) -> list[tuple[int, int, str]]:
     """(start, end, normalised text) of every unit that is not blank."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = UNIT.match(text, at).end()
-        if end == at:
-            at += 1
-            continue
-        if norm := WHITE.sub(" ", text[at:end]).strip().lower():
+    out, at = [], 0
+    for found in BREAK.finditer(text):
+        start, behind = found.span()
+        end = start if text[start] == "\n" else behind
+        if norm := " ".join(text[at:end].split()).lower():
             out.append((at, end, norm))
-        at = end
+        at = behind
+    if norm := " ".join(text[at:].split()).lower():
+        out.append((at, len(text), norm))
     return out
 
 
@@ -70,11 +69,13 @@ def repeated_units(docs: DataFrame, hot_share: int = 10_000) -> DataFrame:
     firsts = materialize(firsts, "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(firsts.where(F.col("n") * hot_share > total).select("digest", F.col("first").alias("hot_first")))
-    cold = firsts.where(F.col("n") * hot_share <= total).select("digest", "first")
-    later = lambda first: F.struct("doc_id", "pos") > F.col(first)
-    near = rows.join(hot, "digest", "inner").where(later("hot_first")).select("doc_id", "pos")
-    far = rows.join(hot, "digest", "left_anti").join(cold, "digest").where(later("first")).select("doc_id", "pos")
-    return near.unionByName(far).groupBy("doc_id").agg(F.collect_set("pos").alias("__repeated"))
+    cold = firsts.where(F.col("n") * hot_share <= total).select(F.col("digest").alias("key"), "first")
+    # units of hot digests have theirs already: a key of their own spreads them over all tasks
+    own = F.concat(F.lit("hot"), F.col("doc_id").cast("string"), F.lit("/"), F.col("pos").cast("string")).cast("binary")
+    keyed = rows.join(hot, "digest", "left").select("doc_id", "pos", "hot_first", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(own).alias("key"))
+    first = F.coalesce("hot_first", "first")
+    later = keyed.join(cold, "key", "left").where(F.struct("doc_id", "pos") > first)
+    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("__repeated"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
