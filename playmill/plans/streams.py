@@ -1 +1,58 @@
-"""Placeholder."""
+"""Stateful validation and event-time windows over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from playmill.functions import clock
+from playmill.plans.registry import query
+from playmill.streaming import validator, windows
+
+
+def _as_runs(plays: DataFrame) -> DataFrame:
+    i = F.col("play_id")
+    return plays.select(F.col("game_id").alias("run_id"), i.alias("seq"), "period", "clock", "away_score", "home_score", "description").select(
+        "run_id", "seq", F.col("period").alias("quarter"), clock.clock_seconds(F.col("clock")).alias("seconds"), F.col("away_score").alias("away"), F.col("home_score").alias("home"), (F.col("seq") % 4).cast("int").alias("points"), "description"
+    )
+
+
+@query("t03_validator", None, "plays")
+def validator_verdicts(plays: DataFrame) -> DataFrame:
+    """Verdicts of the ordered checks, folded per run."""
+    return validator.validate(_as_runs(plays))
+
+
+@query("t10_impossible", "SELECT play_id, coalesce(greatest(away_score - pa, home_score - ph) > 6, FALSE) AS jump, coalesce(period - pp > 3, FALSE) AS quarter_jump, greatest(away_score, home_score) > 300 AS too_high FROM (SELECT *, lag(away_score) OVER w AS pa, lag(home_score) OVER w AS ph, lag(period) OVER w AS pp FROM plays WINDOW w AS (PARTITION BY game_id ORDER BY play_id))", "plays")
+def impossible(plays: DataFrame) -> DataFrame:
+    """Impossibilities against the play before."""
+    w = Window.partitionBy("game_id").orderBy("play_id")
+    rise = F.greatest(F.col("away_score") - F.lag("away_score").over(w), F.col("home_score") - F.lag("home_score").over(w))
+    return plays.select("play_id", F.coalesce(rise > 6, F.lit(False)).alias("jump"), F.coalesce(F.col("period") - F.lag("period").over(w) > 3, F.lit(False)).alias("quarter_jump"), (F.greatest("away_score", "home_score") > 300).alias("too_high"))
+
+
+@query("t16_score_tracker", "SELECT play_id, greatest(away_score - home_score, home_score - away_score) AS margin, max(abs(away_score - home_score)) OVER (PARTITION BY game_id ORDER BY play_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS largest FROM plays", "plays")
+def tracker(plays: DataFrame) -> DataFrame:
+    """The running score state."""
+    margin = F.abs(F.col("away_score") - F.col("home_score"))
+    w = Window.partitionBy("game_id").orderBy("play_id").rowsBetween(Window.unboundedPreceding, 0)
+    return plays.select("play_id", margin.alias("margin"), F.max(margin).over(w).alias("largest"))
+
+
+@query("t19_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", "t:events")
+def tumbling(events: DataFrame) -> DataFrame:
+    """Hourly windows."""
+    out = windows.windowed(events, "ts", "1 hour", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")])
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("t19_sliding", "SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY s", "t:events")
+def sliding(events: DataFrame) -> DataFrame:
+    """Two-hour windows every hour."""
+    return windows.windowed(events, "ts", "2 hours", "1 hour", [], [F.count(F.lit(1)).alias("n")]).select(F.col("window.start").alias("start"), "n")
+
+
+@query("t19_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k", "t:events")
+def sessions(events: DataFrame) -> DataFrame:
+    """Sessions with a gap of two hours."""
+    return windows.sessions(events, "ts", "2 hours", ["user_id"], [F.count(F.lit(1)).alias("n"), F.min("ts").alias("start")]).select("user_id", "start", "n")
