@@ -61,8 +61,10 @@ def latest_file(spark: SparkSession, pattern: str) -> str | None:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, bad: str = "_bad") -> tuple[DataFrame, DataFrame]:
     """(records, lines that are none): the second keeps the text of what could not be read."""
-    df = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return df.where(F.col(bad).isNull()).drop(bad), df.where(F.col(bad).isNotNull()).select(bad)
+    record = F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = spark.read.text(path).withColumn("__r", record)
+    wrong = F.col("__r").isNull() | F.col(f"__r.{bad}").isNotNull()
+    return rows.where(~wrong).select("__r.*").drop(bad), rows.where(wrong).select(F.col("value").alias(bad))
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
