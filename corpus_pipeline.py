@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playmill.llm import lines, near, packing, quality, toxicity
-from playmill.llm.common import materialize
+from playmill.llm.common import materialize, restrict
 from playmill.llm.queries import tokenizer_file
 
 
 def _keep(docs: DataFrame, scored: DataFrame, wanted: int) -> DataFrame:
     """Rows of ``docs`` but those whose doc_id is predicted otherwise than ``wanted``."""
-    return docs.join(scored.where(F.col("predicted") != wanted).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return restrict(docs, materialize(scored.where(F.col("predicted") != wanted).select("doc_id").distinct(), "rejected"), "left_anti")
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     found = near.near_duplicates(docs)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = restrict(docs, materialize(found.where("not kept").select("doc_id").distinct(), "rejected"), "left_anti")
+    repeated = materialize(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return restrict(kept, repeated, "left_anti").unionByName(restrict(kept, repeated).dropDuplicates(["doc_id"]))
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

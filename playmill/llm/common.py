@@ -39,6 +39,15 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (left_semi) or is not (left_anti) in ``ids`` (distinct doc_id).
+
+    Up to ``limit`` ids, counted here, are broadcast (16 MB), so texts stay where they are; more meet in a shuffle.
+    """
+    ids = ids.select("doc_id").where("doc_id is not null")
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", how).select(*docs.columns)
+
+
 def global_rank(df: DataFrame, group: str, order: list[str], spread_on: str, buckets: int) -> DataFrame:
     """Add ``rank`` (long, gapless from 0 inside each ``group``) without bringing a group into one task.
 

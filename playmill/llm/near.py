@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playmill.llm.common import Remembered, arrow_map, materialize
+from playmill.llm.common import Remembered, arrow_map, materialize, restrict
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WORDS_64 = 8
@@ -279,7 +279,7 @@ def block_links(outside: DataFrame, comps: DataFrame, sizes: DataFrame, docs: Da
     parts = lambda c: F.ceil(F.greatest(F.lit(1), F.sum(c)) / F.lit(s.block)).cast("int")
     cuts = rows.groupBy("home").agg(parts(F.col("n_shingles")).alias("chunks"), parts(F.when(~F.col("inside"), F.col("n_shingles")).otherwise(0)).alias("asked"))
     dealt = rows.join(cuts, "home")
-    sets = shingle_sets(docs.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), s).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    sets = shingle_sets(restrict(docs, rows.select(F.col("node").alias("doc_id")).distinct()), s).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     full = materialize(dealt.join(sets, "node"), "sets")
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, s: NearSettings = NearSettings()) -> DataFr
     sketches = signed.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     pairs = materialize(star_pairs(buckets, sketches, s), "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.join(needed, "doc_id", "left_semi"), s).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(shingle_sets(restrict(docs, needed), s).dropDuplicates(["doc_id"]), "sets")
     edges = materialize(confirm(pairs, sets, s), "edges")
     comps = materialize(components(edges), "components")
     outside = materialize(attached(buckets, comps), "attached")

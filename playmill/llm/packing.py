@@ -188,11 +188,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capac
 
     def make():
         words = per_worker(("word ids", tokenizer_file), lambda: WordIds(tokenizer_file))
-        white = re.compile(r"\s+")
+        # the white space of the vocabulary's normaliser, which is not quite Python's
+        white, others = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split = [t.split() if t.isascii() else white.split(t) for t in (x or "" for x in batch.column(1).to_pylist())]
+            split = [t.split() if t.isascii() and not others.search(t) else [w for w in white.split(t) if w] for t in (x or "" for x in batch.column(1).to_pylist())]
             known = words.of({w for ws in split for w in ws}).__getitem__
             lengths, pieces = [], []
             for ws in split:
