@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -71,13 +72,21 @@ def global_rank(df: DataFrame, group: str, order: list[str], spread_on: str, buc
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow with one worker object a task, fed with slices of at most ``rows`` rows."""
+    """mapInArrow with one worker object a task, fed with slices of at most ``rows`` rows.
+
+    Slices become many small lists and no cycles, so the collector of cycles rests while one is handled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                yield apply(batch.slice(at, rows))
+                gc.disable()
+                try:
+                    done = apply(batch.slice(at, rows))
+                finally:
+                    gc.enable()
+                yield done
 
     return df.mapInArrow(run, schema)
 
