@@ -122,86 +122,99 @@ class TokenChain:
         return np.stack([top, likely], axis=1)
 
 
-def _indicative(docs: list[tuple[set[str], int]]) -> set[str]:
-    """Features that stand in toxic documents far more often than in clean ones."""
-    counts = ({}, {})
-    totals = [0, 0]
-    for features, toxic in docs:
-        totals[toxic] += 1
-        of = counts[toxic]
-        for f in features:
-            of[f] = of.get(f, 0) + 1
-    base, found = totals[1] / sum(totals), set()
-    least = max(3, 0.005 * totals[1])
-    for f, n1 in counts[1].items():
-        n0 = counts[0].get(f, 0)
-        if n1 >= least and (n1 + 0.5) / (totals[1] + 1) >= 10 * (n0 + 0.5) / (totals[0] + 1):
-            share = n1 / (n1 + n0)
-            if n1 * np.log(share / base) + (n0 * np.log((1 - share) / (1 - base)) if n0 else 0) >= 7:
-                found.add(f)
-    return found
+class Vocabulary:
+    """Words of a sample as numbers, and the numbers of their features (padded with the number of features)."""
+
+    def __init__(self, texts: list[str]):
+        index: dict[str, int] = {}
+        self.tokens = [np.array([index.setdefault(w, len(index)) for w in t.split()], dtype=np.int32) for t in texts]
+        names: dict[str, int] = {}
+        self.features = np.full((len(index), 1 + len(BEGINNINGS)), -1, dtype=np.int32)
+        for i, w in enumerate(index):
+            own = [names.setdefault(f, len(names)) for f in word_features(w)]
+            self.features[i, : len(own)] = own
+        self.names = list(names)
+        self.features[self.features < 0] = len(names)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Distinct features of a document."""
+        found = np.unique(self.features[np.unique(tokens)])
+        return found[found < len(self.names)]
+
+
+def _indicative(docs: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """Features (as flags) that stand in toxic documents far more often than in clean ones."""
+    in_docs = lambda y: np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *[d for d, t in zip(docs, toxic) if t == y]]), minlength=size)
+    n0, n1 = in_docs(0), in_docs(1)
+    total = (int((toxic == 0).sum()), int((toxic == 1).sum()))
+    base, least = total[1] / len(toxic), max(3, 0.005 * total[1])
+    often = (n1 >= least) & ((n1 + 0.5) / (total[1] + 1) >= 10 * (n0 + 0.5) / (total[0] + 1))
+    share = np.where(often, n1 / np.maximum(n1 + n0, 1), 0.5)
+    clean = np.where(n0 > 0, n0 * np.log(np.maximum(1 - share, 1e-12) / max(1 - base, 1e-12)), 0.0)
+    return often & (n1 * np.log(share / base) + clean >= 7)
 
 
 def fit_chain(texts: list[str], toxic: list[int], weight_clean: float = 1.0, length: int = 64, rounds: int = 120, seed: int = 0) -> TokenChain:
     """Fit the chain and its document-level function on labelled texts."""
     share = sum(toxic) / len(toxic) if toxic else 0.0
-    tokens = [t.split() for t in texts]
-    of = {w: word_features(w) for w in {w for ts in tokens for w in ts}}
-    marks: set[str] = set()
-    left = [({f for w in set(ts) for f in of[w]}, y) for ts, y in zip(tokens, toxic)] if 0 < share < 1 else []
-    while any(y for _, y in left) and (found := _indicative(left)):  # then the toxic documents that nothing explains yet
-        marks |= found
-        left = [(fs, y) for fs, y in left if not y or found.isdisjoint(fs)]
-    if not marks:
+    if not 0 < share < 1:
         return TokenChain(constant=share)
-    marked = {w for w, fs in of.items() if not marks.isdisjoint(fs)}
+    words = Vocabulary(texts)
+    tokens, size = words.tokens, len(words.names)
+    left, of_left = [words.of(ts) for ts in tokens], np.array(toxic)
+    marks = np.zeros(size + 1, dtype=bool)
+    while (of_left == 1).any() and (found := _indicative(left, of_left, size)).any():  # then the toxic documents that nothing explains yet
+        marks[:size] |= found
+        stay = [y == 0 or not found[fs].any() for fs, y in zip(left, of_left)]
+        left, of_left = [fs for fs, ok in zip(left, stay) if ok], of_left[stay]
+    del left
+    if not marks.any():
+        return TokenChain(constant=share)
+    marked = marks[words.features].any(axis=1)
     rng = np.random.default_rng(seed)
-    chosen: list[tuple[list[str], list[int]]] = []
-    others: list[tuple[list[str], list[int]]] = []
+    chosen: list[tuple[np.ndarray, int]] = []
+    others: list[tuple[np.ndarray, int]] = []
     for ts, y in zip(tokens, toxic):
-        ys = [int(y == 1 and w in marked) for w in ts]
-        if y == 1 and not any(ys):
+        if y == 1 and not marked[ts].any():
             continue
         for at in range(0, len(ts), length):
-            part = (ts[at : at + length], ys[at : at + length])
-            (chosen if any(part[1]) or (y == 0 and not marked.isdisjoint(part[0])) else others).append(part)
+            part = ts[at : at + length]
+            (chosen if marked[part].any() else others).append((part, y))
     extra = rng.permutation(len(others))[: max(2000, 3 * len(chosen))]
     parts = chosen + [others[i] for i in sorted(extra)]
-    seen: dict[str, int] = {}
-    for ts, _ in parts:
-        for w in ts:
-            for f in of[w]:
-                seen[f] = seen.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 5))}
-    k, width = len(index), 1 + len(BEGINNINGS)
-    ids = {w: [index[f] for f in fs if f in index] for w, fs in of.items()}
-    grid = np.full((len(parts), length, width), k, dtype=np.int64)
+    seen = np.bincount(words.features[np.concatenate([ts for ts, _ in parts])].ravel(), minlength=size + 1)[:size]
+    used = np.flatnonzero(seen >= 5)
+    k, width = len(used), 1 + len(BEGINNINGS)
+    place = np.full(size + 1, k, dtype=np.int32)
+    place[used] = np.arange(k)
+    grid = np.full((len(parts), length, width), k, dtype=np.int32)
     y, live = np.zeros((len(parts), length)), np.zeros((len(parts), length), dtype=bool)
-    for i, (ts, ys) in enumerate(parts):
-        y[i, : len(ts)], live[i, : len(ts)] = ys, True
-        for j, w in enumerate(ts):
-            grid[i, j, : len(ids[w])] = ids[w]
+    for i, (ts, toxic_doc) in enumerate(parts):
+        y[i, : len(ts)], live[i, : len(ts)] = marked[ts] * toxic_doc, True
+        grid[i, : len(ts)] = place[words.features[ts]]
     theta, chain = np.zeros(k + 1 + 4), TokenChain(constant=None)
     theta[k], m, v = -3.0, np.zeros(k + 5), np.zeros(k + 5)
     before = np.concatenate([np.zeros((len(parts), 1)), y[:, :-1]], axis=1).astype(int)
     seen_pairs = np.bincount((2 * before + y.astype(int))[live], minlength=4)
-    flat = grid[live]
+    flat = np.ascontiguousarray(grid[live].T)  # one row for each kind of feature
+    del grid
     for i in range(1, rounds + 1):
         padded = np.append(theta[:k], 0.0)
         u = np.full(live.shape, 0.0)
-        u[live] = np.clip(padded[flat].sum(axis=1) + theta[k], -LIMIT, LIMIT)
+        u[live] = np.clip(sum(padded[column] for column in flat) + theta[k], -LIMIT, LIMIT)
         p, pairs = _expectations(np.exp(u), live, np.exp(np.clip(theta[k + 1 :], -6, 6)).reshape(2, 2))
         gap = p[live] - y[live]
         grad = np.empty_like(theta)
-        grad[:k] = np.bincount(flat.ravel(), weights=np.repeat(gap, width), minlength=k + 1)[:k] + 0.02 * theta[:k]
+        grad[:k] = sum(np.bincount(column, weights=gap, minlength=k + 1) for column in flat)[:k] + 0.02 * theta[:k]
         grad[k], grad[k + 1 :] = gap.sum(), pairs - seen_pairs + 1.0 * theta[k + 1 :]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.2 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
-    chain.weights = {f: float(theta[j]) for f, j in index.items() if abs(theta[j]) > 0.02}
+    weight = np.append(np.where(np.abs(theta[:k]) > 0.02, theta[:k], 0.0), 0.0)
+    chain.weights = {words.names[f]: float(w) for f, w in zip(used, weight) if w}
     chain.bias, chain.stay = float(theta[k]), np.exp(np.clip(theta[k + 1 :], -6, 6)).reshape(2, 2)
-    unary = {w: chain.unary(w) for w in of}
+    unary = np.clip(chain.bias + weight[place[words.features]].sum(axis=1), -LIMIT, LIMIT)
     lengths = np.array([len(ts) for ts in tokens])
-    log_odds = chain.marginals(np.array([unary[w] for ts in tokens for w in ts]), lengths)
+    log_odds = chain.marginals(unary[np.concatenate(tokens)], lengths)
     x = np.column_stack([np.ones(len(tokens)), chain._document_features(log_odds, lengths)])
     target, weight = np.array(toxic, dtype=float), np.where(np.array(toxic) == 1, 1.0, weight_clean)
     level = np.zeros(3)
@@ -229,9 +242,9 @@ def _expectations(w: np.ndarray, live: np.ndarray, stay: np.ndarray) -> tuple[np
         v = w[:, t] * b
         b = np.where(live[:, t], (a10 + a11 * v) / (a00 + a01 * v), b)
     v = w * b_out
-    four = np.stack([np.full_like(v, a00), a01 * v, a10 * r_in, a11 * r_in * v])
-    four = np.where(live, four / four.sum(axis=0), 0)
-    return four[1] + four[3], four.sum(axis=(1, 2))
+    part = live / (a00 + a01 * v + a10 * r_in + a11 * r_in * v)
+    toxic = part * v * (a01 + a11 * r_in)
+    return toxic, np.array([a00 * part.sum(), a01 * (part * v).sum(), a10 * (part * r_in).sum(), a11 * (part * r_in * v).sum()])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, skip: Column, sizes: dict[int, int], max_chars: int) -> tuple[list[str], list[int], dict[int, int]]:
