@@ -31,8 +31,8 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    found = near.near_duplicates(docs)
+    """One document of each near-duplicate group (five-word shingles at 0.8) stays: the one with the smallest doc_id."""
+    found = near.near_duplicates(docs, near.NearSettings(width=5))
     kept = restrict(docs, materialize(found.where("not kept").select("doc_id").distinct(), "rejected"), "left_anti")
     repeated = materialize(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if repeated.isEmpty():

@@ -61,8 +61,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near-duplicate documents."""
-    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+    """Components of near-duplicate documents under two-word shingles."""
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), near.NearSettings(width=2))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

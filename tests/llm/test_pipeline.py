@@ -46,3 +46,11 @@ def test_null_ids_and_extra_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
         docs.count()
+
+
+def test_near_stage_takes_five_words(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"z{i}" if i % 20 == 10 else w for i, w in enumerate(words)]  # five of a hundred words: 0.82 at width 2, 0.61 at width 5
+    texts = [" ".join(words), " ".join(changed), " ".join([*words, "tail"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.stage_near_dedup(spark, docs, SF).collect()) == [0, 1]
