@@ -1,14 +1,17 @@
 """Operator 3: removal of repeated lines and passages by global hashing of units.
 
-A text is cut into units: its lines, and inside a line its sentences (up to ., ! or ? before white space).  Units are
-normalised (lower case, white space squeezed) and hashed to 128 bits; digests are grouped over the whole corpus and
-the earliest occurrence, by (doc_id, start), keeps its place.  Every later one is repeated.  Neighbouring repeated units
-of a document make a run; a run of at least ``min_words`` words is removed, so that short sentences that recur by
-chance, or stock lines of a few words, stay where they are.  What was removed is returned with its offsets in the
-original text.
-
-Digests that hold more than 1 / ``hot_share`` of all units are at most ``hot_share`` many; their first occurrences are
-broadcast, and the units of all others meet theirs in a shuffle.
+A text is cut into units: its lines, inside a line its sentences (up to ., ! or ? before white space), and sentences of
+more than ``WINDOW`` words at words that a hash of the words on both sides chooses (the smallest hash of each ``WINDOW``
+places in a row).  The choice depends on nearby words only, so a passage is cut alike wherever it stands, and no
+``WINDOW`` places go without a cut.  A sentence in one unit is a key; of a sentence in several, each two neighbouring
+units are one, so that a key holds more than a common phrase.  Keys are normalised (lower case, white space squeezed)
+and hashed to 128 bits; digests are grouped over the whole corpus and the earliest occurrence, by (doc_id, start), keeps
+its place.  Every later one is repeated, and so are its units.  Neighbouring repeated units of a document make a run; a
+run of at least ``min_words`` words is removed, so that short sentences that recur by chance, or stock lines of a few
+words, stay where they are.  What was removed is returned with its offsets in the original text.
+
+Digests that hold more than 1 / ``hot_share`` of all keys are at most ``hot_share`` many; their first occurrences are
+broadcast, and the keys of all others meet theirs in a shuffle.
 
 Cases: null texts stay null and have no units; empty texts stay empty; a document removed in full keeps its row with an
 empty text; repeated rows of one doc_id with one text count as one document and are not held against each other; extra
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,20 +32,54 @@ from playmill.llm.common import arrow_map, materialize
 
 #: Where a unit ends: behind ., ! or ? if white space follows, or at a line end.
 BREAK = re.compile(r"[.!?]+(?=\s)|\n")
+WORD = re.compile(r"\S+")
+
+
+#: Places between words of a sentence of which one is cut at least; few enough for runs of 10 words in most passages of 50.
+WINDOW = 10
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Words of a sentence before which it is cut: the smallest hash, the last of equal ones, of each WINDOW places."""
+    encoded = " ".join(words).encode("utf-8", "surrogatepass").split(b" ")
+    hashes = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(encoded, encoded[1:])]
+    out, best = [], -1
+    for end in range(WINDOW, len(hashes) + 1):
+        if best < end - WINDOW:
+            last_first = hashes[end - WINDOW : end][::-1]
+            best = end - 1 - last_first.index(min(last_first))
+        elif hashes[end - 1] <= hashes[best]:
+            best = end - 1
+        if not out or out[-1] != best + 1:
+            out.append(best + 1)
+    return out
+
 
+def cut_units(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """(start, end, normalised text) of every unit that is not blank, and the first and last unit of every key."""
+    out, keys, at = [], [], 0
+
+    def add(start: int, end: int) -> None:
+        words = text[start:end].lower().split()
+        if not words:
+            return
+        first = len(out)
+        if len(words) <= WINDOW:
+            out.append((start, end, " ".join(words)))
+        else:
+            ends = [m.end() for m in WORD.finditer(text, start, end)]
+            low = 0
+            for high in [*_cuts(words), len(words)]:
+                out.append((start, ends[high - 1], " ".join(words[low:high])))
+                start, low = ends[high - 1], high
+        keys.extend([(i, i + 1) for i in range(first, len(out) - 1)] or [(first, first)])
 
-def cut_units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised text) of every unit that is not blank."""
-    out, at = [], 0
     for found in BREAK.finditer(text):
         start, behind = found.span()
-        end = start if text[start] == "\n" else behind
-        if norm := " ".join(text[at:end].split()).lower():
-            out.append((at, end, norm))
+        add(at, start if text[start] == "\n" else behind)
         at = behind
-    if norm := " ".join(text[at:].split()).lower():
-        out.append((at, len(text), norm))
-    return out
+    add(at, len(text))
+    return out, keys
 
 
 def _digest(norm: str) -> bytes:
@@ -49,11 +87,15 @@ def _digest(norm: str) -> bytes:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id and the digests of its units, in order."""
+    """One row per document: doc_id and the digests of its keys, in order."""
 
     def make():
+        def digests(text: str) -> list[bytes]:
+            found, keys = cut_units(text)
+            return [_digest(found[a][2] if a == b else f"{found[a][2]} {found[b][2]}") for a, b in keys]
+
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [[_digest(u[2]) for u in cut_units(t or "")] for t in batch.column(1).to_pylist()]
+            got = [digests(t or "") for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "digests"])
 
         return apply
@@ -63,14 +105,14 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, hot_share: int = 10_000) -> DataFrame:
-    """(doc_id, repeated): the positions of the units that occur earlier in the corpus."""
+    """(doc_id, repeated): the positions of the keys that occur earlier in the corpus."""
     rows = units(docs).select("doc_id", F.posexplode("digests").alias("pos", "digest"))
     firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(firsts, "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(firsts.where(F.col("n") * hot_share > total).select("digest", F.col("first").alias("hot_first")))
     cold = firsts.where(F.col("n") * hot_share <= total).select(F.col("digest").alias("key"), "first")
-    # units of hot digests have theirs already: a key of their own spreads them over all tasks
+    # keys of hot digests have theirs already: a key of their own spreads them over all tasks
     own = F.concat(F.lit("hot"), F.col("doc_id").cast("string"), F.lit("/"), F.col("pos").cast("string")).cast("binary")
     keyed = rows.join(hot, "digest", "left").select("doc_id", "pos", "hot_first", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(own).alias("key"))
     first = F.coalesce("hot_first", "first")
@@ -85,8 +127,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
         def one(text, repeated):
             if text is None or repeated is None or not len(repeated):
                 return text, []
-            marks, spans, run = set(repeated), [], None
-            found = cut_units(text)
+            spans, run = [], None
+            found, keys = cut_units(text)
+            marks = {i for k in repeated for i in keys[k]}
             for i, (start, end, norm) in enumerate(found):
                 if i in marks:
                     run = [run[0] if run else start, end, (run[2] if run else 0) + len(norm.split(" "))]

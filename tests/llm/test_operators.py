@@ -181,6 +181,19 @@ def test_lines_hot_digests_agree(spark, some_texts):
     assert few == many
 
 
+def test_lines_inside_long_sentences(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    runs = [words(50) for _ in range(20)]
+    texts = [" ".join(words(20) + r + words(20)) for r in runs + runs]
+    got = {r.doc_id: r for r in lines.remove_repeats(docs_of(spark, texts)).collect()}
+    windows = lambda text: {tuple(text.split()[i : i + 50]) for i in range(len(text.split()) - 49)}
+    for i, r in enumerate(runs):
+        assert got[i].text == texts[i]
+        assert got[i + 20].text != texts[i + 20] and tuple(r) not in windows(got[i + 20].text)
+        assert all(set(texts[i + 20][x.start : x.end].split()) <= set(r) for x in got[i + 20].removed)
+
+
 def test_voronoi(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.standard_normal((300, 8)) + 4 * rng.standard_normal((1, 8)), rng.standard_normal((300, 8)), np.tile(rng.standard_normal(8), (60, 1))])
