@@ -6,8 +6,8 @@ documents as toxic.  A two-state chain over word and word-beginning features lea
 backward messages over whole texts give each token's probability; a document's score is a logistic function of its
 highest token log-odds and its number of likely tokens, and tokens at 0.5 or more are returned with their offsets.
 
-The sample of labelled rows that the model is fitted on is bounded by ``max_toxic`` and ``max_clean`` (rows with the
-smallest hash of doc_id; texts over ``max_chars`` are left to the others).  Everything is scored whole.
+The sample of labelled rows that the model is fitted on holds each pair of whole text and label once and is bounded by
+``max_toxic`` and ``max_clean`` (rows with the smallest hash of doc_id; texts over ``max_chars`` are left to the others).  Everything is scored whole.
 
 Cases: a null or empty text, or one of white space only, has no tokens and gets the score of a text without toxic
 words; without labels of both kinds the score is the share of toxic labels (0 without labels); repeated rows get equal
@@ -248,14 +248,18 @@ def _expectations(w: np.ndarray, live: np.ndarray, stay: np.ndarray) -> tuple[np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, skip: Column, sizes: dict[int, int], max_chars: int) -> tuple[list[str], list[int], dict[int, int]]:
-    """Texts and labels of a bounded sample without repeats, and how many labels of each kind there are to learn from."""
+    """Texts and labels of a bounded sample, one row for each whole text and label, and how many labels of each kind there are to learn from."""
     usable = labels.where(F.col(label).isin(0, 1) & ~skip).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     totals = {r["__y"]: r["n"] for r in usable.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picks = [usable.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in sizes.items()]
-    chosen = picks[0].unionByName(picks[1])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__text")).where(F.length("text") <= max_chars)
+    # one text a document, then one document a text and label; partial sums keep a hot doc_id or text out of one task
+    single = texts.groupBy("doc_id").agg(F.min("__text").alias("__text")).join(usable, "doc_id")
+    least = single.groupBy("__text", "__y").agg(F.min(F.struct(F.xxhash64("doc_id").alias("order"), "doc_id")).alias("__least")).select("__text", "__y", "__least.*")
+    picks = [least.where(F.col("__y") == y).orderBy("order", "doc_id").limit(n) for y, n in sizes.items()]
+    chosen = picks[0].unionByName(picks[1]).select("doc_id", "__text", "__y")
     # at most sum(sizes) rows, so it is broadcast
-    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("text", "__y").toPandas()
-    found = found.sort_values(["text", "__y"]).assign(start=found["text"].str.slice(0, 80)).drop_duplicates("start")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "__text"]).groupBy("doc_id", "__y").agg(F.min("text").alias("text")).select("text", "__y").toPandas()
+    found = found.sort_values(["text", "__y"])
     return found["text"].tolist(), found["__y"].tolist(), totals
 
 

@@ -273,6 +273,19 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity_scores(df, none).collect()} == {0.0}
 
 
+def test_labelled_sample_keeps_all_whole_texts(spark):
+    header = "A licence line that stands before every text of this source and has over eighty characters. "
+    texts = [f"{header}text {i // 2}" for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 4 // 2 if i < 36 else i % 2) for i in range(40)], "doc_id long, toxic int")
+    df = docs_of(spark, texts)
+    df = df.unionByName(df).unionByName(df.where("doc_id = 0"))
+    got, y, totals = toxicity.labelled_sample(df, labels, "toxic", F.lit(False), {1: 100, 0: 100}, 1000)
+    assert sorted(zip(got, y)) == sorted({(texts[r.doc_id], r.toxic) for r in labels.collect()}) and len(got) == 22
+    assert totals == {0: 20, 1: 20}
+    few, y, _ = toxicity.labelled_sample(df, labels, "toxic", F.lit(False), {1: 5, 0: 7}, 1000)
+    assert len(set(zip(few, y))) == 12 and sum(y) == 5
+
+
 def test_marginals_equal_plain_forward_backward():
     rng = np.random.default_rng(0)
     chain = toxicity.TokenChain(stay=np.array([[1.0, 0.3], [0.5, 2.0]]), constant=None)
