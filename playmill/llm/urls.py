@@ -3,7 +3,9 @@
 Rules judge what they fit, the longest first.  For the rest, each host gets a verdict: hosts are nodes, links in the
 pages' HTML to other hosts are edges.  Trust is personalised PageRank along the links from hosts with allowed pages;
 distrust runs against the links from hosts with blocked pages.  A seed's mass is the share of its pages with that
-verdict.  A host is blocked if its distrust exceeds its trust and reaches ``threshold`` of a full seed's own mass.
+verdict.  Both fade as more hosts link to a seed, so each is divided by what a uniform seed would give the host along
+the same links (without the host's own mass, unless rules fit pages of its own).  A host is blocked if its share of
+distrust exceeds its share of trust and reaches ``threshold``.
 
 Cases: a url that is null or has no "://" has an empty host and path, fits no rule and is allowed; pages without html
 have no links; repeated rows are judged alike; a host without links keeps its own mass only; other columns are not
@@ -69,13 +71,18 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: flo
     links = materialize(host_links(judged), "links")
     seed = lambda c: hosts.where(F.col(c) > 0).select("host", F.col(c).alias("mass"))
     if links.isEmpty():
-        trust, distrust = ((seed(c).select("host", (F.col("mass") * (1 - damping)).alias("score"))) for c in ("allowed", "blocked"))
+        spread = [lambda seeds: seeds.select("host", (F.col("mass") * (1 - damping)).alias("score"))] * 2
     else:
         weigh = lambda a, b: links.join(links.groupBy(a).agg(F.sum("links").alias("__all")), a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("__all")).alias("weight"))
-        trust = propagate(seed("allowed"), materialize(weigh("src", "dst"), "forward"), damping, rounds)
-        distrust = propagate(seed("blocked"), materialize(weigh("dst", "src"), "reverse"), damping, rounds)
-    scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full").na.fill(0.0)
+        ways = [materialize(weigh(*ends), label) for ends, label in ((("src", "dst"), "forward"), (("dst", "src"), "reverse"))]
+        spread = [lambda seeds, way=way: propagate(seeds, way, damping, rounds) for way in ways]
+    nodes = hosts.select("host").union(links.select("src")).union(links.select("dst")).distinct().withColumn("mass", F.lit(1.0))
+    scores = hosts.select("host", (F.col("allowed") + F.col("blocked") > 0).alias("ruled"))
+    for way, (name, seeds) in zip(spread, (("trust", seed("allowed")), ("distrust", seed("blocked")))):
+        scores = scores.join(way(seeds).withColumnRenamed("score", name), "host", "left").join(way(nodes).withColumnRenamed("score", f"all_{name}"), "host", "left").na.fill(0.0)
+    part = lambda c: F.when(F.col(c) > 0, F.round(F.try_divide(c, F.col(f"all_{c}") - F.when(F.col("ruled"), 0.0).otherwise(1 - damping)), 9)).otherwise(0.0)
+    low = (part("distrust") > part("trust")) & (part("distrust") >= threshold)
+    scores = scores.select("host", "trust", "distrust", low.alias("low"))
     out = judged.select("page_id", "host", "path", "rule", "rule_verdict").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    low = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping))
-    verdict = F.coalesce("rule_verdict", F.when(low, "block").otherwise("allow"))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("low"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

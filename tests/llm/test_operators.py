@@ -249,6 +249,16 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_urls_blocked_whatever_the_in_degree(spark, n):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    rows = [(0, "http://bad.net/x", None), (1, "http://mixed.edu/", link("bad.net", "a.edu", "b.edu", "c.edu", "d.edu")), (2, "http://other.edu/", link("a.edu"))]
+    df = spark.createDataFrame(rows[: 1 if n == 1 else 3] + [(10 + i, f"http://p{i}.edu/", link("bad.net")) for i in range(n)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge_urls(df, URL_RULES).collect()}
+    assert all(got[10 + i].verdict == "block" and got[10 + i].rule is None and got[10 + i].distrust > 0 for i in range(n))
+    assert n == 1 or got[1].verdict == got[2].verdict == "allow"
+
+
 def toxic_set(some_texts):
     bad = ["scumbag", "scumbags", "scumball", "dolt", "doltish", "dolts"]
     texts = [f"{t} {bad[i % 6]} {t[:40]} {bad[(i + 1) % 6]}." if i % 3 == 0 else t for i, t in enumerate(some_texts * 3)]
