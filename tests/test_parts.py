@@ -66,6 +66,13 @@ def test_json_rules(spark):
     assert values(spark, checks.is_json(F.col("t")), [('{"a":1}',), ('"k": 1}',), ("",), ("x",)], "t string") == [True, False, False, False]
 
 
+def test_json_validity_reads_the_whole_line(spark):
+    from playmill.plans.quality import json_validity
+
+    df = spark.createDataFrame([(4, ' {"a": "' + "x" * 1100 + '"}')], "event_id long, props string")
+    assert [r.valid for r in json_validity(df).collect()] == [True]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
     writers.write_jsonl(df, str(tmp_path / "j"))
