@@ -19,7 +19,7 @@ def _as_runs(plays: DataFrame) -> DataFrame:
 
 @query("t03_validator", None, "plays")
 def validator_verdicts(plays: DataFrame) -> DataFrame:
-    """Verdicts of the ordered checks, folded per run."""
+    """T3, T6 to T8, T10 and T13, and T4, T5 and T14 in part (README): verdicts of the ordered checks, folded per run."""
     return validator.validate(_as_runs(plays))
 
 
