@@ -8,16 +8,25 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Folders written by ``materialize``, one list for each ``scratch_scope`` that is open.
+_scopes: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one of a local session."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="playmill-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -28,34 +37,85 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the folders that ``materialize`` wrote for ``df``, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the folders that ``materialize`` writes meanwhile."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.pop()
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``materialize`` that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in paths:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """All columns but ``but``, whatever marks their names hold."""
+    return [F.col(quoted(c)).alias(c) for c in df.columns if c not in but]
+
+
+def quoted(name: str) -> str:
+    """A column name as one identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores in front until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = 2_000_000) -> DataFrame:
     """Rows of ``docs`` whose doc_id is (left_semi) or is not (left_anti) in ``ids`` (distinct doc_id).
 
     Up to ``limit`` ids, counted here, are broadcast (16 MB), so texts stay where they are; more meet in a shuffle.
     """
     ids = ids.select("doc_id").where("doc_id is not null")
-    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", how).select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", how).select(*columns_of(docs))
 
 
-def global_rank(df: DataFrame, group: str, order: list[str], spread_on: str, buckets: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, filler: Column, hot_share: int = 10_000) -> DataFrame:
+    """Left join of ``left`` with ``right``, which has one row for each key and in ``rows`` how many of ``left`` have it.
+
+    Keys of more than 1 / ``hot_share`` of these rows are at most ``hot_share`` many; they are broadcast, and what they
+    fit gets ``filler`` (a value of the key's type that spreads the rows) for a key in the shuffle of all others.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    values = [c for c in right.columns if c not in (key, rows)]
+    kept = left.columns
+    hot = right.where(F.col(rows) * hot_share > total).select(key, F.struct(*values).alias("__hot"))
+    cold = right.where(F.col(rows) * hot_share <= total).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    met = left.join(F.broadcast(hot), key, "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(filler))
+    both = met.join(cold, "__key", "left")
+    return both.select(*kept, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot.{v}")).otherwise(F.col(f"__cold.{v}")).alias(v) for v in values])
+
+
+def parts_for(rows: int, a_part: int = 200_000, least: int = 64, most: int = 65_536) -> int:
+    """Into how many parts ``global_rank`` should deal a group of ``rows`` rows."""
+    return int(min(most, max(least, -(-rows // a_part))))
+
+
+def global_rank(df: DataFrame, group: str, order: list[str], spread_on: list[str], buckets: int) -> DataFrame:
     """Add ``rank`` (long, gapless from 0 inside each ``group``) without bringing a group into one task.
 
     Rows of a group are dealt to ``buckets`` parts by a hash of ``spread_on``; each part is numbered on its own
     and shifted by the sizes of the parts before it.  The table of part sizes has at most groups x buckets rows.
     """
-    dealt = df.withColumn("__part", F.pmod(F.xxhash64(F.col(spread_on)), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*spread_on), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         dealt.groupBy(group, "__part")
@@ -71,8 +131,22 @@ def global_rank(df: DataFrame, group: str, order: list[str], spread_on: str, buc
     )
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow with one worker object a task, fed with slices of at most ``rows`` rows.
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of at most ``rows`` rows and, but for a single longer row, ``size`` bytes of text."""
+    held = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(held), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 1024, size: int = 8_000_000) -> DataFrame:
+    """mapInArrow with one worker object a task, fed with slices of at most ``rows`` rows and ``size`` bytes of text.
 
     Slices become many small lists and no cycles, so the collector of cycles rests while one is handled.
     """
@@ -80,10 +154,10 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
+            for part in slices(batch, rows, size):
                 gc.disable()
                 try:
-                    done = apply(batch.slice(at, rows))
+                    done = apply(part)
                 finally:
                     gc.enable()
                 yield done
