@@ -5,17 +5,20 @@ more than ``WINDOW`` words at words that a hash of the words on both sides choos
 places in a row).  The choice depends on nearby words only, so a passage is cut alike wherever it stands, and no
 ``WINDOW`` places go without a cut.  A sentence in one unit is a key; of a sentence in several, each two neighbouring
 units are one, so that a key holds more than a common phrase.  Keys are normalised (lower case, white space squeezed)
-and hashed to 128 bits; digests are grouped over the whole corpus and the earliest occurrence, by (doc_id, start), keeps
-its place.  Every later one is repeated, and so are its units.  Neighbouring repeated units of a document make a run; a
+and hashed to 128 bits; digests are grouped over the whole corpus and the earliest occurrence, by doc_id, hash of the
+text and start, keeps its place.  Every later one is repeated, and so are its units.  Neighbouring repeated units of a document make a run; a
 run of at least ``min_words`` words is removed, so that short sentences that recur by chance, or stock lines of a few
 words, stay where they are.  What was removed is returned with its offsets in the original text.
 
-Digests that hold more than 1 / ``hot_share`` of all keys are at most ``hot_share`` many; their first occurrences are
-broadcast, and the keys of all others meet theirs in a shuffle.
+Digests that hold more than 1 / ``hot_share`` of all repeated keys are at most ``hot_share`` many; their first
+occurrences are broadcast, and the keys of all others meet theirs in a shuffle.
 
-Cases: null texts stay null and have no units; empty texts stay empty; a document removed in full keeps its row with an
-empty text; repeated rows of one doc_id with one text count as one document and are not held against each other; extra
-columns are kept as they are, whatever their names; an empty table gives an empty result.
+Cases: null texts stay null and have no units; empty texts stay empty; very long texts are cut and compared whole; a
+document removed in full keeps its row with an empty text; repeated rows of one doc_id with one text count as one
+document and are not held against each other; rows of one doc_id with different texts are documents of their own,
+ranked by a hash of the text; rows without a doc_id rank before all others and are never cut; extra columns are kept as
+they are, whatever their names, but for one named ``removed``, whose place the result's takes; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from playmill.llm.common import arrow_map, materialize
+from playmill.llm.common import arrow_map, join_hot, materialize, quoted
 
 #: Where a unit ends: behind ., ! or ? if white space follows, or at a line end.
 BREAK = re.compile(r"[.!?]+(?=\s)|\n")
@@ -87,7 +91,7 @@ def _digest(norm: str) -> bytes:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id and the digests of its keys, in order."""
+    """One row per document: doc_id, the digests of its keys in order, and the hash of its text."""
 
     def make():
         def digests(text: str) -> list[bytes]:
@@ -96,32 +100,31 @@ def units(docs: DataFrame) -> DataFrame:
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [digests(t or "") for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "digests"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.binary())), batch.column(2)], ["doc_id", "digests", "text_hash"])
 
         return apply
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, make, "doc_id long, digests array<binary>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return arrow_map(rows, make, "doc_id long, digests array<binary>, text_hash long")
 
 
 def repeated_units(docs: DataFrame, hot_share: int = 10_000) -> DataFrame:
-    """(doc_id, repeated): the positions of the keys that occur earlier in the corpus."""
-    rows = units(docs).select("doc_id", F.posexplode("digests").alias("pos", "digest"))
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(doc_id, repeated, text_hash): the positions of the keys that occur earlier in the corpus."""
+    rows = units(docs).select("doc_id", "text_hash", F.posexplode("digests").alias("pos", "digest"))
+    place = F.struct("doc_id", "text_hash", "pos")
+    firsts = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(firsts, "firsts")
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(firsts.where(F.col("n") * hot_share > total).select("digest", F.col("first").alias("hot_first")))
-    cold = firsts.where(F.col("n") * hot_share <= total).select(F.col("digest").alias("key"), "first")
     # keys of hot digests have theirs already: a key of their own spreads them over all tasks
-    own = F.concat(F.lit("hot"), F.col("doc_id").cast("string"), F.lit("/"), F.col("pos").cast("string")).cast("binary")
-    keyed = rows.join(hot, "digest", "left").select("doc_id", "pos", "hot_first", F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(own).alias("key"))
-    first = F.coalesce("hot_first", "first")
-    later = keyed.join(cold, "key", "left").where(F.struct("doc_id", "pos") > first)
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("__repeated"))
+    own = F.concat(F.lit("hot"), F.col("doc_id").cast("string"), F.lit("/"), F.col("text_hash").cast("string"), F.lit("/"), F.col("pos").cast("string")).cast("binary")
+    keyed = join_hot(rows.where("doc_id is not null"), firsts, "digest", "n", own, hot_share)
+    later = keyed.where(place > F.col("first"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__repeated")).select("doc_id", "__repeated", "text_hash")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 15) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``removed``: array of (start, end) in the original text."""
+    names = [c for c in docs.columns if c not in ("text", "removed")]
 
     def make():
         def one(text, repeated):
@@ -152,9 +155,13 @@ def remove_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
         return apply
 
-    repeated = repeated_units(docs).withColumnRenamed("doc_id", "__id")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
-    joined = wide.join(repeated, "__id", "left").select("__row", "__text", "__repeated")
-    row = joined.schema["__row"].dataType.simpleString()
-    done = arrow_map(joined, make, f"__row {row}, __text string, removed array<struct<start:int,end:int>>")
-    return done.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], F.col("removed").alias("removed"))
+    repeated = repeated_units(docs).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    text = F.col("text").cast("string")
+    # the columns that stay get numbers for names on the way
+    row = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    wide = docs.select(row.alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
+    joined = wide.join(repeated, ["__id", "__hash"], "left").select("__row", "__text", "__repeated")
+    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+    done = arrow_map(joined, make, StructType([joined.schema["__row"], StructField("__text", StringType()), StructField("removed", ArrayType(span))]))
+    kept = {c: F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)} | {"text": F.col("__text").alias("text")}
+    return done.select(*[kept[c] for c in docs.columns if c in kept], F.col("removed"))
