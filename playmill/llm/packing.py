@@ -4,15 +4,22 @@ Every document is cut into full pieces of ``capacity`` ids and one remainder.  T
 steps of ``step`` ids, has at most capacity / step rows whatever the input.  A linear program over patterns (how many
 remainders of each length share one sequence) is solved on it by column generation: the dual prices of the program are
 the values of a knapsack, whose best filling is the next pattern.  Rounded down, the patterns cover all but a few
-remainders; those few are filled in by first fit decreasing.  Documents are ranked inside their length class, and a
-table of rank ranges, bounded by the number of classes and patterns, tells each one its sequence and place.
+remainders; those few are filled in by first fit decreasing.  Remainders of less than ``short`` ids, for which a step
+would be much, are packed by their exact lengths into bundles of ``bundle`` ids first, in the same way; a bundle then
+counts as one remainder.  Pieces are ranked inside their length class, and tables of rank ranges, bounded by the number
+of classes and patterns, tell each one its bundle, sequence and place.
 
-Cases: a null or empty text has one id (the end id); repeated rows are packed as rows of their own; an empty table
-gives no pieces; very long texts are tokenised whole and give many full pieces.  Other columns are not read.
+A linear program that is not solved after ``max_columns`` patterns is left there with a warning: the result is whole,
+but may hold more padding.
+
+Cases: a null or empty text has one id (the end id); repeated rows are packed as rows of their own, and ties between
+pieces of one length go by doc_id and start; an empty table gives no pieces; very long texts are tokenised whole and
+give many full pieces.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playmill.llm.common import Remembered, arrow_map, global_rank, materialize, per_worker
+from playmill.llm.common import Remembered, arrow_map, global_rank, materialize, parts_for, per_worker
 
 
 @dataclass
@@ -70,11 +77,14 @@ def solve_patterns(demand: dict[int, int], room: int, max_columns: int = 1500) -
     per = room // classes
     basis = np.diag(per.astype(np.float64))
     inverse, x = np.diag(1.0 / per), need / per
-    for _ in range(max_columns):
+    for tried in range(max_columns + 1):
         prices = inverse.sum(axis=0)
         value, column = _knapsack(prices, classes, room)
         if value <= 1 + 1e-7:
             break
+        if tried == max_columns:
+            logging.getLogger(__name__).warning("column generation left after %d patterns, at a reduced cost of %.4f", tried, 1 - value)
+            break
         step = inverse @ column
         ratios = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratios.argmin())
@@ -209,24 +219,50 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capac
     return arrow_map(rows, make, "doc_id long, doc_tokens long, pieces array<struct<start:long,length:long,ids_crc32:long>>")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4096, step: int = 8, parts: int = 64) -> DataFrame:
+def bundle_ranges(demand: dict[int, int], bundle: int, step: int, after: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int, int, int]], dict[int, int]]:
+    """Short pieces (length -> number) in bundles, and how many bundles there are of each class.
+
+    Each row of the first: length, first rank, rank behind the last, class of the bundles, rank of the first one in
+    that class (behind the ``after`` pieces it has), pieces a bundle, place of the first piece.
+    """
+    lengths = np.array(sorted(n for n, c in demand.items() if c > 0), dtype=np.int64)
+    patterns, bundles, first_of, number = solve_patterns(demand, bundle), {}, {}, 0
+    for p in patterns:
+        kind = -(-int(p.counts @ lengths) // step)
+        first_of[number] = (kind, after.get(kind, 0) + bundles.get(kind, 0))
+        bundles[kind] = bundles.get(kind, 0) + p.times
+        number += p.times
+    return [(n, low, high, *first_of[first], each, place) for n, low, high, first, each, place in rank_ranges(demand, patterns, 0)], bundles
+
+
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4096, step: int = 8, short: int = 64, bundle: int = 512) -> DataFrame:
     """One row per piece with its sequence and offset; see the module's text for the method."""
     spark = docs.sparkSession
+    bundle, short = min(bundle, capacity), min(short, bundle, capacity)
     cut = tokenize_pieces(docs, tokenizer_file, end_id, capacity)
     pieces = cut.select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens")
-    classed = materialize(pieces.withColumn("__class", F.ceil(F.col("length") / F.lit(step)).cast("int")), "pieces")
+    # short lengths are classes of their own, below zero
+    kind = F.when(F.col("length") < short, -F.col("length")).otherwise(F.ceil(F.col("length") / F.lit(step))).cast("int")
+    classed = materialize(pieces.withColumn("__class", kind), "pieces")
     room = capacity // step
-    demand = {r["__class"]: r["n"] for r in classed.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``room`` rows
+    demand = {r["__class"]: r["n"] for r in classed.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most room + short rows
     full = demand.get(room, 0)
-    rest = {w: n for w, n in demand.items() if w != room}
+    rest = {w: n for w, n in demand.items() if 0 < w < room}
+    inner, bundles = bundle_ranges({-w: n for w, n in demand.items() if w < 0}, bundle, step, demand)
+    full += bundles.pop(room, 0)
+    rest |= {w: rest.get(w, 0) + n for w, n in bundles.items()}
     ranges = [(room, 0, full, 0, 1, 0)] * bool(full) + rank_ranges(rest, solve_patterns(rest, room), full)
-    table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 1, 0)], "__class int, __low long, __high long, __sequence long, __each long, __place long")
-    ranked = global_rank(classed, "__class", ["doc_id", "start"], "doc_id", parts)
-    # The table has a row for each class of each pattern: at most room x room, so it is broadcast.
-    placed = ranked.join(F.broadcast(table), "__class").where("rank >= __low and rank < __high").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("__sequence") + F.floor((F.col("rank") - F.col("__low")) / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__place") + (F.col("rank") - F.col("__low")) % F.col("__each")).alias("__slot"),
+    in_bundles = spark.createDataFrame([(-r[0], *r[1:]) for r in inner] or [(0, 0, 0, 0, 0, 1, 0)], "__class long, __low long, __high long, __kind int, __first long, __each long, __place long")
+    table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 1, 0)], "__kind int, __low long, __high long, __sequence long, __each long, __place long")
+    ranked = global_rank(classed, "__class", ["doc_id", "start", "ids_crc32"], ["doc_id", "start", "ids_crc32"], parts_for(max(demand.values(), default=0)))
+    row = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    within = F.col("rank") - F.col("__low")
+    # Both tables have a row for each class of each pattern: at most short x short and room x room, so they are broadcast.
+    bundled = ranked.join(F.broadcast(in_bundles), (ranked["__class"] == in_bundles["__class"]) & (F.col("rank") >= F.col("__low")) & (F.col("rank") < F.col("__high")), "left").select(
+        *row, F.coalesce("__kind", ranked["__class"]).alias("__kind"), F.coalesce((F.col("__first") + F.floor(within / F.col("__each"))).cast("long"), "rank").alias("rank"), F.coalesce(F.col("__place") + within % F.col("__each"), F.lit(0)).alias("__inner")
+    )
+    placed = bundled.join(F.broadcast(table), "__kind").where("rank >= __low and rank < __high").select(
+        *row, (F.col("__sequence") + F.floor(within / F.col("__each"))).cast("long").alias("sequence_id"), (F.col("__place") + within % F.col("__each")).alias("__slot"), "__inner"
     )
-    before = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    before = Window.partitionBy("sequence_id").orderBy("__slot", "__inner").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*row, "sequence_id", "offset")

@@ -5,8 +5,10 @@ the key and the child's name; -ln(draw) / weight is smallest for the chosen chil
 their weights and a changed weight moves rows only into or out of that child's subtree.  A grown tree gets its new
 shard in a region of its own: rows either stay or move to the new shard.
 
-Cases: a null key is a key of its own ("null"); a null text has no bytes and size 1; repeated rows get slots of their
-own; an empty table gives an empty result.  Other columns are kept untouched by ``assign_shards``.
+Cases: a null key is a key of its own ("null"); a null text has no bytes and size 1, like an empty one; very long texts
+count with all their bytes; repeated rows get slots of their own; ties between draws go to the child listed first; an
+empty table gives an empty result.  ``assign_shards`` keeps other columns untouched, whatever their names, and replaces
+one named like its result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playmill.llm.common import global_rank
+from playmill.llm.common import global_rank, parts_for
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def assign_shards(df: DataFrame, key_col: str, tree: list[Leaf], out: str = "sha
     return df.withColumn(out, shard_column(F.col(key_col), tree))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, parts: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Placement of every document under the ``key`` law, with its slot in the shard and its shard in a tree grown by one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     placed = docs.select(
@@ -80,5 +82,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, parts: int = 64) -> DataFr
         shard_column(F.col("doc_id"), balanced_tree(shards)).alias("shard"),
         shard_column(F.col("doc_id"), balanced_tree(shards + 1)).alias("grown_shard"),
     )
-    ranked = global_rank(placed, "shard", ["doc_id", "size", "text_crc32"], "doc_id", parts)
+    key = ["doc_id", "size", "text_crc32"]
+    ranked = global_rank(placed, "shard", key, key, parts_for(docs.count() // shards))
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", F.col("rank").cast("long").alias("slot"), "grown_shard")
