@@ -8,8 +8,10 @@ the same links (without the host's own mass, unless rules fit pages of its own).
 distrust exceeds its share of trust and reaches ``threshold``.
 
 Cases: a url that is null or has no "://" has an empty host and path, fits no rule and is allowed; pages without html
-have no links; repeated rows are judged alike; a host without links keeps its own mass only; other columns are not
-read; an empty table gives an empty result.
+have no links; very long urls and pages are read whole; of rules that fit with equal length the one greater as text
+wins, and a host with equal shares of trust and distrust is allowed; repeated rows are judged alike and their links
+count twice; a host without links keeps its own mass only; other columns are not read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +65,21 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, e
     return score
 
 
+def with_scores(pages: DataFrame, scores: DataFrame, limit: int = 1_000_000, salts: int = 32) -> DataFrame:
+    """``pages`` with the scores of their hosts, 0 and not low for hosts without.
+
+    Up to ``limit`` hosts, counted here, are broadcast (some 50 MB).  More meet the pages in a shuffle on host and salt, so
+    no host's pages, and not the pages without a host, come into one task.
+    """
+    scores = materialize(scores, "scores")
+    if scores.count() <= limit:
+        out = pages.join(F.broadcast(scores), "host", "left")
+    else:
+        salted = pages.withColumn("__salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+        out = salted.join(scores.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts))))), ["host", "__salt"], "left").drop("__salt")
+    return out.na.fill(0.0, ["trust", "distrust"])
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     judged = with_rule(with_host_and_path(pages.select("page_id", "url", "html")), rules)
@@ -83,6 +100,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: flo
     part = lambda c: F.when(F.col(c) > 0, F.round(F.try_divide(c, F.col(f"all_{c}") - F.when(F.col("ruled"), 0.0).otherwise(1 - damping)), 9)).otherwise(0.0)
     low = (part("distrust") > part("trust")) & (part("distrust") >= threshold)
     scores = scores.select("host", "trust", "distrust", low.alias("low"))
-    out = judged.select("page_id", "host", "path", "rule", "rule_verdict").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    out = with_scores(judged.select("page_id", "host", "path", "rule", "rule_verdict"), scores.where("trust > 0 or distrust > 0"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("low"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
