@@ -4,11 +4,13 @@ Statistics of a text are Spark expressions.  Small trees are grown by gradient b
 rows; each path from a root is a conjunctive rule over the statistics; a lasso logistic regression weights the rules
 and drops most of them; what is left is compiled back into one Spark column, so scoring runs in the JVM without Python.
 
-The sample is bounded by ``max_rows`` (rows with the smallest hash of doc_id).
+The sample is bounded by ``max_rows`` (doc_ids with the smallest hash); a doc_id stands in it once, with the smallest
+hash of its texts.
 
-Cases: a null text counts as empty; an empty text has zero for every statistic and is scored like any other; without
-labels of both kinds the score is the share of good labels (1 without labels); repeated rows get equal scores; other
-columns are not read; an empty table gives an empty result.
+Cases: a null text counts as empty; an empty text has zero for every statistic and is scored like any other; very long
+texts are counted whole; without labels of both kinds the score is the share of good labels (1 without labels); a doc_id
+with both labels counts as good; ties in the sample go to the smaller doc_id; repeated rows get equal scores; other
+columns are not read and stay as they are in ``with_stats``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,35 +21,39 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playmill.llm.common import free_name, quoted
 from playmill.llm.toxicity import held_out
 
 STATS = ["chars", "words", "word_length", "distinct_words", "distinct_parts", "upper", "marks", "odd_marks", "digits", "lines", "distinct_lines", "line_words"]
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``__stats`` of doubles."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def with_stats(docs: DataFrame, out: str = "__stats", text: str = "text") -> DataFrame:
+    """``docs`` with one struct column ``out`` of doubles more."""
+    names = [free_name(docs, n) for n in ("__text", "__words", "__lines", "__parts")]
+    t, w, lines, parts = map(F.col, names)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    split = docs.withColumn("__t", t).withColumn("__w", F.filter(F.split(F.col("__t"), r"\s+"), lambda w: w != "")).withColumn("__l", F.filter(F.split(F.col("__t"), "\n"), lambda x: x != "")).withColumn("__p", F.split(F.col("__t"), r"[.!?|\n]+"))
-    n, w, lines = F.length("__t").cast("double"), F.size("__w").cast("double"), F.size("__l").cast("double")
-    count = lambda pattern: F.regexp_count(F.col("__t"), F.lit(pattern)).cast("double")
+    split = docs.withColumn(names[0], F.coalesce(F.col(quoted(text)), F.lit("")))
+    split = split.withColumn(names[1], F.filter(F.split(t, r"\s+"), lambda x: x != "")).withColumn(names[2], F.filter(F.split(t, "\n"), lambda x: x != "")).withColumn(names[3], F.split(t, r"[.!?|\n]+"))
+    n, words, n_lines = F.length(t).cast("double"), F.size(w).cast("double"), F.size(lines).cast("double")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
+    distinct = lambda c: F.size(F.array_distinct(c)).cast("double")
     return split.withColumn(
-        "__stats",
+        out,
         F.struct(
             n.alias("chars"),
-            w.alias("words"),
-            ratio(n, w).alias("word_length"),
-            ratio(F.size(F.array_distinct("__w")).cast("double"), w).alias("distinct_words"),
-            ratio(F.size(F.array_distinct("__p")).cast("double"), F.size("__p").cast("double")).alias("distinct_parts"),
+            words.alias("words"),
+            ratio(n, words).alias("word_length"),
+            ratio(distinct(w), words).alias("distinct_words"),
+            ratio(distinct(parts), F.size(parts).cast("double")).alias("distinct_parts"),
             ratio(count(r"\p{Lu}"), n).alias("upper"),
-            ratio(count(r"[^\p{L}\p{N}\s]"), w).alias("marks"),
-            ratio(count(r"[^\p{L}\p{N}\s.,;:'\"!?()-]"), w).alias("odd_marks"),
+            ratio(count(r"[^\p{L}\p{N}\s]"), words).alias("marks"),
+            ratio(count(r"[^\p{L}\p{N}\s.,;:'\"!?()-]"), words).alias("odd_marks"),
             ratio(count(r"\p{N}"), n).alias("digits"),
-            lines.alias("lines"),
-            ratio(F.size(F.array_distinct("__l")).cast("double"), lines).alias("distinct_lines"),
-            ratio(w, lines).alias("line_words"),
+            n_lines.alias("lines"),
+            ratio(distinct(lines), n_lines).alias("distinct_lines"),
+            ratio(words, n_lines).alias("line_words"),
         ),
-    ).drop("__t", "__w", "__l", "__p")
+    ).drop(*names)
 
 
 @dataclass
@@ -155,7 +161,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> R
     """The rules learnt from labelled rows outside the held-out third."""
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("__y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("__y", "__stats.*").toPandas()
+    # at most max_rows ids, so they are broadcast; one text of each
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = with_stats(texts).select("__y", "__stats.*").toPandas()
     rows = rows.sort_values(list(rows.columns))
     return fit_rules(rows[STATS].to_numpy(dtype=float), rows["__y"].to_numpy(dtype=float))
 

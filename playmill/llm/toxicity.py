@@ -7,11 +7,15 @@ backward messages over whole texts give each token's probability; a document's s
 highest token log-odds and its number of likely tokens, and tokens at 0.5 or more are returned with their offsets.
 
 The sample of labelled rows that the model is fitted on holds each pair of whole text and label once and is bounded by
-``max_toxic`` and ``max_clean`` (rows with the smallest hash of doc_id; texts over ``max_chars`` are left to the others).  Everything is scored whole.
+``max_toxic`` and ``max_clean`` (rows with the smallest hash of doc_id) and by ``max_chars`` (longer texts are not learnt
+from), so it is 80 MB of characters at most.  Everything is scored whole.
 
 Cases: a null or empty text, or one of white space only, has no tokens and gets the score of a text without toxic
-words; without labels of both kinds the score is the share of toxic labels (0 without labels); repeated rows get equal
-results; other columns are not read by ``toxicity_scores``; an empty table gives an empty result.
+words; very long texts are tagged whole, row after row of tokens; without labels of both kinds the score is the share of
+toxic labels (0 without labels); a doc_id with both labels counts as toxic, and one text with both labels is learnt from
+under each; a doc_id with several texts is learnt from by one of them; ties in the sample go to the smaller doc_id;
+repeated rows get equal results; other columns are not read by ``toxicity_scores``, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -263,7 +267,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, skip: Column
     return found["text"].tolist(), found["__y"].tolist(), totals
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, max_chars: int = 200_000) -> TokenChain:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 3000, max_chars: int = 20_000) -> TokenChain:
     """The chain learnt from the labelled rows outside the held-out fifth."""
     texts, toxic, totals = labelled_sample(docs, labels, "toxic", held_out(F.col("doc_id"), 5, 0), {1: max_toxic, 0: max_clean}, max_chars)
     ours = {y: max(1, toxic.count(y)) for y in (0, 1)}
