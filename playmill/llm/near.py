@@ -218,7 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
         held = round_of(least.select("u", F.col("m").alias("v")).unionByName(passed).distinct())
     while True:
         above = held.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        held = round_of(held.select("u", "v").join(above, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
+        # parents with their own parent, if any, and the number of their children, of which a root may have very many
+        parents = held.groupBy("v").agg(F.count(F.lit(1)).alias("children")).join(above, "v", "left")
+        held = round_of(join_hot(held.select("u", "v"), parents, "v", "children", F.col("u")).select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
         if held.where("moved").isEmpty():
             break
     roots = held.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playmill.llm import lines, near, onebit, packing, pieces, quality, sharding, toxicity, urls, voronoi
+from playmill.llm import lines, near, onebit, oracles, packing, pieces, quality, sharding, toxicity, urls, voronoi
 
 
 def tokenizer_file(name: str) -> str:
@@ -50,7 +50,8 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    judged = urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +96,7 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_voronoi_top_k": oracles.top_k_sql(k=5, every=50, scale=256),
+    "op5_url_filter": oracles.url_sql(URL_RULES, damping=0.85, rounds=8, threshold=0.5),
+}
