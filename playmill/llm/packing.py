@@ -141,10 +141,11 @@ def rank_ranges(demand: dict[int, int], patterns: list[Pattern], first: int) ->
 
 
 class WordIds:
-    """Ids of words without white space, as little-endian bytes; remembers words and the parts they are made of.
+    """Ids of texts and words, as little-endian bytes; remembers words and the parts they are made of.
 
-    The vocabulary's pre-tokens encode on their own.  Words of plain letters, digits and marks are cut into them here;
-    any other word is handed to the tokenizer whole.
+    The vocabulary's pre-tokens encode on their own, and white space never survives its normaliser.  Texts and words of
+    plain letters, digits and marks are cut into pre-tokens here; any other text is cut into words first, and its words
+    that are not plain are handed to the tokenizer whole.
     """
 
     #: ASCII without white space, and the letters of Latin-1 with the two signs among them; all in composed form.
@@ -152,6 +153,12 @@ class WordIds:
     #: The pre-tokens: contractions, letters, single digits, other marks.
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
+    #: The white space of the vocabulary's normaliser, which is not quite Python's, and what Python takes for some.
+    WHITE, OTHERS = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
+    #: What a plain text does not hold, and its pre-tokens, between white space.
+    ODD = re.compile("[^\t-\r -~\u0085\u00a0\u00c0-\u00ff]|<\\|")
+    TEXT_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\t-\r \u0085\u00a0]+")
+
     def __init__(self, tokenizer_file: str, slice_of: int = 4000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -160,6 +167,17 @@ class WordIds:
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.words, self.parts = Remembered(), Remembered()
 
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        plain = [not self.ODD.search(t) for t in texts]
+        split = [self.TEXT_PARTS.findall(t.lower()) if ok else self._words_of(t) for t, ok in zip(texts, plain)]
+        parts = self.parts.fill(set().union(*(ps for ps, ok in zip(split, plain) if ok)), self._new_parts)
+        words = self.of(set().union(*(ws for ws, ok in zip(split, plain) if not ok)))
+        return [b"".join(map((parts if ok else words).__getitem__, xs)) for xs, ok in zip(split, plain)]
+
+    def _words_of(self, text: str) -> list[str]:
+        return text.split() if text.isascii() and not self.OTHERS.search(text) else [w for w in self.WHITE.split(text) if w]
+
     def of(self, found: set[str]) -> dict[str, bytes]:
         """A dict with the ids of every word of ``found``."""
         return self.words.fill(found, self._new_words)
@@ -190,24 +208,16 @@ class WordIds:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
-    """Per document: doc_tokens and the pieces (start, length, ids_crc32) that ``capacity`` cuts its ids into.
-
-    White space never survives this vocabulary's normaliser and no token spans it, so words are tokenised on their own
-    and remembered by each worker.
-    """
+    """Per document: doc_tokens and the pieces (start, length, ids_crc32) that ``capacity`` cuts its ids into."""
 
     def make():
         words = per_worker(("word ids", tokenizer_file), lambda: WordIds(tokenizer_file))
-        # the white space of the vocabulary's normaliser, which is not quite Python's
-        white, others = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split = [t.split() if t.isascii() and not others.search(t) else [w for w in white.split(t) if w] for t in (x or "" for x in batch.column(1).to_pylist())]
-            known = words.of({w for ws in split for w in ws}).__getitem__
             lengths, pieces = [], []
-            for ws in split:
-                raw = b"".join(map(known, ws)) + end
+            for ids in words.of_texts([x or "" for x in batch.column(1).to_pylist()]):
+                raw = ids + end
                 lengths.append(len(raw) // 4)
                 pieces.append([{"start": at // 4, "length": min(capacity, (len(raw) - at) // 4), "ids_crc32": zlib.crc32(raw[at : at + 4 * capacity])} for at in range(0, len(raw), 4 * capacity)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
