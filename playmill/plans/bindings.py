@@ -53,6 +53,14 @@ SELECT user_id AS game_id, event_id AS play_id, CAST(1 + (event_id * 4) % 5 AS I
        CAST(sum(CASE WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 1 + event_id % 3 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS INT) AS home_score,
        CAST((event_id * 3) % 100 - 3 AS DOUBLE) AS x, CAST((event_id * 5) % 96 - 1 AS DOUBLE) AS y
 FROM events""",
+    "steps": """
+SELECT run_id, seq, quarter, CAST(CASE run_id % 3 WHEN 0 THEN 300 WHEN 1 THEN greatest(0, 720 - 40 * place + place % 2 * 100) ELSE greatest(0, 720 - 120 * place) END AS INT) AS seconds,
+       CAST(away - CASE WHEN seq % 13 = 0 THEN 5 WHEN seq % 9 = 0 THEN 2 ELSE 0 END AS INT) AS away, CAST(home AS INT) AS home, CAST(seq % 4 AS INT) AS points,
+       CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 5 = 0 THEN 'End of period' WHEN seq % 5 = 1 THEN 'SUB: P1 FOR P2' WHEN seq % 5 = 2 THEN 'Timeout' WHEN seq % 5 = 3 THEN 'P3 MISS 3PT' ELSE 'P4 free throw' END AS description
+FROM (SELECT run_id, seq, away, home, CAST(1 + floor((rn - 1) / CASE run_id % 3 WHEN 0 THEN 6.0 WHEN 1 THEN 16.0 ELSE 8.0 END) AS INT) AS quarter, CAST((rn - 1) % CASE run_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 16 ELSE 8 END AS INT) AS place
+  FROM (SELECT user_id AS run_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+        sum(CASE WHEN event_id % 2 = 0 THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS away,
+        sum(CASE WHEN event_id % 2 = 1 THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS home FROM events))""",
     "teams": """
 SELECT n_nationkey AS team_id, n_name AS abbr, n_name || ' of ' || r_name AS full_name, r_name AS conference, n_regionkey * 2 + n_nationkey % 2 AS division
 FROM nation JOIN region ON n_regionkey = r_regionkey""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from playmill.functions import clock
 from playmill.plans.registry import query
-from playmill.streaming import validator, windows
+from playmill.streaming import rules, validator, windows
 
 
 def _as_runs(plays: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _as_runs(plays: DataFrame) -> DataFrame:
 
 @query("t03_validator", None, "plays")
 def validator_verdicts(plays: DataFrame) -> DataFrame:
-    """T3, T6 to T8, T10 and T13, and T4, T5 and T14 in part (README): verdicts of the ordered checks, folded per run."""
+    """Verdicts of the ordered checks, folded per run."""
     return validator.validate(_as_runs(plays))
 
 
@@ -56,3 +56,90 @@ def sliding(events: DataFrame) -> DataFrame:
 def sessions(events: DataFrame) -> DataFrame:
     """Sessions with a gap of two hours."""
     return windows.sessions(events, "ts", "2 hours", ["user_id"], [F.count(F.lit(1)).alias("n"), F.min("ts").alias("start")]).select("user_id", "start", "n")
+
+
+W = "WINDOW w AS (PARTITION BY run_id ORDER BY seq)"
+RUN, SEQ = ["run_id"], "seq"
+
+
+@query("t15_records", None, "steps")
+def records(steps: DataFrame) -> DataFrame:
+    """Records of terminal verdicts for storage, with the state of the game."""
+    return validator.with_records(validator.validate(steps), steps)
+
+
+@query("t02_fast_fold", None, "steps")
+def fast_fold(steps: DataFrame) -> DataFrame:
+    """The fast mode of the fold, which forgets the clock at a transition."""
+    return validator.validate(steps, validator.Limits(fast=True))
+
+
+@query("t02_fast_mode", f"""WITH a AS (SELECT *, lower(coalesce(description, '')) AS d, seconds = 0 AS z, lag(seconds) OVER w AS ps FROM steps {W}),
+b AS (SELECT *, sum(CASE WHEN ps = seconds THEN 0 ELSE 1 END) OVER w AS part, list(CASE WHEN z THEN CASE WHEN contains(d, 'period') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(d, 'sub|timeout|jump|technical|unknown') THEN 1 ELSE 0 END ELSE -1 END) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS held FROM a {W}),
+c AS (SELECT *, list_filter(coalesce(held, []), lambda x: x >= 0) AS ago, row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS same FROM b),
+e AS (SELECT *, contains(d, 'period') OR len(list_filter(ago, lambda x: x >= 2)) > 0 OR (len(list_filter(ago[greatest(len(ago) - 7, 1):], lambda x: x % 2 = 1)) >= 2 AND (len(ago) >= 4 OR same >= 4)) AS ends FROM c)
+SELECT seq, CASE WHEN z AND quarter = 4 THEN 'END_GAME' WHEN z AND quarter < 4 AND ends THEN 'QUARTER_TRANSITION' WHEN same >= 5 THEN 'ROLLBACK_TIME' ELSE 'VALID' END AS verdict FROM e""", "steps")
+def fast_mode(steps: DataFrame) -> DataFrame:
+    """The fast mode by windows; the clock is not forgotten at a transition."""
+    return rules.fast_verdicts(steps, RUN, SEQ, "quarter", "seconds", "description").select("seq", "verdict")
+
+
+@query("t04_patterns", """WITH a AS (SELECT *, concat_ws('|', CASE WHEN points > 0 THEN 'SHOT:' || points || 'PT' END, CASE WHEN contains(upper(description), 'MISS') THEN 'DESC:MISS' WHEN contains(upper(description), 'SUB') THEN 'DESC:SUB' WHEN contains(upper(description), 'TIMEOUT') THEN 'DESC:TIMEOUT' END) AS p FROM steps)
+SELECT seq, CASE WHEN p = '' THEN 'GENERIC_PLAY' ELSE p END AS pattern, row_number() OVER (PARTITION BY run_id, p ORDER BY seq) % 12 = 0 AS fired FROM a""", "steps")
+def patterns(steps: DataFrame) -> DataFrame:
+    """T4, F-S12: play signatures and their twelfth repetition."""
+    return rules.pattern_strikes(steps, RUN, SEQ, rules.play_pattern(F.lit(None).cast("string"), F.col("points"), F.col("description"))).select("seq", "pattern", "fired")
+
+
+@query("fs12_pattern", "SELECT play_id, 'PLAYER:' || player || CASE WHEN play_id % 4 > 0 THEN '|SHOT:' || play_id % 4 || 'PT' ELSE '' END || CASE WHEN description IS NULL OR event_type = 'purchase' OR event_type = 'signup' THEN '' WHEN event_type = 'click' THEN '|DESC:MISS' WHEN event_type = 'view' THEN '|DESC:SUB' ELSE '|DESC:FOUL-TURNOVER' END AS pattern FROM plays", "plays")
+def pattern(plays: DataFrame) -> DataFrame:
+    """F-S12: signatures of players, points and key words."""
+    return plays.select("play_id", rules.play_pattern(F.col("player"), F.col("play_id") % 4, F.col("description")).alias("pattern"))
+
+
+@query("t05_stuck_clock", f"""WITH a AS (SELECT *, lag(seconds) OVER w AS ps, row_number() OVER w AS rn FROM steps {W}), b AS (SELECT *, sum(CASE WHEN ps = seconds THEN 0 ELSE 1 END) OVER w AS part FROM a {W}),
+c AS (SELECT *, row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS same, min(rn) OVER (PARTITION BY run_id, part) AS begun FROM b), d AS (SELECT *, same > 0 AND same % 8 = 0 AS fired FROM c)
+SELECT d.seq, d.same, d.fired, CASE WHEN d.fired THEN coalesce(string_agg(CAST(p.seq AS STRING), ',' ORDER BY p.seq), '') END AS restored FROM d LEFT JOIN a p ON d.fired AND p.run_id = d.run_id AND p.rn < d.begun AND p.rn >= d.begun - 19 GROUP BY d.seq, d.same, d.fired""", "steps")
+def stuck(steps: DataFrame) -> DataFrame:
+    """Plays at one clock, and the plays a rollback restores."""
+    got = rules.stuck_clock(steps, RUN, SEQ, ["seconds"])
+    return got.select("seq", F.col("same").cast("long").alias("same"), "fired", F.array_join(F.transform("restored", lambda s: s.cast("string")), ",").alias("restored"))
+
+
+@query("t07_clock_strikes", f"WITH a AS (SELECT *, lag(quarter) OVER w AS pq, lag(seconds) OVER w AS ps FROM steps {W}), b AS (SELECT *, sum(CASE WHEN pq = quarter THEN 0 ELSE 1 END) OVER w AS part, coalesce(pq = quarter AND seconds - ps > 10, FALSE) AS f FROM a {W}) SELECT seq, f AND sum(CAST(f AS INT)) OVER (PARTITION BY run_id, part ORDER BY seq) % 5 = 0 AS fired FROM b", "steps")
+def clock_strikes(steps: DataFrame) -> DataFrame:
+    """The fifth time in a quarter that the clock runs forward."""
+    return rules.clock_strikes(steps, RUN, SEQ, "quarter", "seconds").select("seq", "fired")
+
+
+@query("t08_score_strikes", f"WITH a AS (SELECT *, coalesce(greatest(lag(away) OVER w - away, lag(home) OVER w - home), 0) AS f FROM steps {W}), b AS (SELECT *, coalesce(sum(CASE WHEN f > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM a) SELECT seq, f > 3 OR (f > 0 AND sum(CASE WHEN f BETWEEN 1 AND 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, part ORDER BY seq) % 5 = 0) AS fired FROM b", "steps")
+def score_strikes(steps: DataFrame) -> DataFrame:
+    """A large fall of the score, or the fifth small one."""
+    return rules.score_strikes(steps, RUN, SEQ, "away", "home").select("seq", "fired")
+
+
+@query("t11_quarter_resets", f"WITH a AS (SELECT *, quarter - lag(quarter) OVER w AS up FROM steps {W}), b AS (SELECT *, coalesce(up = 1 AND CASE WHEN quarter <= 4 THEN abs(seconds - 720) > 300 ELSE abs(seconds - 300) > 180 END, FALSE) AS f FROM a) SELECT seq, coalesce(up > 2, FALSE) OR (f AND sum(CAST(f AS INT)) OVER w % 5 = 0) AS fired FROM b {W}", "steps")
+def quarter_resets(steps: DataFrame) -> DataFrame:
+    """Skipped quarters, and the fifth quarter that begins far from its full clock."""
+    return rules.quarter_resets(steps, RUN, SEQ, "quarter", "seconds").select("seq", "fired")
+
+
+@query("t12_situations", f"WITH a AS (SELECT *, abs(away - home) AS g, upper(coalesce(description, '')) AS d FROM steps), b AS (SELECT *, (contains(d, 'TIMEOUT') AND g > 20 AND seconds >= 120) OR (points = 1 AND NOT contains(d, 'FREE')) OR (contains(d, 'SUB') AND seconds < 30 AND g <= 3) AS f FROM a) SELECT seq, f AS odd, f AND sum(CAST(f AS INT)) OVER w % 8 = 0 AS fired FROM b {W}", "steps")
+def situations(steps: DataFrame) -> DataFrame:
+    """Plays that make no sense at the score and clock, and every eighth of a run."""
+    odd = rules.odd_situation(*[F.col(c) for c in ("description", "quarter", "seconds", "away", "home", "points")])
+    return steps.withColumn("odd", odd).select("seq", "odd", rules.strikes(F.col("odd"), 8, RUN, SEQ).alias("fired"))
+
+
+@query("t13_text_strikes", f"WITH a AS (SELECT *, coalesce(points > 0 AND contains(upper(description), 'MISS'), FALSE) AS f FROM steps) SELECT seq, f AND sum(CAST(f AS INT)) OVER w % 6 = 0 AS fired FROM a {W}", "steps")
+def text_strikes(steps: DataFrame) -> DataFrame:
+    """The sixth play with points whose words say it missed."""
+    return steps.select("seq", rules.strikes((F.col("points") > 0) & F.upper("description").contains("MISS"), 6, RUN, SEQ).alias("fired"))
+
+
+@query("t15_first_end", f"WITH a AS (SELECT *, lag(seconds) OVER w AS ps FROM steps {W}), b AS (SELECT *, sum(CASE WHEN ps = seconds THEN 0 ELSE 1 END) OVER w AS part FROM a {W}), c AS (SELECT *, row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS same FROM b), d AS (SELECT *, CASE WHEN quarter = 4 AND seconds = 0 THEN 'game_ended' WHEN same = 8 THEN 'rollback_time' END AS type FROM c) SELECT run_id, min(seq) AS at, arg_min(type, seq) AS type, arg_min(quarter, seq) AS quarter, arg_min(seconds, seq) AS seconds, arg_min(away, seq) AS away, arg_min(home, seq) AS home, count(*) AS terminations FROM d WHERE type IS NOT NULL GROUP BY run_id", "steps")
+def first_end(steps: DataFrame) -> DataFrame:
+    """The first terminal verdict of each run, with its state."""
+    stood = rules.stuck_clock(steps, RUN, SEQ, ["seconds"])
+    verdict = F.when((F.col("quarter") == 4) & (F.col("seconds") == 0), "END_GAME").when(F.col("same") == 8, "ROLLBACK_TIME")
+    return rules.termination_record(stood.withColumn("verdict", verdict), RUN, SEQ).drop("description")

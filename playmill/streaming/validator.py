@@ -1,31 +1,51 @@
 """Sequence-state validation: one fold per run, used in batch and in Structured Streaming.
 
-Checks run in a fixed order and the first that fires decides.  All compare a play with the play before it; the state
-moves on only afterwards.  Batch and stream share ``step``, so both give the same verdicts for the same order.
+Checks run in a fixed order and the first that fires decides.  All compare a play with the play before it and with the
+context, the last ``Limits.context`` plays; the state moves on only afterwards.  A rollback restores the context to the
+plays before the clock stood still, a transition forgets the clock.  Batch and stream share ``step``, so both give the
+same verdicts for the same order; the stream sorts the rows of a batch and gives a late one, behind a play that was
+judged already, the verdict LATE without a change of state.
+
+Windows of ``playmill.streaming.rules`` count the same strikes without Python where no restart of state is needed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from playmill.streaming.rules import ADMIN_WORDS, PATTERN_WORDS
 
 IN = "run_id long, seq long, quarter int, seconds int, away int, home int, points int, description string"
-OUT = "run_id long, seq long, verdict string, reason string"
+OUT = "run_id long, seq long, verdict string, reason string, trigger string, consecutive int, attempts int, restored array<long>, next_quarter int"
 
 
 @dataclass
 class Limits:
-    """Fixed values of the normal mode; pass others to change them."""
+    """Fixed values of the normal mode; pass others to change them.  ``fast`` checks end, transition and clock only."""
 
+    fast: bool = False
+    context: int = 20
     same_text: int = 3
     similar: float = 0.85
     look_back: int = 5
+    similar_plays: int = 3
+    similar_strikes: int = 5
+    pattern: int = 12
+    patterns_held: int = 50
     same_clock: int = 8
-    snapshot_at: int = 2
+    fast_same_clock: int = 5
+    admin_at: int = 3
+    substitutions_at: int = 4
+    stall_at: int = 5
+    low_clock: int = 5
+    low_clock_plays: int = 5
     clock_forward: int = 10
     clock_strikes: int = 5
     score_drop: int = 3
@@ -35,6 +55,9 @@ class Limits:
     max_quarter_jump: int = 3
     max_score: int = 300
     shot_gap: int = 5
+    quarter_skip: int = 2
+    quarter_strikes: int = 5
+    situation_strikes: int = 8
     substitutions: int = 10
     text_strikes: int = 6
 
@@ -48,72 +71,177 @@ class State:
     away: int = 0
     home: int = 0
     plays: int = 0
+    last_seq: int | None = None
     same_text: int = 0
     same_clock: int = 0
+    low_clock: int = 0
     substitutions: int = 0
+    similar_strikes: int = 0
     clock_strikes: int = 0
     score_strikes: int = 0
+    quarter_strikes: int = 0
+    situation_strikes: int = 0
     text_strikes: int = 0
-    recent: list[str] = field(default_factory=list)
-    snapshot: int = -1
+    patterns: dict[str, int] = field(default_factory=dict)
+    context: list[list] = field(default_factory=list)  # (seq, quarter, seconds, text)
+    snapshot: list[list] | None = None
     ended: bool = False
 
 
+@dataclass
+class Verdict:
+    """One play's verdict; ``restored`` are the plays a rollback goes back to, ``next_quarter`` where a transition leads."""
+
+    verdict: str = "VALID"
+    reason: str = ""
+    trigger: str | None = None
+    consecutive: int | None = None
+    restored: list[int] | None = None
+    next_quarter: int | None = None
+
+
+def _plain(text: str) -> str:
+    text = re.sub(r"\d+:\d+", "TIME", text.upper())
+    return re.sub(r"\d+", "NUM", re.sub(r"\d+ - \d+", "SCORE", text))
+
+
 def _overlap(a: str, b: str) -> float:
-    x, y = set(a.lower().split()), set(b.lower().split())
+    x, y = set(_plain(a).split()), set(_plain(b).split())
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
-def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, points: int, text: str, lim: Limits) -> tuple[str, str]:
+def _has(text: str, words: tuple[str, ...]) -> bool:
+    return any(w in text.lower() for w in words)
+
+
+def _pattern(points: int, text: str) -> str:
+    words = [w for w in PATTERN_WORDS if w in text.upper()][:3]
+    return "|".join([f"SHOT:{points}PT"] * (points > 0) + ["DESC:" + "-".join(words)] * bool(words)) or "GENERIC_PLAY"
+
+
+def _odd_situation(quarter: int, seconds: int, gap: int, points: int, text: str) -> bool:
+    text, late, last = text.upper(), seconds < 120, seconds < 30 and gap <= 3
+    return (
+        ("TIMEOUT" in text and gap > 20 and not late)
+        or ("FOUL" in text and "INTENTIONAL" in text and quarter < 4 and not late and gap > 15)
+        or (last and gap > 1 and ("SLOW" in text or "DELIBERATE" in text))
+        or (points == 1 and not ("FOUL" in text or "FREE" in text))
+        or (last and "SUB" in text)
+    )
+
+
+def _quarter_end(s: State, quarter: int, seconds: int, text: str, lim: Limits) -> str | None:
+    """Why a quarter before the fourth ends here, or None."""
+    if seconds != 0 or not 0 < quarter < 4:
+        return None
+    zero = [c[3] for c in s.context if c[2] == 0]
+    if "period" in text.lower() or any("period" in t.lower() for t in zero):
+        return "end of period"
+    if lim.fast:
+        return "administrative plays" if sum(_has(t, ADMIN_WORDS) for t in zero[-8:]) >= 2 and (s.same_clock >= 4 or len(zero) >= 4) else None
+    recent = [c[3] for c in s.context[-6:] if c[2] == 0]
+    admin = ("substitution", "timeout", "unknown", "end of", "technical")
+    if s.same_clock >= lim.admin_at and _has(text, admin) and 1 + sum(_has(t, admin) for t in recent[-5:]) >= 3:
+        return "administrative plays"
+    if s.same_clock >= lim.substitutions_at and sum("sub" in t.lower() for t in [*recent, text]) >= 3:
+        return "substitutions"
+    return "clock stands at the end" if s.same_clock >= lim.stall_at else None
+
+
+def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, points: int, text: str, lim: Limits) -> Verdict:
     """The verdict on one play; ``s`` is updated in place."""
+    if s.last_seq is not None and seq <= s.last_seq:
+        return Verdict("LATE", "behind a play that was judged already")
+    s.last_seq = seq
     if s.ended:
-        return "END_GAME", "after the end"
+        return Verdict("END_GAME", "after the end")
     first = s.plays == 0
-    same_clock = not first and (quarter, seconds) == (s.quarter, s.seconds)
-    s.same_text = s.same_text + 1 if s.recent and text == s.recent[-1] else 0
-    similar = any(text != r and _overlap(text, r) > lim.similar for r in s.recent)
-    s.same_clock = s.same_clock + 1 if same_clock else 0
-    if s.same_clock == lim.snapshot_at:
-        s.snapshot = seq - lim.snapshot_at
+    same_quarter = not first and quarter == s.quarter
+    s.same_clock = s.same_clock + 1 if same_quarter and seconds == s.seconds else 0
+    if s.same_clock == 1:  # the context up to the last play with another clock
+        s.snapshot = [c for c in s.context if (c[1], c[2]) != (quarter, seconds)]
+    s.low_clock = s.low_clock + 1 if quarter == 4 and seconds < lim.low_clock else 0
+    recent = [c[3] for c in s.context[-lim.look_back :]]
+    s.same_text = s.same_text + 1 if recent and text == recent[-1] else 0
+    s.similar_strikes += sum(text != r and _overlap(text, r) > lim.similar for r in recent) >= lim.similar_plays
     s.substitutions = s.substitutions + 1 if "SUB" in text.upper() else 0
-    forward = not first and quarter == s.quarter and seconds - s.seconds > lim.clock_forward
+    pattern = _pattern(points, text)
+    s.patterns[pattern] = s.patterns.get(pattern, 0) + 1
+    if len(s.patterns) > lim.patterns_held:
+        s.patterns = {k: n for k, n in s.patterns.items() if n > 1}
     drop = 0 if first else max(s.away - away, s.home - home)
     jump = 0 if first else max(away - s.away, home - s.home)
-    s.clock_strikes += forward
+    ahead = 0 if first else quarter - s.quarter
+    s.clock_strikes = (s.clock_strikes if same_quarter else 0) + (same_quarter and seconds - s.seconds > lim.clock_forward)
     s.score_strikes += drop > 0
+    full, tolerance = (720, 300) if quarter <= 4 else (300, 180)
+    s.quarter_strikes += ahead == 1 and abs(seconds - full) > tolerance
+    s.situation_strikes += _odd_situation(quarter, seconds, abs(away - home), points, text)
     s.text_strikes += points > 0 and "MISS" in text.upper()
 
-    verdict = ("VALID", "")
-    if quarter >= 4 and seconds == 0 and away != home:
-        verdict, s.ended = ("END_GAME", "time expired"), True
-    elif seconds == 0 and quarter < 4 and "PERIOD" in text.upper():
-        verdict = ("QUARTER_TRANSITION", "end of period")
-    elif s.same_text >= lim.same_text:
-        verdict, s.same_text = ("RETRY", "repeated response"), 0
-    elif similar:
-        verdict = ("RETRY", "near-duplicate response")
-    elif s.same_clock >= lim.same_clock:
-        verdict, s.same_clock = ("ROLLBACK_TIME", f"clock stuck, back to {s.snapshot}"), 0
+    out = Verdict()
+    ending = _quarter_end(s, quarter, seconds, text, lim)
+    if quarter >= 4 and seconds == 0 and away != home or lim.fast and quarter == 4 and seconds == 0:
+        out, s.ended = Verdict("END_GAME", "time expired", "quarter_4_time_expired"), True
+    elif s.low_clock >= lim.low_clock_plays and not lim.fast:
+        out, s.ended = Verdict("END_GAME", "clock runs out", "low_clock", s.low_clock), True
+    elif ending:
+        out = Verdict("QUARTER_TRANSITION", ending, "end_of_quarter", s.same_clock, next_quarter=quarter + 1)
+    elif s.same_clock >= (lim.fast_same_clock if lim.fast else lim.same_clock):
+        held = s.snapshot or []
+        out = Verdict("ROLLBACK_TIME", f"clock stuck, back to {held[-1][0] if held else -1}", "same_clock", s.same_clock, [c[0] for c in held])
+    elif not lim.fast:
+        out = _retry(s, out, drop, jump, ahead, points, max(away, home), pattern, lim)
+    s.quarter, s.seconds, s.away, s.home, s.plays = quarter, seconds, away, home, s.plays + 1
+    s.context = [*s.context, [seq, quarter, seconds, text]][-lim.context :]
+    if out.verdict == "ROLLBACK_TIME":
+        s.context, s.snapshot = s.snapshot or [], None
+    if out.verdict in ("ROLLBACK_TIME", "QUARTER_TRANSITION"):
+        s.same_clock, s.seconds = 0, -1
+    return out
+
+
+def _retry(s: State, out: Verdict, drop: int, jump: int, ahead: int, points: int, top: int, pattern: str, lim: Limits) -> Verdict:
+    """The checks that ask for another play, in order; the counter of the one that fires starts again."""
+    again = lambda reason, trigger, n=None: Verdict("RETRY", reason, trigger, n)
+    if s.same_text >= lim.same_text:
+        out, s.same_text = again("repeated response", "same_text", s.same_text), 0
+    elif s.similar_strikes >= lim.similar_strikes:
+        out, s.similar_strikes = again("near-duplicate responses", "similar", s.similar_strikes), 0
+    elif s.patterns.get(pattern, 0) >= lim.pattern:
+        out, s.patterns[pattern] = again(f"pattern repeated: {pattern}", "pattern", lim.pattern), 0
     elif s.substitutions >= lim.substitutions:
-        verdict, s.substitutions = ("RETRY", "too many substitutions"), 0
+        out, s.substitutions = again("too many substitutions", "substitutions", s.substitutions), 0
     elif s.clock_strikes >= lim.clock_strikes:
-        verdict, s.clock_strikes = ("RETRY", "clock runs forward"), 0
+        out, s.clock_strikes = again("clock runs forward", "clock", s.clock_strikes), 0
     elif drop > lim.score_drop or s.score_strikes >= lim.score_strikes:
-        verdict, s.score_strikes = ("RETRY", "score falls"), 0
+        out, s.score_strikes = again("score falls", "score", s.score_strikes), 0
     elif abs(jump - points) > lim.shot_gap:
-        verdict = ("RETRY", "score and shot disagree")
-    elif points > lim.max_points or jump > lim.max_jump or max(away, home) > lim.max_score or (not first and quarter - s.quarter > lim.max_quarter_jump):
-        verdict = ("RETRY", "impossible figures")
+        out = again("score and shot disagree", "shot")
+    elif points > lim.max_points or jump > lim.max_jump or top > lim.max_score or ahead > lim.max_quarter_jump:
+        out = again("impossible figures", "impossible")
+    elif ahead > lim.quarter_skip:
+        out = again("quarters skipped", "quarter_skip")
+    elif s.quarter_strikes >= lim.quarter_strikes:
+        out, s.quarter_strikes = again("quarters begin far from their full clock", "quarter", s.quarter_strikes), 0
+    elif s.situation_strikes >= lim.situation_strikes:
+        out, s.situation_strikes = again("plays do not fit the situation", "situation", s.situation_strikes), 0
     elif s.text_strikes >= lim.text_strikes:
-        verdict, s.text_strikes = ("RETRY", "text contradicts points"), 0
-    s.quarter, s.seconds, s.away, s.home, s.plays = quarter, seconds, away, home, s.plays + 1
-    s.recent = [*s.recent[-(lim.look_back - 1) :], text]
-    return verdict
+        out, s.text_strikes = again("text contradicts points", "text", s.text_strikes), 0
+    return out
 
 
 def _fold(rows: pd.DataFrame, s: State, lim: Limits) -> pd.DataFrame:
-    got = [step(s, int(r.seq), int(r.quarter), int(r.seconds), int(r.away), int(r.home), int(r.points), r.description or "", lim) for r in rows.sort_values("seq").itertuples()]
-    return pd.DataFrame({"run_id": rows.sort_values("seq")["run_id"], "seq": rows.sort_values("seq")["seq"], "verdict": [g[0] for g in got], "reason": [g[1] for g in got]})
+    rows = rows.sort_values("seq", kind="stable")
+    columns = [rows[c].tolist() for c in ("seq", "quarter", "seconds", "away", "home", "points", "description")]
+    got = []
+    for seq, quarter, seconds, away, home, points, text in zip(*columns):
+        v = step(s, int(seq), int(quarter), int(seconds), int(away), int(home), int(points), text or "", lim)
+        got.append((v.verdict, v.reason, v.trigger, v.consecutive, s.plays, v.restored, v.next_quarter))
+    out = pd.DataFrame(got, columns=["verdict", "reason", "trigger", "consecutive", "attempts", "restored", "next_quarter"]).astype({"consecutive": "Int32", "next_quarter": "Int32"})
+    out.insert(0, "seq", columns[0])
+    out.insert(0, "run_id", rows["run_id"].tolist())
+    return out
 
 
 def validate(plays: DataFrame, lim: Limits | None = None) -> DataFrame:
@@ -122,15 +250,29 @@ def validate(plays: DataFrame, lim: Limits | None = None) -> DataFrame:
     return plays.groupBy("run_id").applyInPandas(lambda rows: _fold(rows, State(), limits), OUT)
 
 
-def validate_stream(plays: DataFrame, lim: Limits | None = None) -> DataFrame:
-    """The same over a stream: state is kept per run; rows of one run must arrive in order of seq."""
+def validate_stream(plays: DataFrame, lim: Limits | None = None, idle: str | None = None) -> DataFrame:
+    """The same over a stream: state is kept per run, and dropped once a run has been silent for ``idle`` ("2 hours")."""
     limits = lim or Limits()
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = State(**json.loads(state.get[0])) if state.exists else State()
-        rows = pd.concat(list(batches))
-        out = _fold(rows, s, limits)
+        out = _fold(pd.concat(list(batches)), s, limits)
         state.update((json.dumps(asdict(s)),))
+        if pause:
+            state.setTimeoutDuration(pause)
         yield out
 
-    return plays.groupBy("run_id").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    return plays.groupBy("run_id").applyInPandasWithState(run, OUT, "state string", "append", "ProcessingTimeTimeout" if pause else "NoTimeout")
+
+
+def with_records(verdicts: DataFrame, plays: DataFrame) -> DataFrame:
+    """Terminal verdicts as records for storage: type, reason, trigger, counts and the state of the game."""
+    kinds = {"END_GAME": "game_ended", "ROLLBACK_TIME": "rollback_time", "QUARTER_TRANSITION": "quarter_transition"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("verdict")]
+    ended = verdicts.where(F.col("verdict").isin(*kinds) & F.col("trigger").isNotNull())
+    state = plays.select("run_id", "seq", "quarter", "seconds", "away", "home", F.substring("description", 1, 100).alias("description"))
+    return ended.join(state, ["run_id", "seq"]).select("run_id", "seq", kind.alias("type"), "reason", "trigger", "consecutive", "attempts", "quarter", "seconds", "away", "home", "description", F.size("restored").alias("restored"))
