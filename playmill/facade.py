@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,9 +49,44 @@ def generate(plays: DataFrame, layout: str, n: int = 20, keys: tuple[str, ...] =
     return FORMATTERS[layout](training_pairs(plays, n, list(keys), order, value))
 
 
+def all_layouts(plays: DataFrame, **options) -> DataFrame:
+    """(layout, line): the training lines of every registered layout."""
+    out = [generate(plays, name, **options).select(F.lit(name).alias("layout"), "line") for name in FORMATTERS]
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Predictors by name: a function of question, context and attempt (from 0) that gives an answer.
+PREDICTORS: dict[str, Callable[[str, str, int], str]] = {
+    "echo": lambda question, context, attempt: question,
+    "countdown": lambda question, context, attempt: f"answer {context}" if attempt >= int(question) else "not yet",
+}
+
+
+def predict(questions: DataFrame, predictor: str, valid: Callable[[str], bool], max_retries: int = 3) -> DataFrame:
+    """Adds ``answer`` (the first valid one, else null) and ``attempts``, at most ``max_retries`` + 1.
+
+    ``questions`` has question and context; the predictor runs on the executors, batch by batch.
+    """
+    ask = PREDICTORS[predictor]
+
+    def one(question: str, context: str) -> tuple[str | None, int]:
+        for attempt in range(max_retries + 1):
+            if valid(answer := ask(question, context, attempt)):
+                return answer, attempt + 1
+        return None, max_retries + 1
+
+    def run(batches):
+        for rows in batches:
+            got = [one(q, c) for q, c in zip(rows["question"], rows["context"])]
+            yield rows.assign(answer=[g[0] for g in got], attempts=[g[1] for g in got])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema)
+    return questions.mapInPandas(run, f"{fields}, answer string, attempts int")
+
+
 def compare(plays: DataFrame, **options) -> dict[str, int]:
     """Number of lines each layout gives."""
-    return {name: generate(plays, name, **options).count() for name in FORMATTERS}
+    return {r["layout"]: r["count"] for r in all_layouts(plays, **options).groupBy("layout").count().collect()}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playmill.operators.checks import is_json
+
 
 def roster_index(names: Column, name: Column) -> Column:
     """Place of a name in a roster from 0, else -1."""
@@ -72,3 +79,68 @@ def capped_append(items: Column, item: Column, cap: int = 20) -> Column:
     """The item behind the list, the oldest gone beyond ``cap``."""
     grown = F.concat(items, F.array(item))
     return F.slice(grown, F.greatest(F.size(grown) - cap + 1, F.lit(1)), cap)
+
+
+def quarter_start(plays: Column, quarter: Column) -> Column:
+    """The plays without those at 0 seconds, and a fresh play that starts the quarter at the last known score."""
+    last = F.when(F.size(plays) > 0, F.element_at(plays, -1))
+    score = lambda side: F.coalesce(last[side], F.lit(0))
+    fields = {"q": quarter, "t": F.lit(720), "a": score("a"), "h": score("h"), "side": F.lit("A"), "idx": F.lit(-1), "ev": F.lit("quarter_start"), "pts": F.lit(0), "lineup": F.lit(0)}
+    kinds = {"side": "string", "ev": "string"}
+    start = F.struct(*[v.cast(kinds.get(k, "int")).alias(k) for k, v in fields.items()])
+    return F.concat(F.filter(plays, lambda p: p["t"] != 0), F.array(start))
+
+
+def player_object(name: Column, profile: dict[str, Column], minutes: Column, usage: Column) -> Column:
+    """struct(name, profile): scores to two decimals, minutes and usage as whole numbers, halves to even; unknown ones null."""
+    scores = [F.bround(c, 2).alias(k) for k, c in profile.items()]
+    whole = lambda c: F.when(~F.isnan(c), F.bround(c, 0).cast("int"))
+    return F.struct(name.alias("name"), F.struct(*scores, whole(minutes).alias("MPG"), whole(usage).alias("usage")).alias("profile"))
+
+
+def first_items(items: Column, n: int = 10) -> Column:
+    """The first n elements as JSON text."""
+    return F.to_json(F.slice(items, 1, n))
+
+
+CONTENT = re.compile(r'"content":"(?=\{)')
+BRACE = re.compile(r"[{}]")
+
+
+def _with_quoted_contents(line: str) -> str:
+    """``line`` with every object that stands bare inside a content string escaped."""
+    out, at = [], 0
+    while found := CONTENT.search(line, at):
+        depth, end = 0, len(line)
+        for brace in BRACE.finditer(line, found.end()):
+            depth += 1 if brace.group() == "{" else -1
+            if not depth:
+                end = brace.end()
+                break
+        out += [line[at : found.end()], line[found.end() : end].replace("\\", "\\\\").replace('"', '\\"')]
+        at = end
+    return "".join([*out, line[at:]])
+
+
+def _repaired(line: str | None) -> str | None:
+    """JSON of a line that is none: a Python literal, or JSON whose contents lack their escapes."""
+    for read in (ast.literal_eval, lambda t: json.loads(_with_quoted_contents(t))):
+        try:
+            return json.dumps(read(line.strip()), separators=(",", ":")) if line else None
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            continue
+    return None
+
+
+def repaired_json(line: Column) -> Column:
+    """The line where it is JSON, what can be read of it as JSON where it is not, else null.
+
+    Only lines that are no JSON go to Python.
+    """
+
+    @F.pandas_udf("string")
+    def repair(lines: pd.Series) -> pd.Series:
+        return lines.map(_repaired, na_action="ignore")
+
+    good = is_json(line)
+    return F.when(good, F.trim(line)).otherwise(repair(F.when(~good, line)))

@@ -162,3 +162,71 @@ def game_number(game_id: Column) -> Column:
 def preview(text: Column, n: int) -> Column:
     """The first n characters, with an ellipsis where more follow."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+# Layouts of a score text: two teams of 2 to 15 letters, each with its score.
+SCORE_LAYOUTS = [
+    r"^([A-Z]{2,15})\s*(\d+)\s*[-,]\s*([A-Z]{2,15})\s*(\d+)$",
+    r"^([A-Z]{2,15}): (\d+) ([A-Z]{2,15}): (\d+)$",
+    r"^([A-Z]{2,15}) (\d+) ([A-Z]{2,15}) (\d+)$",
+]
+
+
+def team_scores(score: Column) -> Column:
+    """struct(first_team, first_score, second_team, second_score) of a score text in any layout, else null."""
+    plain = F.trim(F.regexp_replace(F.upper(score), r"\s+", " "))
+    found = F.lit(None)
+    for layout in reversed(SCORE_LAYOUTS):
+        part = lambda i, layout=layout: F.regexp_extract(plain, layout, i)
+        made = F.struct(part(1).alias("first_team"), part(2).try_cast("int").alias("first_score"), part(3).alias("second_team"), part(4).try_cast("int").alias("second_score"))
+        found = F.when(plain.rlike(layout), made).otherwise(found)
+    return found
+
+
+# Sentences of event codes: codes, words behind a name, text without one.
+SENTENCES = [
+    (("ftm",), "made free throw", "Free throw made"),
+    (("fta",), "missed free throw", "Free throw missed"),
+    (("d_reb", "d"), "defensive rebound", "Defensive rebound"),
+    (("o_reb", "o"), "offensive rebound", "Offensive rebound"),
+    (("tov", "t"), "turnover", "Turnover"),
+    (("p_foul", "p"), "personal foul", "Personal foul"),
+    (("s_foul",), "shooting foul", "Shooting foul"),
+    (("t_foul",), "technical foul", "Technical foul"),
+    (("steal", "s"), "steal", "Steal"),
+    (("assist", "a"), "assist", "Assist"),
+    (("block", "b"), "block", "Block"),
+    (("flagrant", "f"), "flagrant foul", "Flagrant foul"),
+]
+# Events that name nobody, and shots by the beginning of their code: with a distance, and without one.
+NAMELESS = [("sub", "Substitution"), ("jumpball", "Jump ball"), ("timeout", "Timeout")]
+SHOT_SENTENCES = [("2p", "jumper", "2-point shot"), ("3p", "three-pointer", "Three-pointer")]
+
+
+def play_sentence(code: Column, place: Column, name: Column) -> Column:
+    """A play in words.  ``place`` is the actor's place in the roster, -1 for nobody; ``name`` their name or null.
+
+    The last word of a name is used, and "Player" where it is not known.  A layup always reads as missed.
+    """
+    event = F.lower(code)
+    last = F.element_at(F.split(F.trim(name), r"\s+"), -1)
+    who = F.when(place != -1, F.when(F.coalesce(last, F.lit("")) == "", "Player").otherwise(last))
+    named = lambda words, alone: F.when(who.isNull(), alone).otherwise(F.concat(who, F.lit(" "), words))
+    steps: list[tuple[Column, Column]] = []
+    for start, noun, bare in SHOT_SENTENCES:
+        feet = F.regexp_extract(event, start + r"[ma](\d+)", 1)
+        did = F.when(event.contains("m"), "made").otherwise("missed")
+        far = F.concat(feet, F.lit(f"' {noun}"))
+        steps.append((event.startswith(start) & (feet != ""), named(F.concat(did, F.lit(" "), far), F.concat(far, F.lit(" "), did))))
+        steps.append((event.startswith(start), named(F.concat(did, F.lit(f" {noun}")), F.concat(F.lit(f"{bare} "), did))))
+    steps.append((event.contains("layup"), named(F.lit("missed layup"), F.lit("Layup missed"))))
+    steps.append((event.contains("dunk"), named(F.lit("dunked"), F.lit("Dunk"))))
+    feet = F.regexp_extract(event, r"hook(\d+)", 1)
+    tail = F.when(feet != "", F.concat(F.lit(" ("), feet, F.lit("')"))).otherwise("")
+    steps.append((event.contains("hook"), named(F.concat(F.lit("hook shot"), tail), F.concat(F.lit("Hook shot"), tail))))
+    steps += [(event.isin(*codes), named(F.lit(words), F.lit(alone))) for codes, words, alone in SENTENCES]
+    steps += [(event == c, F.lit(alone)) for c, alone in NAMELESS]
+    out = None
+    for test, value in steps:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out.otherwise(named(code, code))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,16 +62,25 @@ def ratios(df: DataFrame) -> DataFrame:
 def medians_before(facts: DataFrame, asked: DataFrame, key: str, day: str, measures: list[str]) -> DataFrame:
     """Exact medians, games, last day and rest days of each asked (key, day) over earlier facts.
 
-    An exact median cannot be carried along a running window, so this is a range join on the key.
+    Each fact goes to the first asked day behind it; the medians are then carried along the asked days of a key, so a
+    fact is read once however many days are asked for.  Asked days without earlier facts are left out.
     """
-    a = asked.select(F.col(key), F.col(day).alias("__asked")).distinct()
-    joined = a.join(facts, key).where(F.col(day) < F.col("__asked"))
-    return joined.groupBy(key, F.col("__asked").alias(f"as_of_{day}")).agg(
-        *[F.round(F.median(m), 1).alias(m) for m in measures],
-        F.count(F.lit(1)).alias("games"),
-        F.max(day).alias("last_day"),
-        F.datediff(F.first("__asked"), F.max(day)).alias("rest_days"),
+    rows = facts.select(key, F.col(day).alias("__day"), *measures).withColumn("__asked", F.lit(None).cast("date"))
+    points = asked.select(key, F.col(day).alias("__asked")).distinct().withColumn("__day", F.col("__asked"))
+    both = rows.unionByName(points, allowMissingColumns=True)
+    later = Window.partitionBy(key).orderBy(-day_number(F.col("__day"))).rangeBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("__bucket", F.coalesce("__asked", F.min("__asked").over(later))).where("__bucket is not null")
+    so_far = Window.partitionBy(key).orderBy(day_number(F.col("__bucket"))).rangeBetween(Window.unboundedPreceding, 0)
+    fact = F.col("__asked").isNull()
+    carried = placed.select(
+        key,
+        F.col("__asked").alias(f"as_of_{day}"),
+        *[F.round(F.percentile(m, 0.5).over(so_far), 1).alias(m) for m in measures],
+        F.sum(fact.cast("long")).over(so_far).alias("games"),
+        F.max(F.when(fact, F.col("__day"))).over(so_far).alias("last_day"),
     )
+    kept = carried.where(F.col(f"as_of_{day}").isNotNull() & (F.col("games") > 0))
+    return kept.withColumn("rest_days", F.datediff(f"as_of_{day}", "last_day"))
 
 
 def with_fallback(current: DataFrame, prior: DataFrame, keys: list[str], columns: list[str], least_games: int, default_rest: int | None = None) -> DataFrame:
@@ -99,23 +110,34 @@ def two_row_games(df: DataFrame, game: str, venue: str, team: str, points: str,
 def profile_scores(df: DataFrame, group: list[str], name: str, features: list[str], least_rows: int = 5) -> DataFrame:
     """First principal component of standardised features within each group.
 
-    Population deviation; a constant feature is scaled by 1; the loading of largest size is positive.  A group holds
-    one row per entity, so it fits one task.  Rows with a null feature take no part.
+    Population deviation; a constant feature is scaled by 1; the loading of largest size is positive.  Means and
+    products are Spark aggregates; only their small matrix, a row for each group, is decomposed in Python.  Rows with a
+    null feature take no part; groups of less than ``least_rows`` get 0.
     """
-    keys = ", ".join(f"{g} {dict(df.dtypes)[g]}" for g in group)
-    kind = dict(df.dtypes)[name]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype=float)
-        if len(x) < least_rows:
-            return pdf[[*group, name]].assign(score=0.0)
-        spread = x.std(axis=0)
-        z = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1)
-        vector = np.linalg.eigh(z.T @ z)[1][:, -1]
-        vector = vector * np.sign(vector[np.abs(vector).argmax()] or 1)
-        return pdf[[*group, name]].assign(score=z @ vector)
-
-    return df.na.drop(subset=features).groupBy(*group).applyInPandas(fit, f"{keys}, {name} {kind}, score double")
+    known = df.na.drop(subset=features)
+    k, pairs = len(features), [(a, b) for a in features for b in features]
+    figures = known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.array(*[F.avg(f) for f in features]).alias("__mean"),
+        F.array(*[F.stddev_pop(f) for f in features]).alias("__spread"),
+        F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("__products"),
+    )
+
+    @F.pandas_udf("array<double>")
+    def loadings(spread: pd.Series, products: pd.Series) -> pd.Series:
+        scale = np.stack(spread.to_list())
+        scale = np.where(scale > 0, scale, 1)
+        matrices = np.stack(products.to_list()).reshape(-1, k, k) / (scale[:, :, None] * scale[:, None, :])
+        vector = np.linalg.eigh(matrices)[1][:, :, -1]
+        top = np.take_along_axis(vector, np.abs(vector).argmax(axis=1)[:, None], axis=1)
+        return pd.Series(list(vector * np.where(top < 0, -1.0, 1.0) / scale))
+
+    fitted = figures.withColumn("__load", loadings("__spread", "__products")).drop("__spread", "__products")
+    keyed = fitted.withColumnsRenamed({g: f"__{g}" for g in group})
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    joined = known.select(*group, name, *features).join(keyed, reduce(lambda a, b: a & b, same))
+    parts = [(F.col(f) - F.col("__mean")[i]) * F.col("__load")[i] for i, f in enumerate(features)]
+    return joined.select(*group, name, F.when(F.col("__n") >= least_rows, sum(parts[1:], parts[0])).otherwise(0.0).alias("score"))
 
 
 def pair_profile(df: DataFrame, group: list[str], name: str, x: str, y: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,15 @@ def right_closed_bins(col: Column, edges: list[int]) -> Column:
         out = out.when(col <= edge, F.lit(f"{low + 1}-{edge}"))
         low = edge
     return out.when(col > low, F.lit(f"{low}+"))
+
+
+def flat_aggregates(df: DataFrame, keys: list[str], wanted: dict[str, list[str]], renames: dict[str, str] | None = None) -> DataFrame:
+    """Several aggregates of several columns under flat names: column_aggregate, then the patterns of ``renames`` in turn."""
+    out = []
+    for column, kinds in wanted.items():
+        for kind in kinds:
+            name = f"{column}_{kind}"
+            for pattern, by in (renames or {}).items():
+                name = re.sub(pattern, by, name)
+            out.append(getattr(F, kind)(column).alias(name))
+    return df.groupBy(*keys).agg(*out)

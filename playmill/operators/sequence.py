@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playmill.session import shared_folder
+
 
 def ordered(keys: list[str], order: list[str]):
     """The window every operator of this module runs over: the order is part of the data."""
@@ -87,11 +89,23 @@ def first_scorers(df: DataFrame, keys: list[str], order: str, team: str, away: s
 def chunk_of(df: DataFrame, order: list[str], chunks: int, parts: int = 32) -> DataFrame:
     """Adds ``chunk``: contiguous pieces of ceil(n / chunks) rows in ``order``, numbered from 0.
 
-    Rows are dealt to ranges of the order first, so numbering needs no single task.
+    Rows are dealt to ranges of the order first, so numbering needs no single task.  The deal is checkpointed: it is
+    counted and numbered, and both must see the same one.
     """
-    spread = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    shared_folder(df.sparkSession)
+    spread = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     rn = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     numbered = spread.withColumn("__rn", rn).join(F.broadcast(before), "__part")
     return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__rn") - 1) / F.ceil(F.col("__all") / F.lit(chunks)))).drop("__part", "__rn", "__before", "__all", "__n")
+
+
+def global_place(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
+    """Adds ``place``: the number of each row in ``order`` over the whole table, from 1, without a single task."""
+    shared_folder(df.sparkSession)
+    spread = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each part
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rn = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return spread.withColumn("__rn", rn).join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__rn")).drop("__part", "__rn", "__before")

@@ -29,4 +29,16 @@ def query(name: str, sql: str | None, *inputs: str):
     return wrap
 
 
-from playmill.plans import features, io, quality, results, scalars, sequences, streams  # noqa: E402, F401
+def job(name: str, sql: str | None):
+    """Register a function of the session and the folder of the tables, for queries that write and read files."""
+
+    def wrap(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = with_relations(sql)
+        return f
+
+    return wrap
+
+
+from playmill.plans import features, files, io, quality, records, results, scalars, sequences, streams  # noqa: E402, F401

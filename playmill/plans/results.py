@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playmill.functions import maths
-from playmill.operators import betting, joins, runs as ops
+from playmill.operators import betting, joins, runs as ops, sequence
 from playmill.plans.registry import query
 
 #: Score texts read and gated as the operators do.
@@ -206,11 +206,10 @@ def left_display(runs: DataFrame, results: DataFrame) -> DataFrame:
     return runs.join(results, "game_id", "left").select("run_id", F.coalesce("away_team", F.lit("Unknown")).alias("away_team"), F.coalesce(F.col("final_spread").cast("string"), F.lit("N/A")).alias("spread"))
 
 
-@query("j10_task_list", "SELECT game_id, CAST(run AS BIGINT) AS run FROM (SELECT game_id FROM results ORDER BY CAST(game_id AS INT) LIMIT 20), range(1, 6) t(run)", "results")
+@query("j10_task_list", "SELECT game_id, CAST(run AS BIGINT) AS run FROM results, range(1, 6) t(run)", "results")
 def task_list(results: DataFrame) -> DataFrame:
-    """Games by runs."""
-    games = results.select("game_id").orderBy(F.col("game_id").cast("int")).limit(20)
-    return joins.repeat_rows(games, 5, "run")
+    """All games by runs."""
+    return joins.repeat_rows(results.select("game_id"), 5, "run")
 
 
 @query("j16_semi_join", "SELECT run_id FROM runs WHERE game_id IN (SELECT game_id FROM results WHERE final_spread > 5)", "runs", "results")
@@ -231,11 +230,11 @@ def top_games(runs: DataFrame) -> DataFrame:
     return runs.groupBy("game_id").agg(F.count_if(F.col("status") != "error").alias("ok")).orderBy(F.desc("ok"), "game_id").limit(10)
 
 
-@query("o06_numeric_order", "SELECT game_id, row_number() OVER (ORDER BY CAST(game_id AS INT)) AS place FROM (SELECT DISTINCT game_id FROM runs) ORDER BY place LIMIT 50", "runs")
+@query("o06_numeric_order", "SELECT game_id, row_number() OVER (ORDER BY CAST(game_id AS INT)) AS place FROM (SELECT DISTINCT game_id FROM runs)", "runs")
 def numeric_order(runs: DataFrame) -> DataFrame:
-    """Distinct ids in numeric order, the first fifty."""
-    first = runs.select("game_id").distinct().orderBy(F.expr("try_cast(game_id as int)"), "game_id").limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.expr("try_cast(game_id as int)"))).cast("long"))
+    """Distinct ids numbered in numeric order."""
+    ids = runs.select("game_id").distinct().withColumn("number", F.expr("try_cast(game_id as int)"))
+    return sequence.global_place(ids, ["number", "game_id"]).select("game_id", "place")
 
 
 @query("w12_latest_success", "SELECT game_id, arg_max(run_id, (start_time, CAST(run_id AS INT))) AS run_id FROM runs WHERE status <> 'error' GROUP BY game_id", "runs")
@@ -247,7 +246,7 @@ def latest_success(runs: DataFrame) -> DataFrame:
 @query("a21_win_and_cover", f"WITH {KEPT} SELECT game_id, count(*) AS runs, round(avg(CAST(away > home AS DOUBLE)), 4) AS away_win, round(avg(CASE WHEN away - home > -(final_spread - 1.0) THEN 1.0 ELSE 0.0 END), 4) AS away_cover, round(avg(CASE WHEN away - home < -(final_spread + 1.0) THEN 1.0 ELSE 0.0 END), 4) AS home_cover FROM kept JOIN results USING (game_id) GROUP BY game_id", "runs", "results")
 def win_and_cover(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Win probability and the share of runs that cover the spread with an edge."""
-    return betting.win_and_cover(ops.realistic(runs).join(results, "game_id"), ["game_id"], edge=1.0)
+    return betting.win_and_cover(ops.realistic(runs), results, "game_id", edge=1.0)
 
 
 BETS_SQL = f"""WITH {KEPT}, odds AS (SELECT game_id, day, away_score, home_score, final_spread,

@@ -21,9 +21,9 @@ def season_scan(df: DataFrame, season_col: str, season, date_col: str | None = N
     return out if max_date is None else out.where(F.col(date_col) <= F.lit(max_date))
 
 
-def read_season(spark: SparkSession, root: str, season: str, max_date=None, date_col: str = "date") -> DataFrame:
-    """A Parquet folder partitioned by season; files that cannot be read are skipped."""
-    df = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(root)
+def read_season(spark: SparkSession, root: str, season: str, max_date=None, date_col: str = "date", skip_unreadable: bool = False) -> DataFrame:
+    """A Parquet folder partitioned by season; a file that cannot be read stops the scan unless it may be skipped."""
+    df = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).option("mergeSchema", "true").parquet(root)
     return season_scan(df, "season", season, date_col, max_date)
 
 
@@ -59,6 +59,13 @@ def latest_file(spark: SparkSession, pattern: str) -> str | None:
     return found[-1][1] if found else None
 
 
+def files_by_time(spark: SparkSession, pattern: str) -> list[str]:
+    """Matches, the last modified first, ties by name."""
+    fs, p = _file_system(spark, pattern)
+    found = [(-s.getModificationTime(), s.getPath().toString()) for s in (fs.globStatus(p) or [])]
+    return [path for _, path in sorted(found)]
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, bad: str = "_bad") -> tuple[DataFrame, DataFrame]:
     """(records, lines that are none): the second keeps the text of what could not be read."""
     record = F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
@@ -97,9 +104,15 @@ def cache_key(*parts: Column) -> Column:
 
 
 def nth_record(spark: SparkSession, path: str, n: int) -> str | None:
-    """The n-th line (from 1) of a text file."""
-    rows = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: x[1] == n - 1).map(lambda x: x[0][0]).take(1)
-    return rows[0] if rows else None
+    """The n-th line (from 1) of a text file: parts are counted first, then only that line is fetched."""
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))
+    at = n - 1
+    for r in rows.groupBy(F.shiftright("id", 33).alias("part")).count().orderBy("part").collect():  # a row for each part
+        if at < r["count"]:
+            found = rows.where(F.col("id") == (r["part"] << 33) + at).first()
+            return found["value"] if at >= 0 else None
+        at -= r["count"]
+    return None
 
 
 def line_count(spark: SparkSession, path: str) -> int:
@@ -119,6 +132,11 @@ def load_config(path: str) -> dict:
         return json.load(f)
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON configuration at any path that Spark can open."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
 class SeasonCache:
     """Tables kept in memory by season until told otherwise."""
 
