@@ -166,7 +166,7 @@ def shingle_sets(docs: DataFrame, heads: DataFrame, s: NearSettings) -> DataFram
     return found.join(heads.select("digest", "node"), "digest").dropDuplicates(["digest"]).select("node", "shingles")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, s: NearSettings, heavy: int = 2000) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, s: NearSettings, heavy: int = 500) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold.
 
     A v with many pairs has its set copied once for each ``heavy`` of them, so no task gets all of them.
@@ -188,9 +188,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, s: NearSettings, heavy: int = 200
                     keep_v.append(v[i])
             yield pa.RecordBatch.from_arrays([pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], ["u", "v"])
 
-    salts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / F.lit(heavy)).cast("int").alias("__salts"))
-    held = sets.select(F.col("node").alias("v"), F.col("shingles").alias("right")).join(salts, "v").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
-    dealt = pairs.join(salts, "v").withColumn("__salt", F.pmod(F.xxhash64("u"), F.col("__salts")).cast("int")).drop("__salts")
+    salts = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("__n"), F.ceil(F.count(F.lit(1)) / F.lit(heavy)).cast("int").alias("__salts"))
+    held = sets.select(F.col("node").alias("v"), F.col("shingles").alias("right")).join(salts, "v").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts", "__n")
+    dealt = join_hot(pairs, salts, "v", "__n", F.col("u")).withColumn("__salt", F.pmod(F.xxhash64("u"), F.col("__salts")).cast("int")).drop("__salts")
     joined = dealt.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("left")), "u").join(held, ["v", "__salt"])
     return joined.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
@@ -292,10 +292,10 @@ def star_pairs(buckets: DataFrame, sketches: DataFrame, s: NearSettings) -> Data
     centre = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n_shingles")).alias("c"))
     pairs = join_hot(buckets, centre, "band", "members", F.xxhash64("node")).where("node <> c.node")
     pairs = pairs.where(f"100 * least(n_shingles, c.n_shingles) >= {s.percent} * greatest(n_shingles, c.n_shingles)")
-    pairs = pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
-    pairs = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sketch_u")), "u")
-    pairs = pairs.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sketch_v")), "v")
-    return pairs.where(_estimate(s.bands * s.rows) >= s.doubt).select("u", "v")
+    pairs = materialize(pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct(), "stars")
+    centres = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("members")).join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sketch_v")), "v")
+    ends = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("sketch_u")), "u")
+    return join_hot(ends, centres, "v", "members", F.col("u")).where(_estimate(s.bands * s.rows) >= s.doubt).select("u", "v")
 
 
 def attached(buckets: DataFrame, comps: DataFrame) -> DataFrame:
