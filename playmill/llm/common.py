@@ -145,7 +145,7 @@ def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBat
         at = stop
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 1024, size: int = 8_000_000) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = 1024, size: int = 2_000_000) -> DataFrame:
     """mapInArrow with one worker object a task, fed with slices of at most ``rows`` rows and ``size`` bytes of text.
 
     Slices become many small lists and no cycles, so the collector of cycles rests while one is handled.

@@ -279,7 +279,7 @@ def toxicity_scores(docs: DataFrame, model: TokenChain, with_spans: bool = True)
     """Per row: doc_id, score, predicted and the toxic spans (start, end, probability) in characters."""
 
     def make():
-        known = Remembered()
+        known = Remembered(60_000)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
