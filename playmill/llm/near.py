@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playmill.llm.common import Remembered, arrow_map, drop_scratch, join_hot, materialize, restrict, scratch_scope
+from playmill.llm.common import arrow_map, drop_scratch, join_hot, materialize, restrict, scratch_scope
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WORDS_64 = 8
@@ -64,31 +64,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Whether a byte is ASCII white space.
+WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
 class Shingler:
     """Sets of hashed shingles; words are runs of bytes other than ASCII white space, A-Z lower-cased."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, Remembered()
+        self.width = width
 
     @staticmethod
-    def _hashes(words: list[bytes]) -> list[int]:
-        return [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
+    def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of all texts, and the number of words up to the end of each text; all texts are laid end to end."""
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        codes = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+        white = WHITE[codes]
+        edge = np.flatnonzero(np.diff(white, prepend=True))
+        starts, ends = edge[::2], edge[1::2]
+        counts = np.searchsorted(starts, np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64)))
+        if not len(starts):
+            return np.zeros(0, np.uint64), counts
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum()), dtype=np.uint64) - np.repeat(first.astype(np.uint64), lengths)
+        # sums of the bytes, each scrambled with its place
+        return mix(np.add.reduceat(mix((codes[~white].astype(np.uint64) << np.uint64(32)) ^ ((place + np.uint64(1)) * MIX2)), first)), counts
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """One ascending array of distinct 64-bit shingles for each text."""
-        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        known = self.known.fill({w for ws in split for w in ws}, self._hashes)
-        out = []
-        for ws in split:
-            h = np.fromiter((known[w] for w in ws), dtype=np.uint64, count=len(ws))
-            k = min(self.width, len(h))
-            with np.errstate(over="ignore"):
-                rolled = np.full(max(0, len(h) - k + 1) if k else 0, np.uint64(k + 1))
-                for j in range(k):
-                    rolled = mix(rolled * MIX2 + h[j : len(h) - k + 1 + j])
-            out.append(np.unique(rolled))
+        with np.errstate(over="ignore"):
+            h, ends = self._words(texts)
+            whole = self._rolled(h, self.width)
+            out, at = [], 0
+            for end in ends.tolist():
+                n = end - at
+                rolled = whole[at : end - self.width + 1] if n >= self.width else self._rolled(h[at:end], n)
+                out.append(np.unique(rolled))
+                at = end
         return out
 
+    @staticmethod
+    def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+        """The hash of every k words in a row; nothing where there are none."""
+        rolled = np.full(max(0, len(h) - k + 1) if k else 0, np.uint64(k + 1))
+        for j in range(k if len(rolled) else 0):
+            rolled = mix(rolled * MIX2 + h[j : len(h) - k + 1 + j])
+        return rolled
+
 
 def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
     """Per row: doc_id, n_shingles, digest of the set, bands and odd sketch (eight 64-bit words)."""
@@ -131,7 +154,7 @@ def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
 
         return apply
 
-    return arrow_map(_rows(docs), make, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", rows=512)
+    return arrow_map(_rows(docs), make, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", rows=512, size=2_000_000)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -162,7 +185,7 @@ def shingle_sets(docs: DataFrame, heads: DataFrame, s: NearSettings) -> DataFram
 
         return apply
 
-    found = arrow_map(_rows(docs), make, "digest binary, shingles binary", rows=512)
+    found = arrow_map(_rows(docs), make, "digest binary, shingles binary", rows=512, size=2_000_000)
     return found.join(heads.select("digest", "node"), "digest").dropDuplicates(["digest"]).select("node", "shingles")
 
 
