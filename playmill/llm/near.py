@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, s: NearSettings) -> DataFrame:
 
         return apply
 
-    return arrow_map(_rows(docs), make, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", rows=512, size=2_000_000)
+    return arrow_map(_rows(docs), make, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>", rows=512)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def shingle_sets(docs: DataFrame, heads: DataFrame, s: NearSettings) -> DataFram
 
         return apply
 
-    found = arrow_map(_rows(docs), make, "digest binary, shingles binary", rows=512, size=2_000_000)
+    found = arrow_map(_rows(docs), make, "digest binary, shingles binary", rows=512)
     return found.join(heads.select("digest", "node"), "digest").dropDuplicates(["digest"]).select("node", "shingles")
 
 
@@ -342,9 +342,12 @@ def block_links(outside: DataFrame, comps: DataFrame, heads: DataFrame, docs: Da
     alone = homes.join(comps.select(F.col("component").alias("home")).distinct(), "home", "left_anti").select("home", F.col("home").alias("node"), F.lit(True).alias("inside"))
     rows = materialize(members.unionByName(alone).unionByName(outside.withColumn("inside", F.lit(False))).join(heads.select("node", "doc_id", "n_shingles", "sketch"), "node"), "blocks")
 
+    # 32 blocks a side where a home has the rows for it, so that middling homes spread as well as large ones
+    a_block = F.greatest(F.lit(min(64, s.block_rows)), F.least(F.lit(s.block_rows), F.count(F.lit(1)) / F.lit(32)))
+
     def parts(counted):
         by_size = F.sum(F.when(counted, F.col("n_shingles")).otherwise(0)) / F.lit(s.block)
-        return F.ceil(F.greatest(F.lit(1.0), by_size, F.count_if(counted) / F.lit(s.block_rows))).cast("int")
+        return F.ceil(F.greatest(F.lit(1.0), by_size, F.count_if(counted) / a_block)).cast("int")
 
     cuts = rows.groupBy("home").agg(F.count(F.lit(1)).alias("members"), parts(F.lit(True)).alias("chunks"), parts(~F.col("inside")).alias("asked"))
     sets = shingle_sets(restrict(docs, rows.select("doc_id").distinct()), heads, s)
