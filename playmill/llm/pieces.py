@@ -43,6 +43,9 @@ class PieceCodec:
                 self.scores[piece], self.ids[piece] = self.library.get_score(i), i
         if None in self.byte_ids:
             raise ValueError("the model has no byte fallback")
+        #: what each id decodes to, and its digits
+        self.raw = [bytes([int(p[1:-1], 16)]) if self.library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.digits = [str(i) for i in range(size)]
         #: characters that stand side by side in some piece; a text may be cut between all others
         self.joined = {pair for piece in self.scores for pair in zip(piece, piece[1:])}
         self.verify = verify
@@ -90,11 +93,7 @@ class PieceCodec:
 
     def _decode(self, ids: list[int]) -> str:
         """The text of ids with its leading space mark kept: bytes in a row are read as UTF-8."""
-        raw = bytearray()
-        for i in ids:
-            piece = self.pieces[i]
-            raw += bytes([int(piece[1:-1], 16)]) if self.library.is_byte(i) else piece.replace(SPACE, " ").encode()
-        return raw.decode()
+        return b"".join([self.raw[i] for i in ids]).decode()
 
     def _new_words(self, words: list[str]) -> list[tuple[str, str]]:
         """(ids joined by commas, decoded text) of words, each with its leading space marks."""
@@ -109,7 +108,7 @@ class PieceCodec:
                 raise ValueError(f"ids differ from the library's for {wrong!r}")
             if self.library.decode(ids, num_threads=1) != [d[1:] for d in decoded]:
                 raise ValueError("a decoded text differs from the library's")
-        return [(",".join(map(str, x)), d) for x, d in zip(ids, decoded)]
+        return [(",".join([self.digits[i] for i in x]), d) for x, d in zip(ids, decoded)]
 
     def _both_spaces(self) -> list[int]:
         return self._agenda(SPACE * 2)
