@@ -131,6 +131,31 @@ def global_rank(df: DataFrame, group: str, order: list[str], spread_on: list[str
     )
 
 
+def range_rank(df: DataFrame, group: str, order: list[str], parts: int, limit: int = 200_000) -> DataFrame:
+    """Add ``rank`` (long, gapless from 0 inside each ``group`` by ``order``) and ``members`` (rows of the group); group is not null.
+
+    Rows are dealt to ``parts`` ranges of group, order and a random number, so neither a group nor rows equal in all of
+    these come into one task; each range is numbered where it lies.  The table of (group, range) sizes has at most as
+    many rows as there are groups and ranges; up to ``limit`` of them, counted here, are broadcast.  ``df`` must give the same rows in
+    the same order whenever it is read, as a table that was written does.
+    """
+    keys = [group, *order, "__salt"]
+    salted = df.withColumn("__salt", F.rand(11))
+    placed = materialize(salted.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__salt").withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    own = Window.partitionBy(group)
+    sizes = placed.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(
+        group,
+        "__part",
+        (F.coalesce(F.sum("__n").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__first")).alias("__shift"),
+        F.sum("__n").over(own).alias("members"),
+    )
+    sizes = materialize(sizes, "range-sizes")
+    met = placed.join(F.broadcast(sizes) if sizes.count() <= limit else sizes, [group, "__part"])
+    return met.withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of at most ``rows`` rows and, but for a single longer row, ``size`` bytes of text."""
     held = np.zeros(batch.num_rows, dtype=np.int64)

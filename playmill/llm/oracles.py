@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from playmill.llm.chat import CLOSE, COLON, ESCAPE, OPEN, REPLY
 from playmill.llm.urls import LINK, LOWER, UPPER
 
 
@@ -49,3 +50,51 @@ def url_sql(rules: list[tuple[str, str, str]], damping: float, rounds: int, thre
         "\nSELECT page_id, j.host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN low THEN 'block' ELSE 'allow' END) AS verdict, "
         "round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM j LEFT JOIN v ON v.host = j.host"
     )
+
+
+def chat_sql(extra: list[tuple[int, int, str, str]], block: int) -> str:
+    """Operator 11: digests of turns and replies, and the lengths of the formatted prefixes inside each block."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def size(column: str) -> str:
+        out = f"replace({column}, {text(ESCAPE)}, {text(ESCAPE * 2)})"
+        for mark in (OPEN, COLON, CLOSE):
+            out = f"replace({out}, {text(mark)}, {text(mark[0] + ESCAPE + mark[1:])})"
+        return f"length({out})"
+
+    more = ", ".join(f"({c}, {t}, {text(r)}, {text(x)})" for c, t, r, x in extra)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES {more}),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  {size("role")} + {size("text")} + {len(OPEN) + len(COLON) + len(CLOSE) + 1} AS chars FROM c),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id, k // {block} ORDER BY k) AS upto, role = {text(REPLY)} AS reply, k % {block} = {block - 1} OR k = n - 1 AS closes FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (reply), '')) AS loss_sha256, CAST(sum(upto) FILTER (reply OR closes) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+def merkle_sql(fanout: int) -> str:
+    """Operator 13: all levels of the sources' trees and of the tree over them, siblings of each leaf, and the way up from the leaf shown."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", t))) + ")"
+    # crc32 by its polynomial, bit by bit, over the digits of the id
+    bits = "list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    up = lambda name, base: f"{name}(g, l, i, h, n) AS (SELECT g, 0, i, h, n FROM {base} UNION ALL SELECT g, l + 1, i // {fanout}, sha256(string_agg(h, '' ORDER BY i)), (n + {fanout - 1}) // {fanout} FROM {name} WHERE n > 1 GROUP BY g, l, i // {fanout}, n)"
+
+    def way(name: str, base: str, levels: str) -> str:
+        own = f"CAST(floor(b.i / power({fanout}, v.l)) AS BIGINT)"
+        return f"{name} AS (SELECT b.g, b.i, v.l, coalesce(string_agg(v.h, '' ORDER BY v.i) FILTER (v.i < {own}), '') AS lft, coalesce(string_agg(v.h, '' ORDER BY v.i) FILTER (v.i > {own}), '') AS rgt FROM {base} b JOIN {levels} v ON v.g = b.g AND v.n > 1 AND v.i // {fanout} = {own} // {fanout} GROUP BY b.g, b.i, v.l)"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS h, CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS shown FROM documents),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{up("lv", "b")},
+s AS MATERIALIZED (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+{up("top", "s")},
+{way("low", "b", "lv")},
+{way("high", "s", "top")},
+tall AS (SELECT g, max(l) AS l FROM lv GROUP BY g),
+steps AS MATERIALIZED (SELECT g, i, l, lft, rgt FROM low UNION ALL SELECT b.g, b.i, t.l + h.l, h.lft, h.rgt FROM b JOIN tall t ON t.g = b.g JOIN s ON s.name = b.g JOIN high h ON h.i = s.i),
+climb(g, i, l, h) AS (SELECT g, i, CAST(0 AS BIGINT), shown FROM b UNION ALL SELECT c.g, c.i, c.l + 1, sha256(p.lft || c.h || p.rgt) FROM climb c JOIN steps p ON p.g = c.g AND p.i = c.i AND p.l = c.l),
+reached AS (SELECT g, i, max_by(h, l) AS h FROM climb GROUP BY g, i),
+proofs AS (SELECT g, i, string_agg(lft || rgt, '' ORDER BY l) AS p FROM steps GROUP BY g, i)
+SELECT doc_id, b.h AS leaf, s.h AS subroot, r.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM b JOIN s ON s.name = b.g CROSS JOIN (SELECT h FROM top WHERE n = 1) r JOIN reached f ON f.g = b.g AND f.i = b.i LEFT JOIN proofs p ON p.g = b.g AND p.i = b.i"""

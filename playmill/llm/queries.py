@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playmill.llm import lines, near, onebit, oracles, packing, pieces, quality, sharding, toxicity, urls, voronoi
+from playmill.llm import chat, lines, merkle, near, onebit, oracles, packing, pieces, quality, sharding, toxicity, urls, voronoi, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -83,6 +83,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+#: (conv_id, turn, role, text) of a conversation that holds the template's own marks
+ODD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as prefix-target examples, read back."""
+    odd = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in ODD_CONVERSATION])))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.chat_examples(rows.unionByName(odd)))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding."""
+    return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what a tampered one leads to."""
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_voronoi_top_k": op2_voronoi_top_k,
@@ -94,9 +115,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op2_voronoi_top_k": oracles.top_k_sql(k=5, every=50, scale=256),
     "op5_url_filter": oracles.url_sql(URL_RULES, damping=0.85, rounds=8, threshold=0.5),
+    "op11_chat_formatting": oracles.chat_sql(ODD_CONVERSATION, block=64),
+    "op13_merkle_manifest": oracles.merkle_sql(fanout=3),
 }
