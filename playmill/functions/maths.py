@@ -45,8 +45,8 @@ def kelly_fraction(probability: Column, text: Column, cap: float = 0.25) -> Colu
 
 
 def scoring_class(points: Column) -> Column:
-    """free_throw, field_goal, three_pointer, other or none."""
-    return F.when(points == 1, "free_throw").when(points == 2, "field_goal").when(points == 3, "three_pointer").when(points > 0, "other").otherwise("none")
+    """What a play scored.  Fixed values: the five names."""
+    return F.when(points == 1, "Free Throw").when(points == 2, "2-Point Field Goal").when(points == 3, "3-Point Field Goal").when(points > 3, "Multiple Scoring Plays").otherwise("No Score")
 
 
 def leader(away: Column, home: Column, away_team: Column, home_team: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of plays that cannot score.
-NON_SCORING = ("MISS", "REBOUND", "TURNOVER", "FOUL", "TIMEOUT", "SUB", "VIOLATION", "JUMP BALL", "STEAL", "BLOCK", "END OF")
+NON_SCORING = ("REBOUND", "SUB", "MISS", "TURNOVER", "FOUL", "TIMEOUT", "VIOLATION", "EJECTION", "TECHNICAL", "FLAGRANT", "JUMP BALL")
 
 
 def failed(rules: dict[str, Column]) -> Column:

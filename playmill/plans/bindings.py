@@ -56,7 +56,9 @@ FROM events""",
     "steps": """
 SELECT run_id, seq, quarter, CAST(CASE run_id % 3 WHEN 0 THEN 300 WHEN 1 THEN greatest(0, 720 - 40 * place + place % 2 * 100) ELSE greatest(0, 720 - 120 * place) END AS INT) AS seconds,
        CAST(away - CASE WHEN seq % 13 = 0 THEN 5 WHEN seq % 9 = 0 THEN 2 ELSE 0 END AS INT) AS away, CAST(home AS INT) AS home, CAST(seq % 4 AS INT) AS points,
-       CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 5 = 0 THEN 'End of period' WHEN seq % 5 = 1 THEN 'SUB: P1 FOR P2' WHEN seq % 5 = 2 THEN 'Timeout' WHEN seq % 5 = 3 THEN 'P3 MISS 3PT' ELSE 'P4 free throw' END AS description
+       CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 5 = 0 THEN 'End of period' WHEN seq % 5 = 1 THEN 'SUB: P1 FOR P2' WHEN seq % 5 = 2 THEN 'Timeout' WHEN seq % 5 = 3 THEN 'P3 MISS 3PT' ELSE 'P4 free throw' END AS description,
+       CASE WHEN seq % 4 = 0 THEN NULL WHEN seq % 2 = 0 THEN 'A' ELSE 'H' END AS shooter, 'P' || CAST(seq % 10 AS STRING) AS player,
+       split(CASE WHEN seq % 17 = 0 THEN 'P1,P2,P1' ELSE 'P1,P2,P3,P4,P5,P6,P7,P8,P9' END, ',') AS court
 FROM (SELECT run_id, seq, away, home, CAST(1 + floor((rn - 1) / CASE run_id % 3 WHEN 0 THEN 6.0 WHEN 1 THEN 16.0 ELSE 8.0 END) AS INT) AS quarter, CAST((rn - 1) % CASE run_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 16 ELSE 8 END AS INT) AS place
   FROM (SELECT user_id AS run_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
         sum(CASE WHEN event_id % 2 = 0 THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS away,
@@ -86,4 +88,6 @@ def with_relations(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

@@ -34,10 +34,16 @@ def time_consistency(plays: DataFrame) -> DataFrame:
     return nxt.select("play_id", checks.time_rule(F.col("period"), F.col("t"), F.col("np"), F.col("nt")).alias("verdict"))
 
 
-@query("v04_scoring_consistency", "SELECT play_id FROM plays WHERE play_id % 4 > 0 AND (upper(description) LIKE '%MISS%' OR upper(description) LIKE '%SUB%' OR upper(description) LIKE '%FOUL%' OR upper(description) LIKE '%TURNOVER%' OR upper(description) LIKE '%BLOCK%')", "plays")
+#: Plays with words of all kinds put behind their own, one kind a play.
+WORDS = ("rebound", "sub", "miss", "turnover", "foul", "timeout", "violation", "ejection", "technical", "flagrant", "jump ball", "steal", "block", "end of", "makes", "assist")
+
+
+@query("v04_scoring_consistency", "WITH w AS (SELECT play_id, upper(CASE WHEN play_id % 3 = 0 THEN description ELSE 'P1 ' || ['" + "', '".join(WORDS) + "'][1 + play_id % 16] END) AS d FROM plays) SELECT play_id FROM w WHERE play_id % 4 > 0 AND (" + " OR ".join(f"contains(d, '{w.upper()}')" for w in WORDS[:11]) + ")", "plays")
 def scoring_consistency(plays: DataFrame) -> DataFrame:
     """Points on plays that cannot score."""
-    return plays.where(checks.scoring_rule(F.col("description"), F.col("play_id") % 4)).select("play_id")
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.lit(1) + F.col("play_id") % len(WORDS)).cast("int"))
+    said = F.when(F.col("play_id") % 3 == 0, F.col("description")).otherwise(F.concat(F.lit("P1 "), word))
+    return plays.where(checks.scoring_rule(said, F.col("play_id") % 4)).select("play_id")
 
 
 @query("v05_json_validity", "SELECT event_id, json_valid(CASE WHEN event_id % 4 = 0 THEN substring(props, 2) ELSE props END) AS valid FROM events", "t:events")

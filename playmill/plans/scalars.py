@@ -87,11 +87,11 @@ def half_court(plays: DataFrame) -> DataFrame:
     return plays.select("play_id", maths.half_court(F.col("x"), F.col("y")).alias("p")).select("play_id", "p.x", "p.y")
 
 
-@query("fm09_score_state", "SELECT play_id, CASE WHEN away_score > home_score THEN 'AWY' WHEN home_score > away_score THEN 'HOM' ELSE 'TIE' END AS leader, abs(away_score - home_score) AS margin, CASE play_id % 5 WHEN 1 THEN 'free_throw' WHEN 2 THEN 'field_goal' WHEN 3 THEN 'three_pointer' WHEN 4 THEN 'other' ELSE 'none' END AS kind, round(coalesce(away_score / nullif(play_id % 7, 0), 0), 4) AS efficiency FROM plays", "plays")
+@query("fm09_score_state", "SELECT play_id, CASE WHEN away_score > home_score THEN 'AWY' WHEN home_score > away_score THEN 'HOM' ELSE 'TIE' END AS leader, abs(away_score - home_score) AS margin, CASE play_id % 6 WHEN 1 THEN 'Free Throw' WHEN 2 THEN '2-Point Field Goal' WHEN 3 THEN '3-Point Field Goal' WHEN 4 THEN 'Multiple Scoring Plays' WHEN 5 THEN 'Multiple Scoring Plays' ELSE 'No Score' END AS kind, round(coalesce(away_score / nullif(play_id % 7, 0), 0), 4) AS efficiency FROM plays", "plays")
 def score_state(plays: DataFrame) -> DataFrame:
     """F-M9: leader, margin, class and efficiency."""
     a, h, i = F.col("away_score"), F.col("home_score"), F.col("play_id")
-    return plays.select("play_id", maths.leader(a, h, F.lit("AWY"), F.lit("HOM")).alias("leader"), F.abs(a - h).alias("margin"), maths.scoring_class(i % 5).alias("kind"), F.round(maths.ratio(a, i % 7), 4).alias("efficiency"))
+    return plays.select("play_id", maths.leader(a, h, F.lit("AWY"), F.lit("HOM")).alias("leader"), F.abs(a - h).alias("margin"), maths.scoring_class(i % 6).alias("kind"), F.round(maths.ratio(a, i % 7), 4).alias("efficiency"))
 
 
 @query("fm10_pseudo_scores", "SELECT p_partkey AS k, round(-2.0 + ((CAST('0x' || substring(md5(p_name), 1, 8) AS BIGINT) >> 4) % 1000) / 999.0 * 4.0, 6) AS score, CAST(round_even(p_retailprice * 100, 0) AS INT) AS cents FROM part", "t:part")

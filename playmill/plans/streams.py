@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playmill.functions import clock
+from playmill.plans import automaton
 from playmill.plans.registry import query
 from playmill.streaming import rules, validator, windows
 
@@ -17,10 +18,25 @@ def _as_runs(plays: DataFrame) -> DataFrame:
     )
 
 
-@query("t03_validator", None, "plays")
+def _flat(verdicts: DataFrame) -> DataFrame:
+    """Verdicts with the restored plays as text, which both engines compare."""
+    return verdicts.withColumn("restored", F.array_join(F.transform("restored", lambda s: s.cast("string")), ","))
+
+
+FLAT = "SELECT run_id, seq, verdict, reason, trigger, consecutive, attempts, array_to_string(restored, ',') AS restored, next_quarter FROM judged"
+AS_RUNS = "(SELECT game_id AS run_id, play_id AS seq, period AS quarter, CAST(719 - (play_id * 7) % 720 AS INT) AS seconds, away_score AS away, home_score AS home, CAST(play_id % 4 AS INT) AS points, description FROM plays)"
+
+
+@query("t03_validator", automaton.query_sql(AS_RUNS, validator.Limits(), False, FLAT), "plays")
 def validator_verdicts(plays: DataFrame) -> DataFrame:
-    """Verdicts of the ordered checks, folded per run."""
-    return validator.validate(_as_runs(plays))
+    """Verdicts of the ordered checks, folded per run."""
+    return _flat(validator.validate(_as_runs(plays)))
+
+
+@query("t03_whole_checks", automaton.query_sql("steps", validator.Limits(), True, FLAT), "steps")
+def whole_checks(steps: DataFrame) -> DataFrame:
+    """T3 to T14 over runs that know who shot, who plays and who is on the court."""
+    return _flat(validator.validate(steps))
 
 
 @query("t10_impossible", "SELECT play_id, coalesce(greatest(away_score - pa, home_score - ph) > 6, FALSE) AS jump, coalesce(period - pp > 3, FALSE) AS quarter_jump, greatest(away_score, home_score) > 300 AS too_high FROM (SELECT *, lag(away_score) OVER w AS pa, lag(home_score) OVER w AS ph, lag(period) OVER w AS pp FROM plays WINDOW w AS (PARTITION BY game_id ORDER BY play_id))", "plays")
@@ -62,16 +78,20 @@ W = "WINDOW w AS (PARTITION BY run_id ORDER BY seq)"
 RUN, SEQ = ["run_id"], "seq"
 
 
-@query("t15_records", None, "steps")
+RECORDS = """SELECT j.run_id, j.seq, CASE verdict WHEN 'END_GAME' THEN 'game_ended' WHEN 'ROLLBACK_TIME' THEN 'rollback_time' ELSE 'quarter_transition' END AS type, reason, trigger, consecutive, attempts, s.quarter, s.seconds, s.away, s.home, substring(s.description, 1, 100) AS description,
+coalesce(len(restored), -1) AS restored FROM judged j JOIN steps s ON s.run_id = j.run_id AND s.seq = j.seq WHERE verdict IN ('END_GAME', 'ROLLBACK_TIME', 'QUARTER_TRANSITION') AND trigger IS NOT NULL"""
+
+
+@query("t15_records", automaton.query_sql("steps", validator.Limits(), True, RECORDS), "steps")
 def records(steps: DataFrame) -> DataFrame:
     """Records of terminal verdicts for storage, with the state of the game."""
-    return validator.with_records(validator.validate(steps), steps)
+    return validator.with_records(validator.validate(steps), steps).withColumn("restored", F.coalesce("restored", F.lit(-1)))
 
 
-@query("t02_fast_fold", None, "steps")
+@query("t02_fast_fold", automaton.query_sql("steps", validator.Limits(fast=True), True, FLAT), "steps")
 def fast_fold(steps: DataFrame) -> DataFrame:
     """The fast mode of the fold, which forgets the clock at a transition."""
-    return validator.validate(steps, validator.Limits(fast=True))
+    return _flat(validator.validate(steps, validator.Limits(fast=True)))
 
 
 @query("t02_fast_mode", f"""WITH a AS (SELECT *, lower(coalesce(description, '')) AS d, seconds = 0 AS z, lag(seconds) OVER w AS ps FROM steps {W}),
@@ -131,10 +151,22 @@ def situations(steps: DataFrame) -> DataFrame:
     return steps.withColumn("odd", odd).select("seq", "odd", rules.strikes(F.col("odd"), 8, RUN, SEQ).alias("fired"))
 
 
-@query("t13_text_strikes", f"WITH a AS (SELECT *, coalesce(points > 0 AND contains(upper(description), 'MISS'), FALSE) AS f FROM steps) SELECT seq, f AND sum(CAST(f AS INT)) OVER w % 6 = 0 AS fired FROM a {W}", "steps")
+@query("t13_text_strikes", f"""WITH a AS (SELECT *, upper(coalesce(description, '')) AS u, lag(away) OVER w AS pa, lag(home) OVER w AS ph FROM steps {W}),
+b AS (SELECT *, regexp_matches(u, 'SCORE|MAKE|BASKET|SHOT|POINT') AS says, coalesce(away > pa OR home > ph, FALSE) AS rose FROM a),
+c AS (SELECT *, u <> '' AND ((points = 3 AND NOT regexp_matches(u, '3|THREE|POINTER') AND regexp_matches(u, 'SHOT|MAKE|SCORE')) OR (points = 2 AND contains(u, '3') AND regexp_matches(u, 'THREE|POINTER'))
+  OR (points = 1 AND NOT regexp_matches(u, 'FOUL|FREE|TECHNICAL')) OR (len(court) > 0 AND NOT list_contains(court, player) AND NOT contains(u, upper(player))) OR (contains(u, 'SUB') AND NOT regexp_matches(replace(u, 'SUB', ''), '[A-Z]'))
+  OR (quarter = 4 AND NOT regexp_matches(u, 'FOURTH|4TH') AND regexp_matches(u, 'FIRST|1ST'))
+  OR (pa IS NOT NULL AND CASE WHEN rose THEN NOT says AND NOT regexp_matches(u, 'SUB|TIMEOUT|FOUL') ELSE says AND NOT regexp_matches(u, 'MISS|BLOCK|REBOUND') END)) AS f FROM b)
+SELECT seq, f AS wrong, f AND sum(CAST(f AS INT)) OVER w % 6 = 0 AS fired FROM c {W}""", "steps")
 def text_strikes(steps: DataFrame) -> DataFrame:
-    """The sixth play with points whose words say it missed."""
-    return steps.select("seq", rules.strikes((F.col("points") > 0) & F.upper("description").contains("MISS"), 6, RUN, SEQ).alias("fired"))
+    """Plays whose words contradict their points, player, score or quarter, and every sixth of a run."""
+    w = Window.partitionBy(*RUN).orderBy(SEQ)
+    up = F.upper(F.coalesce("description", F.lit("")))
+    before = F.lag("away").over(w).isNotNull()
+    rose = F.coalesce((F.col("away") > F.lag("away").over(w)) | (F.col("home") > F.lag("home").over(w)), F.lit(False))
+    said = rules.scoring_words(up)
+    wrong = rules.contradiction(up, F.col("points"), F.col("quarter"), F.col("player"), F.col("court")) | (before & F.when(rose, said["mute"]).otherwise(said["claims"]))
+    return steps.withColumn("wrong", wrong).select("seq", "wrong", rules.strikes(F.col("wrong"), 6, RUN, SEQ).alias("fired"))
 
 
 @query("t15_first_end", f"WITH a AS (SELECT *, lag(seconds) OVER w AS ps FROM steps {W}), b AS (SELECT *, sum(CASE WHEN ps = seconds THEN 0 ELSE 1 END) OVER w AS part FROM a {W}), c AS (SELECT *, row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS same FROM b), d AS (SELECT *, CASE WHEN quarter = 4 AND seconds = 0 THEN 'game_ended' WHEN same = 8 THEN 'rollback_time' END AS type FROM c) SELECT run_id, min(seq) AS at, arg_min(type, seq) AS type, arg_min(quarter, seq) AS quarter, arg_min(seconds, seq) AS seconds, arg_min(away, seq) AS away, arg_min(home, seq) AS home, count(*) AS terminations FROM d WHERE type IS NOT NULL GROUP BY run_id", "steps")

@@ -78,6 +78,39 @@ def odd_situation(description: Column, quarter: Column, seconds: Column, away: C
     )
 
 
+def _says(text: Column, *words: str) -> Column:
+    """Whether a text in capitals holds one of the words."""
+    return F.coalesce(text.rlike("|".join(words)), F.lit(False))
+
+
+def contradiction(text: Column, points: Column, quarter: Column, player: Column, court: Column) -> Column:
+    """Whether a description in capitals contradicts the other fields of its play; an empty one contradicts nothing.
+
+    Fixed values: the words that speak of threes, fouls, shots, substitutions and quarters.
+    """
+    kinds = [
+        (points == 3) & ~_says(text, "3", "THREE", "POINTER") & _says(text, "SHOT", "MAKE", "SCORE"),
+        (points == 2) & _says(text, "3") & _says(text, "THREE", "POINTER"),
+        (points == 1) & ~_says(text, "FOUL", "FREE", "TECHNICAL"),
+        (player != "") & (F.size(court) > 0) & ~F.array_contains(court, player) & ~F.contains(text, F.upper(player)),
+        _says(text, "SUB") & ~F.replace(text, F.lit("SUB"), F.lit("")).rlike(r"\p{L}"),
+        (quarter == 4) & ~_says(text, "FOURTH", "4TH") & _says(text, "FIRST", "1ST"),
+    ]
+    found = F.coalesce(kinds[0], F.lit(False))
+    for k in kinds[1:]:
+        found = found | F.coalesce(k, F.lit(False))
+    return (text != "") & found
+
+
+def scoring_words(text: Column) -> Column:
+    """(claims, mute): a description in capitals that needs a score to have risen, and one that must not go with a rise.
+
+    Fixed values: the words of scoring, of misses, and of plays beside which a score may rise.
+    """
+    says = _says(text, "SCORE", "MAKE", "BASKET", "SHOT", "POINT")
+    return F.struct((says & ~_says(text, "MISS", "BLOCK", "REBOUND")).alias("claims"), ((text != "") & ~says & ~_says(text, "SUB", "TIMEOUT", "FOUL")).alias("mute"))
+
+
 def stuck_clock(df: DataFrame, keys: list[str], order: str, clock: list[str], limit: int = 8, kept: int = CONTEXT - 1) -> DataFrame:
     """``same`` (rows before in a row with this clock), ``fired`` (at every ``limit``-th) and ``restored``.
 

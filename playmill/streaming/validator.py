@@ -1,9 +1,10 @@
 """Sequence-state validation: one fold per run, used in batch and in Structured Streaming.
 
+In batch ``playmill.streaming.fold`` runs it in the JVM; ``step`` is the same automaton for streams, a play at a time.
 Checks run in a fixed order and the first that fires decides.  All compare a play with the play before it and with the
 context, the last ``Limits.context`` plays; the state moves on only afterwards.  A rollback restores the context to the
-plays before the clock stood still, a transition forgets the clock.  Batch and stream share ``step``, so both give the
-same verdicts for the same order; the stream sorts the rows of a batch and gives a late one, behind a play that was
+plays before the clock stood still, a transition forgets the clock.  A fall of the score that fires is not
+believed, so the scores before it stay.  Batch and stream give the same verdicts for the same order; the stream sorts the rows of a batch and gives a late one, behind a play that was
 judged already, the verdict LATE without a change of state.
 
 Windows of ``playmill.streaming.rules`` count the same strikes without Python where no restart of state is needed.
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playmill.streaming import fold
 from playmill.streaming.rules import ADMIN_WORDS, PATTERN_WORDS
 
 IN = "run_id long, seq long, quarter int, seconds int, away int, home int, points int, description string"
@@ -53,6 +55,7 @@ class Limits:
     max_points: int = 4
     max_jump: int = 6
     max_quarter_jump: int = 3
+    max_clock_jump: int = 720
     max_score: int = 300
     shot_gap: int = 5
     quarter_skip: int = 2
@@ -119,6 +122,26 @@ def _pattern(points: int, text: str) -> str:
     return "|".join([f"SHOT:{points}PT"] * (points > 0) + ["DESC:" + "-".join(words)] * bool(words)) or "GENERIC_PLAY"
 
 
+def _contradicts(quarter: int, points: int, text: str, player: str, court: list[str]) -> bool:
+    """Whether a description contradicts the other fields of its play, as ``rules.contradiction``."""
+    text, says = text.upper(), lambda *words: any(w in text.upper() for w in words)
+    return bool(text) and (
+        (points == 3 and not says("3", "THREE", "POINTER") and says("SHOT", "MAKE", "SCORE"))
+        or (points == 2 and says("3") and says("THREE", "POINTER"))
+        or (points == 1 and not says("FOUL", "FREE", "TECHNICAL"))
+        or (bool(player) and bool(court) and player not in court and player.upper() not in text)
+        or (says("SUB") and not any(c.isalpha() for c in text.replace("SUB", "")))
+        or (quarter == 4 and not says("FOURTH", "4TH") and says("FIRST", "1ST"))
+    )
+
+
+def _misreports(text: str, rose: bool) -> bool:
+    """Whether a description speaks of a score that did not rise, or is silent about one that did, as ``rules.scoring_words``."""
+    says = lambda *words: any(w in text.upper() for w in words)
+    scores = says("SCORE", "MAKE", "BASKET", "SHOT", "POINT")
+    return bool(text) and (not says("SUB", "TIMEOUT", "FOUL") and not scores if rose else scores and not says("MISS", "BLOCK", "REBOUND"))
+
+
 def _odd_situation(quarter: int, seconds: int, gap: int, points: int, text: str) -> bool:
     text, late, last = text.upper(), seconds < 120, seconds < 30 and gap <= 3
     return (
@@ -148,8 +171,8 @@ def _quarter_end(s: State, quarter: int, seconds: int, text: str, lim: Limits) -
     return "clock stands at the end" if s.same_clock >= lim.stall_at else None
 
 
-def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, points: int, text: str, lim: Limits) -> Verdict:
-    """The verdict on one play; ``s`` is updated in place."""
+def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, points: int, text: str, lim: Limits, shooter: str | None = None, player: str | None = None, court: list[str] | None = None) -> Verdict:
+    """The verdict on one play; ``s`` is updated in place.  ``shooter`` is A or H, ``court`` the names on it."""
     if s.last_seq is not None and seq <= s.last_seq:
         return Verdict("LATE", "behind a play that was judged already")
     s.last_seq = seq
@@ -173,11 +196,14 @@ def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, p
     jump = 0 if first else max(away - s.away, home - s.home)
     ahead = 0 if first else quarter - s.quarter
     s.clock_strikes = (s.clock_strikes if same_quarter else 0) + (same_quarter and seconds - s.seconds > lim.clock_forward)
-    s.score_strikes += drop > 0
+    s.score_strikes += 0 if first else (s.away > away) + (s.home > home)
     full, tolerance = (720, 300) if quarter <= 4 else (300, 180)
     s.quarter_strikes += ahead == 1 and abs(seconds - full) > tolerance
     s.situation_strikes += _odd_situation(quarter, seconds, abs(away - home), points, text)
-    s.text_strikes += points > 0 and "MISS" in text.upper()
+    s.text_strikes += _contradicts(quarter, points, text, player or "", court or []) or (not first and _misreports(text, jump > 0))
+    gain = {"A": away - s.away, "H": home - s.home}.get(shooter)
+    off_shot = not first and points > 0 and gain is not None and abs(gain - points) > lim.shot_gap
+    odd = same_quarter and s.seconds >= 0 and seconds - s.seconds > lim.max_clock_jump or len(set(court or [])) < len(court or [])
 
     out = Verdict()
     ending = _quarter_end(s, quarter, seconds, text, lim)
@@ -191,8 +217,10 @@ def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, p
         held = s.snapshot or []
         out = Verdict("ROLLBACK_TIME", f"clock stuck, back to {held[-1][0] if held else -1}", "same_clock", s.same_clock, [c[0] for c in held])
     elif not lim.fast:
-        out = _retry(s, out, drop, jump, ahead, points, max(away, home), pattern, lim)
-    s.quarter, s.seconds, s.away, s.home, s.plays = quarter, seconds, away, home, s.plays + 1
+        out = _retry(s, out, drop, jump, ahead, points, max(away, home), pattern, off_shot, odd, lim)
+    if out.trigger != "score":
+        s.away, s.home = away, home
+    s.quarter, s.seconds, s.plays = quarter, seconds, s.plays + 1
     s.context = [*s.context, [seq, quarter, seconds, text]][-lim.context :]
     if out.verdict == "ROLLBACK_TIME":
         s.context, s.snapshot = s.snapshot or [], None
@@ -201,7 +229,7 @@ def step(s: State, seq: int, quarter: int, seconds: int, away: int, home: int, p
     return out
 
 
-def _retry(s: State, out: Verdict, drop: int, jump: int, ahead: int, points: int, top: int, pattern: str, lim: Limits) -> Verdict:
+def _retry(s: State, out: Verdict, drop: int, jump: int, ahead: int, points: int, top: int, pattern: str, off_shot: bool, odd: bool, lim: Limits) -> Verdict:
     """The checks that ask for another play, in order; the counter of the one that fires starts again."""
     again = lambda reason, trigger, n=None: Verdict("RETRY", reason, trigger, n)
     if s.same_text >= lim.same_text:
@@ -216,9 +244,9 @@ def _retry(s: State, out: Verdict, drop: int, jump: int, ahead: int, points: int
         out, s.clock_strikes = again("clock runs forward", "clock", s.clock_strikes), 0
     elif drop > lim.score_drop or s.score_strikes >= lim.score_strikes:
         out, s.score_strikes = again("score falls", "score", s.score_strikes), 0
-    elif abs(jump - points) > lim.shot_gap:
+    elif off_shot:
         out = again("score and shot disagree", "shot")
-    elif points > lim.max_points or jump > lim.max_jump or top > lim.max_score or ahead > lim.max_quarter_jump:
+    elif points > lim.max_points or jump > lim.max_jump or top > lim.max_score or ahead > lim.max_quarter_jump or odd:
         out = again("impossible figures", "impossible")
     elif ahead > lim.quarter_skip:
         out = again("quarters skipped", "quarter_skip")
@@ -227,16 +255,17 @@ def _retry(s: State, out: Verdict, drop: int, jump: int, ahead: int, points: int
     elif s.situation_strikes >= lim.situation_strikes:
         out, s.situation_strikes = again("plays do not fit the situation", "situation", s.situation_strikes), 0
     elif s.text_strikes >= lim.text_strikes:
-        out, s.text_strikes = again("text contradicts points", "text", s.text_strikes), 0
+        out, s.text_strikes = again("text contradicts the play", "text", s.text_strikes), 0
     return out
 
 
 def _fold(rows: pd.DataFrame, s: State, lim: Limits) -> pd.DataFrame:
     rows = rows.sort_values("seq", kind="stable")
     columns = [rows[c].tolist() for c in ("seq", "quarter", "seconds", "away", "home", "points", "description")]
+    more = [rows[c].tolist() if c in rows else [None] * len(rows) for c in ("shooter", "player", "court")]
     got = []
-    for seq, quarter, seconds, away, home, points, text in zip(*columns):
-        v = step(s, int(seq), int(quarter), int(seconds), int(away), int(home), int(points), text or "", lim)
+    for seq, quarter, seconds, away, home, points, text, shooter, player, court in zip(*columns, *more):
+        v = step(s, int(seq), int(quarter), int(seconds), int(away), int(home), int(points), text or "", lim, shooter, player, None if court is None else list(court))
         got.append((v.verdict, v.reason, v.trigger, v.consecutive, s.plays, v.restored, v.next_quarter))
     out = pd.DataFrame(got, columns=["verdict", "reason", "trigger", "consecutive", "attempts", "restored", "next_quarter"]).astype({"consecutive": "Int32", "next_quarter": "Int32"})
     out.insert(0, "seq", columns[0])
@@ -245,9 +274,8 @@ def _fold(rows: pd.DataFrame, s: State, lim: Limits) -> pd.DataFrame:
 
 
 def validate(plays: DataFrame, lim: Limits | None = None) -> DataFrame:
-    """Verdicts on all plays of all runs, in batch; plays as in ``IN``, a run is one bounded group."""
-    limits = lim or Limits()
-    return plays.groupBy("run_id").applyInPandas(lambda rows: _fold(rows, State(), limits), OUT)
+    """Verdicts on all plays of all runs, in batch; plays as in ``IN``, and shooter, player and court where there are any."""
+    return fold.verdicts(plays, lim or Limits())
 
 
 def validate_stream(plays: DataFrame, lim: Limits | None = None, idle: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def words(i):
 
 
 def test_twelfth_repetition_of_a_pattern():
-    got, _ = fold([(1, 700 - 20 * i, 0, 0, 0, f"MAKE {words(i)}") for i in range(13)])
+    got, _ = fold([(1, 700 - 20 * i, 0, 0, 0, f"MAKE {words(i)}") for i in range(13)], Limits(text_strikes=99))
     assert [v.trigger for v in got] == [None] * 11 + ["pattern", None]
 
 
@@ -48,13 +48,89 @@ def test_quarters():
 
 
 def test_situations():
-    got, _ = fold([(1, 700 - 20 * i, i, 0, 1, words(i)) for i in range(9)])
+    got, _ = fold([(1, 700 - 20 * i, i, 0, 1, words(i)) for i in range(9)], Limits(text_strikes=99))
     assert [v.trigger for v in got] == [None] * 7 + ["situation", None]
     odd = validator._odd_situation
     assert odd(2, 400, 25, 0, "Timeout") and not odd(2, 100, 25, 0, "Timeout") and odd(2, 400, 16, 0, "intentional foul") and not odd(4, 400, 16, 0, "intentional foul")
     assert odd(4, 20, 2, 0, "slow play") and not odd(4, 20, 1, 0, "slow play") and odd(4, 20, 3, 0, "SUB in") and not odd(1, 400, 0, 1, "free throw")
 
 
+def test_falls_of_the_score():
+    got, s = fold([(1, 700, 20, 10, 0, "a"), (1, 680, 14, 10, 0, "b"), (1, 660, 20, 10, 0, "c"), (1, 640, 16, 10, 0, "d")])
+    assert [v.trigger for v in got] == [None, "score", None, "score"] and (s.away, s.home) == (20, 10)  # what fired is not believed
+    both, _ = fold([(1, 700 - 20 * i, 20 - i, 20 - i, 0, words(i)) for i in range(4)])
+    assert [v.trigger for v in both] == [None, None, None, "score"]  # two teams, two strikes
+
+
+def test_shots_against_scores():
+    lim = Limits()
+    for shooter, points, away, fires in (("A", 2, 12, False), ("A", 2, 18, True), ("H", 3, 18, False), (None, 2, 18, False), ("A", 0, 18, False)):
+        s = State()
+        step(s, 0, 1, 700, 10, 10, 0, "a", lim)
+        v = step(s, 1, 1, 690, away, 10, points, "FREE 3 POINTER SHOT", Limits(max_jump=99), shooter)
+        assert (v.trigger == "shot") == fires, (shooter, points, away)
+
+
+def test_impossible_figures():
+    s, lim = State(), Limits(clock_strikes=99)
+    step(s, 0, 1, 0, 0, 0, 0, "a", lim)
+    assert step(s, 1, 1, 721, 0, 0, 0, "b", lim).trigger == "impossible"  # a whole quarter forward
+    assert step(s, 2, 1, 700, 0, 0, 0, "c", lim, None, None, ["x", "y", "x"]).trigger == "impossible"
+    assert step(s, 3, 1, 690, 0, 0, 5, "d", lim).trigger == "impossible"
+
+
+@pytest.mark.parametrize("quarter, points, text, player, court, wrong", [
+    (1, 3, "MAKE a long SHOT", "", [], True), (1, 3, "MAKE 3PT SHOT", "", [], False), (1, 2, "3 POINTER", "", [], True), (1, 1, "one", "", [], True), (1, 1, "technical", "", [], False),
+    (1, 0, "walks", "Ann", ["Bob"], True), (1, 0, "ann walks", "Ann", ["Bob"], False), (1, 0, "walks", "Ann", ["Ann"], False), (1, 0, "walks", "Ann", [], False),
+    (1, 0, "SUB 12", "", [], True), (1, 0, "SUB: Ann", "", [], False), (4, 0, "1st quarter", "", [], True), (4, 0, "from 1st to 4th", "", [], False), (3, 0, "1st quarter", "", [], False), (4, 1, "", "Ann", ["Bob"], False),
+])
+def test_words_that_contradict(spark, quarter, points, text, player, court, wrong):
+    assert validator._contradicts(quarter, points, text, player, court) == wrong
+    df = spark.createDataFrame([(quarter, points, text, player, court)], "q int, n int, d string, p string, c array<string>")
+    assert df.select(rules.contradiction(F.upper("d"), F.col("n"), F.col("q"), F.col("p"), F.col("c"))).first()[0] == wrong
+
+
+def test_words_of_scoring():
+    for text, rose, wrong in (("makes it", False, True), ("misses the SHOT", False, False), ("walks", True, True), ("FOUL", True, False), ("makes it", True, False), ("walks", False, False), ("", True, False)):
+        assert validator._misreports(text, rose) == wrong
+    got, _ = fold([(1, 700 - 20 * i, 0, 0, 0, f"BASKET {words(i)}") for i in range(8)])
+    assert [v.trigger for v in got] == [None] * 6 + ["text", None]
+
+
+@pytest.mark.parametrize("lim", [Limits(), Limits(fast=True), Limits(text_strikes=99, situation_strikes=3, context=7, patterns_held=3, pattern=4, score_strikes=2, quarter_strikes=2)])
+def test_fold_in_the_jvm_equals_step(spark, lim):
+    """Random runs, one longer than a chunk, with repeated order keys, null texts and all kinds of odd plays."""
+    rng = np.random.default_rng(4)
+    texts = ["MAKE layup", "MISS jumper", "SUB: A FOR B", "Timeout", "End of period", "P3 makes 3pt shot", "FREE throw 1", "Foul technical", "unknown", "", None, "slow deliberate sub", "SUB 12", "1st quarter shot"]
+    rows = []
+    for run in range(30):
+        away = home = 0
+        quarter, seconds = 1, 720
+        for i in range(600 if run == 0 else int(rng.integers(1, 90))):
+            points = int(rng.choice([0, 0, 0, 1, 2, 3, 5]))
+            away, home = (away + (points if rng.random() < 0.8 else 7), home) if rng.random() < 0.5 else (away, home + points)
+            away -= int(rng.choice([1, 2, 5])) if rng.random() < 0.05 else 0
+            kind = rng.random()
+            if 0.25 < kind < 0.7:
+                seconds = max(0, seconds - int(rng.integers(0, 40)))
+            elif kind < 0.75:
+                seconds += int(rng.choice([0, 5, 20, 800])) if kind > 0.7 else 0
+            elif kind < 0.8:
+                seconds = 0
+            elif kind < 0.84:
+                quarter, seconds = (quarter + int(rng.choice([1, 1, 3, 4]))) % 8, int(rng.choice([720, 300, 100]))
+            court = [None, [], ["P1", "P2", "P3"], ["P1", "P1"]][int(rng.integers(4))]
+            rows.append((run, i, quarter, seconds, away, home, points, texts[int(rng.integers(len(texts)))], [None, "A", "H"][int(rng.integers(3))], [None, "P1", "P9"][int(rng.integers(3))], court))
+    rows += [(99, 3, 1, 700, 0, 0, 0, "twice", None, None, None)] * 2
+    df = spark.createDataFrame(rows, validator.IN + ", shooter string, player string, court array<string>")
+    plain = lambda v: None if v is None or v != v else tuple(v) if not np.isscalar(v) else v
+    got = sorted((tuple(map(plain, r)) for r in validator.validate(df, lim).collect()), key=repr)
+    own = [validator._fold(pd.DataFrame([r for r in rows if r[0] == run], columns=df.columns), State(), lim) for run in {r[0] for r in rows}]
+    want = sorted((tuple(None if x is pd.NA else plain(x) for x in r) for o in own for r in o.astype(object).itertuples(index=False)), key=repr)
+    assert got == want
+    assert "Python" not in validator.validate(df, lim)._jdf.queryExecution().toString()
+
+
 def test_rollback_restores_the_context():
     got, s = fold([(1, 700 - 20 * i, 0, 0, 0, words(i)) for i in range(25)] + [(1, 100, 0, 0, 0, words(30 + i)) for i in range(9)])
     last = got[-1]
