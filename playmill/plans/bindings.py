@@ -63,6 +63,11 @@ FROM (SELECT run_id, seq, away, home, CAST(1 + floor((rn - 1) / CASE run_id % 3
   FROM (SELECT user_id AS run_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
         sum(CASE WHEN event_id % 2 = 0 THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS away,
         sum(CASE WHEN event_id % 2 = 1 THEN event_id % 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS home FROM events))""",
+    "deliveries": """
+SELECT event_id, ts, user_id, event_type, value, CAST(CASE WHEN event_id % 40 = 7 THEN least(3, b + 2) ELSE b END AS INT) AS batch
+FROM (SELECT *, CAST(floor((extract(day FROM ts) - 1) / 8.0) AS INT) AS b FROM events) AS first_time
+UNION ALL SELECT event_id, ts, user_id, event_type, value, CAST(least(3, b + 1) AS INT) AS batch
+FROM (SELECT *, CAST(floor((extract(day FROM ts) - 1) / 8.0) AS INT) AS b FROM events) AS again WHERE event_id % 25 = 3""",
     "teams": """
 SELECT n_nationkey AS team_id, n_name AS abbr, n_name || ' of ' || r_name AS full_name, r_name AS conference, n_regionkey * 2 + n_nationkey % 2 AS division
 FROM nation JOIN region ON n_regionkey = r_regionkey""",

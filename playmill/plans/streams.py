@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from playmill.functions import clock
 from playmill.plans import automaton
 from playmill.plans.registry import query
-from playmill.streaming import rules, validator, windows
+from playmill.streaming import replay, rules, stateful, validator, windows
 
 
 def _as_runs(plays: DataFrame) -> DataFrame:
@@ -175,3 +175,65 @@ def first_end(steps: DataFrame) -> DataFrame:
     stood = rules.stuck_clock(steps, RUN, SEQ, ["seconds"])
     verdict = F.when((F.col("quarter") == 4) & (F.col("seconds") == 0), "END_GAME").when(F.col("same") == 8, "ROLLBACK_TIME")
     return rules.termination_record(stood.withColumn("verdict", verdict), RUN, SEQ).drop("description")
+
+
+#: Deliveries of events: every 40th comes two deliveries later, every 25th once more with the next one.
+BATCHES, LATE = 4, "2 days"
+MARKS = """marks AS (SELECT b.batch, (SELECT least(max(ts) FILTER ({0}), max(ts) FILTER ({1})) FROM deliveries d WHERE d.batch < b.batch) AS latest FROM (SELECT DISTINCT batch FROM deliveries) b),
+marked AS (SELECT d.*, date_trunc('milliseconds', latest) - INTERVAL 2 DAY AS mark FROM deliveries d JOIN marks m ON m.batch = d.batch)"""
+MARKED = MARKS.format("TRUE", "TRUE")
+
+
+@query("t19_stream_windows", f"""WITH {MARKED} SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM marked WHERE mark IS NULL OR time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR > mark
+GROUP BY 1, 2 HAVING start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM deliveries)""", "deliveries")
+def stream_windows(deliveries: DataFrame) -> DataFrame:
+    """Six-hour windows of a stream that is restarted three times; what is too late is dropped, what is closed is written once."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        rows = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        out = windows.windowed(rows, "ts", "6 hours", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")], LATE)
+        return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+    return replay.replayed(deliveries, "batch", BATCHES, build)[0]
+
+
+@query("t19_stream_first_deliveries", f"WITH {MARKED} SELECT DISTINCT event_id, event_type FROM marked WHERE mark IS NULL OR ts > mark", "deliveries")
+def stream_first(deliveries: DataFrame) -> DataFrame:
+    """Each event of a stream once, whether it comes again in the same delivery or the next."""
+    return replay.replayed(deliveries, "batch", BATCHES, lambda s: replay.first_deliveries(s, ["event_id"], "ts", LATE).select("event_id", "event_type"))[0]
+
+
+@query("t19_stream_interval_join", "WITH " + MARKS.format("event_type = 'click'", "event_type = 'purchase'") + """, kept AS (SELECT * FROM marked WHERE mark IS NULL OR ts > mark)
+SELECT c.event_id AS click, p.event_id AS purchase FROM kept c JOIN kept p ON p.user_id = c.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 DAY""", "deliveries")
+def stream_join(deliveries: DataFrame) -> DataFrame:
+    """Purchases up to a day after a click of the same user, both sides streams."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        clicks = stream.where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("clicked"))
+        bought = stream.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("bought"))
+        return replay.interval_join(clicks, bought, F.col("who") == F.col("user_id"), ("clicked", "bought"), "1 DAY", LATE).select("click", "purchase")
+
+    return replay.replayed(deliveries, "batch", BATCHES, build)[0]
+
+
+def _in_thirds(steps: DataFrame) -> DataFrame:
+    """Plays with the delivery they come with: the first five of each run, the next seven, the rest."""
+    place = F.row_number().over(Window.partitionBy(*RUN).orderBy(SEQ))
+    return steps.withColumn("batch", F.when(place <= 5, 0).when(place <= 12, 1).otherwise(2))
+
+
+@query("t03_stream", automaton.query_sql("steps", validator.Limits(), True, FLAT), "steps")
+def stream_verdicts(steps: DataFrame) -> DataFrame:
+    """The validator over a stream that is stopped and restarted in mid-game, twice."""
+    return _flat(replay.replayed(_in_thirds(steps), "batch", 3, stateful.validate_stream)[0])
+
+
+@query("t14_stream_state", automaton.query_sql("steps", validator.Limits(), True, """, ends AS (SELECT run_id, max(rn) AS rn FROM folded GROUP BY run_id)
+SELECT run_id, plays, quarter, seconds, away, home, score AS score_strikes, wording AS text_strikes, ended, CAST(len(context) AS BIGINT) AS held, context[-1].seq AS latest FROM folded JOIN ends USING (run_id, rn)"""), "steps")
+def stream_state(steps: DataFrame) -> DataFrame:
+    """The state that the stream leaves, read back from its checkpoint; no run holds more than its context."""
+    spark = steps.sparkSession
+    _, checkpoint = replay.replayed(_in_thirds(steps), "batch", 3, stateful.validate_stream)
+    held = replay.state_of(spark, checkpoint, "context").groupBy(F.col("key.run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("held"), F.max("list_element.seq").alias("latest"))
+    counters = replay.state_of(spark, checkpoint, "counters").select("key.run_id", *[f"value.{c}" for c in ("plays", "quarter", "seconds", "away", "home", "score_strikes", "text_strikes", "ended")])
+    return counters.join(held, "run_id", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))

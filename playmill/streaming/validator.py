@@ -12,10 +12,8 @@ Windows of ``playmill.streaming.rules`` count the same strikes without Python wh
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -279,22 +277,10 @@ def validate(plays: DataFrame, lim: Limits | None = None) -> DataFrame:
 
 
 def validate_stream(plays: DataFrame, lim: Limits | None = None, idle: str | None = None) -> DataFrame:
-    """The same over a stream: state is kept per run, and dropped once a run has been silent for ``idle`` ("2 hours")."""
-    limits = lim or Limits()
-    pause = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = State(**json.loads(state.get[0])) if state.exists else State()
-        out = _fold(pd.concat(list(batches)), s, limits)
-        state.update((json.dumps(asdict(s)),))
-        if pause:
-            state.setTimeoutDuration(pause)
-        yield out
-
-    return plays.groupBy("run_id").applyInPandasWithState(run, OUT, "state string", "append", "ProcessingTimeTimeout" if pause else "NoTimeout")
+    """The same over a stream, as ``playmill.streaming.stateful`` keeps its state."""
+    from playmill.streaming import stateful  # it builds on this module
+
+    return stateful.validate_stream(plays, lim, idle)
 
 
 def with_records(verdicts: DataFrame, plays: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def test_state_expires(spark, tmp_path):
     plays = spark.createDataFrame([(1, i, 1, 700 - i, 0, 0, 0, words(i)) for i in range(5)], validator.IN)
     plays.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(validator.IN).parquet(str(tmp_path / "in"))
-    q = validator.validate_stream(stream, idle="1 hour").writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = validator.validate_stream(stream, idle="1 hour").writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()  # timers always ask for another batch
     q.awaitTermination(120)
     assert spark.table("expiring").count() == 5
 
