@@ -199,15 +199,23 @@ def per_worker(key, make: Callable[[], object]):
 
 
 class Remembered:
-    """A bounded two-generation cache: at most twice ``limit`` entries; what was used lately survives."""
+    """A bounded two-generation cache of values by text; what was used lately survives.
 
-    def __init__(self, limit: int = 150_000):
-        self.limit, self.young, self.old = limit, {}, {}
+    A generation holds at most ``limit`` texts and ``chars`` characters of them (and what one call adds); texts of more
+    than ``longest`` characters are forgotten with the next call.
+    """
+
+    def __init__(self, limit: int = 150_000, chars: int = 2_000_000, longest: int = 64):
+        self.limit, self.chars, self.longest = limit, chars, longest
+        self.young, self.old, self.passing, self.held = {}, {}, [], 0
 
     def fill(self, keys, compute: Callable[[list], list]) -> dict:
-        """A dict with every key of ``keys``; ``compute`` gives the values of those not yet known."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        """A dict with every key of ``keys``, good until the next call; ``compute`` gives the values of those not yet known."""
+        for k in self.passing:
+            del self.young[k]
+        self.passing = []
+        if len(self.young) > self.limit or self.held > self.chars:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         missing = []
         for k in keys - young.keys():
@@ -216,6 +224,9 @@ class Remembered:
                 missing.append(k)
             else:
                 young[k] = v
+                self.held += len(k)
         if missing:
             young.update(zip(missing, compute(missing)))
+            self.held += sum(map(len, missing))
+            self.passing = [k for k in missing if len(k) > self.longest]
         return young

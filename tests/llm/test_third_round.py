@@ -192,3 +192,58 @@ def test_range_rank_splits_equal_rows(spark):
         assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own)
         assert {r.members for r in rows if r.g == g} == {len(own)}
     assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 1500
+
+
+def test_patterns_end_near_a_lower_bound(caplog):
+    from playmill.llm import packing
+
+    rng = np.random.default_rng(0)
+    for lengths, room in ((np.clip(rng.lognormal(4.5, 1.0, 400_000).astype(int), 1, 511), 512), (rng.integers(100, 250, 20_000), 512)):
+        demand = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)]))
+        patterns = packing.solve_patterns(demand, room)
+        classes = np.array(sorted(demand))
+        assert list(sum(p.counts * p.times for p in patterns)) == [demand[c] for c in classes]
+        assert all((p.counts * classes).sum() <= room for p in patterns)
+        assert sum(p.times for p in patterns) <= 1.005 * lengths.sum() / room + 1
+    assert "left after" not in caplog.text
+
+
+def test_first_fit_basis_is_feasible():
+    from playmill.llm import packing
+
+    rng = np.random.default_rng(2)
+    for m in (1, 2, 7, 60):
+        classes = np.sort(rng.choice(np.arange(1, 65), m, replace=False)).astype(np.int64)
+        need = rng.integers(1, 9, m).astype(float)
+        x = np.linalg.solve(packing._first_fit_basis(need, classes, 64 // classes, 64), need)
+        assert x.min() > -1e-9
+
+
+def test_caches_are_bounded_in_characters():
+    cache = common.Remembered(limit=1000, chars=5000)
+    long = "x" * 100_000
+    got = cache.fill({long, "a"}, lambda new: [len(k) for k in new])
+    assert got[long] == 100_000 and got["a"] == 1
+    again = cache.fill({"b"}, lambda new: [len(k) for k in new])
+    assert long not in again and {"a", "b"} <= again.keys()  # the long text is gone, the short ones are not
+    for i in range(300):
+        cache.fill({f"{i:060d}{k}" for k in range(10)}, lambda new: [0 for _ in new])
+        assert sum(map(len, cache.young)) + sum(map(len, cache.old)) <= 2 * (5000 + 100_000 + 700)
+    assert sum(map(len, cache.young)) <= 5700 and cache.fill({"z"}, lambda new: ["v"])["z"] == "v"
+
+
+def test_pieces_of_texts_without_spaces_are_not_kept():
+    import sentencepiece
+
+    from playmill.llm import pieces
+    from playmill.llm.queries import tokenizer_file
+
+    rng = np.random.default_rng(3)
+    codec = pieces.PieceCodec(tokenizer_file("piece_bpe_32k.model"))
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    for _ in range(20):
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 2000))) for _ in range(10)]
+        for text, (n, ids, decoded) in zip(texts, codec.encode_batch(texts)):
+            assert ids == ",".join(map(str, lib.encode(text))) and decoded == text and n == ids.count(",") + 1
+    codec.encode_batch(["end"])
+    assert not [w for w in codec.words.young if len(w) > 64]
