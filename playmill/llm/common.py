@@ -227,6 +227,6 @@ class Remembered:
                 self.held += len(k)
         if missing:
             young.update(zip(missing, compute(missing)))
-            self.held += sum(map(len, missing))
             self.passing = [k for k in missing if len(k) > self.longest]
+            self.held += sum(map(len, missing)) - sum(map(len, self.passing))
         return young
