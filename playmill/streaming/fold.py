@@ -11,11 +11,10 @@ The stream keeps the same state between its batches (``playmill.streaming.valida
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playmill.functions.nested import let
 from playmill.streaming.rules import ADMIN_WORDS, contradiction, odd_situation, play_pattern, scoring_words
 
 #: Words of administrative plays at the end of a quarter.
@@ -26,11 +25,6 @@ COUNTERS = ("same_text", "same_clock", "low_clock", "substitutions", "similar_st
 CHUNK = 256
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _number(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("int")
 
