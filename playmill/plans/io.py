@@ -73,13 +73,13 @@ def json_lines(orders: DataFrame) -> DataFrame:
     return orders.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
 
 
-@query("k11_random_parts", None, "t:orders")
+@query("k11_random_parts", "SELECT o_orderkey, CAST('0x' || substring(md5(CAST(o_orderkey AS STRING)), 1, 8) AS BIGINT) % 5 AS part FROM orders", "t:orders")
 def random_parts(orders: DataFrame) -> DataFrame:
     """An even, repeatable split."""
     return orders.select("o_orderkey", writers.random_part(F.col("o_orderkey"), 5).alias("part"))
 
 
-@query("p16_sample", None, "t:orders")
+@query("p16_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS STRING)), o_orderkey LIMIT 100", "t:orders")
 def sample(orders: DataFrame) -> DataFrame:
     """A fixed-size sample that is the same on every run."""
-    return orders.select("o_orderkey").orderBy(F.xxhash64(F.lit(42), "o_orderkey"), "o_orderkey").limit(100)
+    return orders.select("o_orderkey").orderBy(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(100)
