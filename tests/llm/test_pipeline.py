@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op9": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op10": {"doc_id", "held_out", "score", "predicted"},
+    "op11": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
+    "op12": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
