@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playmill.functions.maths import ratio
+from playmill.functions.matrices import top_component
 
 
 def totals(df: DataFrame, keys: list[str], sums: list[str], means: list[str] = ()) -> DataFrame:
@@ -42,19 +41,30 @@ def as_of(facts: DataFrame, asked: DataFrame, keys: list[str], day: str, sums: l
 
 
 def ratios(df: DataFrame) -> DataFrame:
-    """Shooting and per-game ratios of box-score totals, 0 where the base is 0, three decimals."""
-    c, g = F.col, F.col("games")
+    """Shooting, per-game and per-minute figures of box-score totals, 0 where the base is 0, three decimals."""
+    c, g, m = F.col, F.col("games"), F.col("mins")
     found = {
-        "mpg": ratio(c("mins"), g),
+        "p2": c("fg") - c("p3"),
+        "mpg": ratio(m, g),
+        "p3_pct": ratio(c("p3"), c("p3a")),
+        "ft_pct": ratio(c("ft"), c("fta")),
         "efg": ratio(c("fg") + c("p3") * 0.5, c("fga")),
         "ts": ratio(c("pts"), (c("fga") + c("fta") * 0.44) * 2),
-        "p3r": ratio(c("p3"), c("fga")),
-        "ft_pct": ratio(c("ft"), c("fta")),
+        "p3r": ratio(c("p3a"), c("fga")),
         "ftr": ratio(c("fta"), c("fga") + c("fta")),
         "pfft": ratio(c("ft"), c("pts")),
         "ppg": ratio(c("pts"), g),
-        "rpg": ratio(c("trb"), g),
+        "rpg": ratio(c("orb") + c("drb"), g),
+        "drpg": ratio(c("drb"), g),
+        "orpg": ratio(c("orb"), g),
         "apg": ratio(c("ast"), g),
+        "spg": ratio(c("stl"), g),
+        "bpg": ratio(c("blk"), g),
+        "bpm": ratio(c("blk"), m),
+        "spm": ratio(c("stl"), m),
+        "tpg": ratio(c("tov"), g),
+        "fpg": ratio(c("pf"), g),
+        "fpm": ratio(c("pf"), m),
     }
     return df.select("*", *[F.round(v, 3).alias(k) for k, v in found.items()])
 
@@ -111,28 +121,20 @@ def profile_scores(df: DataFrame, group: list[str], name: str, features: list[st
     """First principal component of standardised features within each group.
 
     Population deviation; a constant feature is scaled by 1; the loading of largest size is positive.  Means and
-    products are Spark aggregates; only their small matrix, a row for each group, is decomposed in Python.  Rows with a
-    null feature take no part; groups of less than ``least_rows`` get 0.
+    products are aggregates, their small matrix, a row for each group, is decomposed by Jacobi rotations: all of it in
+    the JVM.  Rows with a null feature take no part; groups of less than ``least_rows`` get 0.
     """
     known = df.na.drop(subset=features)
-    k, pairs = len(features), [(a, b) for a in features for b in features]
+    k = len(features)
+    scale = [F.when(F.stddev_pop(f) > 0, F.stddev_pop(f)).otherwise(1.0) for f in features]
     figures = known.groupBy(*group).agg(
         F.count(F.lit(1)).alias("__n"),
         F.array(*[F.avg(f) for f in features]).alias("__mean"),
-        F.array(*[F.stddev_pop(f) for f in features]).alias("__spread"),
-        F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("__products"),
+        F.array(*scale).alias("__scale"),
+        F.array(*[F.covar_pop(a, b) for a in features for b in features]).alias("__products"),
     )
-
-    @F.pandas_udf("array<double>")
-    def loadings(spread: pd.Series, products: pd.Series) -> pd.Series:
-        scale = np.stack(spread.to_list())
-        scale = np.where(scale > 0, scale, 1)
-        matrices = np.stack(products.to_list()).reshape(-1, k, k) / (scale[:, :, None] * scale[:, None, :])
-        vector = np.linalg.eigh(matrices)[1][:, :, -1]
-        top = np.take_along_axis(vector, np.abs(vector).argmax(axis=1)[:, None], axis=1)
-        return pd.Series(list(vector * np.where(top < 0, -1.0, 1.0) / scale))
-
-    fitted = figures.withColumn("__load", loadings("__spread", "__products")).drop("__spread", "__products")
+    matrix = F.transform("__products", lambda v, x: v / (F.get("__scale", F.floor(x / k).cast("int")) * F.get("__scale", x % k)))
+    fitted = figures.withColumn("__load", F.zip_with(top_component(matrix, k), "__scale", lambda v, s: v / s)).drop("__scale", "__products")
     keyed = fitted.withColumnsRenamed({g: f"__{g}" for g in group})
     same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
     joined = known.select(*group, name, *features).join(keyed, reduce(lambda a, b: a & b, same))
@@ -142,10 +144,13 @@ def profile_scores(df: DataFrame, group: list[str], name: str, features: list[st
 
 def pair_profile(df: DataFrame, group: list[str], name: str, x: str, y: str) -> DataFrame:
     """The same for two features without leaving the JVM: the component is (1, sign of correlation) / sqrt 2."""
-    w = Window.partitionBy(*group)
-    standard = lambda c: (F.col(c) - F.avg(c).over(w)) / F.when(F.stddev_pop(c).over(w) > 0, F.stddev_pop(c).over(w)).otherwise(1.0)
-    sign = F.when(F.covar_pop(x, y).over(w) < 0, -1.0).otherwise(1.0)
-    return df.na.drop(subset=[x, y]).select(*group, name, ((standard(x) + sign * standard(y)) / F.sqrt(F.lit(2.0))).alias("score"))
+    known = df.na.drop(subset=[x, y])
+    deviation = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
+    sign = F.when(F.covar_pop(x, y) < 0, -1.0).otherwise(1.0)
+    figures = known.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"), deviation(x).alias("__sx"), deviation(y).alias("__sy"), sign.alias("__sign"))
+    joined = known.join(figures, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]))
+    score = (F.col(x) - F.col("__mx")) / F.col("__sx") + F.col("__sign") * (F.col(y) - F.col("__my")) / F.col("__sy")
+    return joined.select(*group, name, (score / F.sqrt(F.lit(2.0))).alias("score"))
 
 
 def cohorts(current: DataFrame, prior: DataFrame, keys: list[str], least_games: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Join shapes: text keys, first matches, fuzzy names and repeated rows."""
+"""Join shapes: text keys, first matches and repeated rows."""
 
 from __future__ import annotations
 
@@ -26,9 +26,3 @@ def lookup(left: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str,
 def repeat_rows(left: DataFrame, times: int, name: str) -> DataFrame:
     """Each row ``times`` times, numbered from 1: a product without a join."""
     return left.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))))
-
-
-def shared_words(a: Column, b: Column, ignored: tuple[str, ...] = ("the", "of")) -> Column:
-    """Whether two names share a word that is not ignored."""
-    words = lambda c: F.array_except(F.split(F.lower(c), " "), F.array(*[F.lit(w) for w in ignored]))
-    return F.size(F.array_intersect(words(a), words(b))) > 0

@@ -45,11 +45,6 @@ def run_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def spread_of(col: str) -> list[Column]:
-    """Mean, median, sample deviation, least and largest of a column."""
-    return [F.round(F.avg(col), 4).alias("mean"), F.round(F.median(col), 4).alias("median"), F.round(F.stddev_samp(col), 4).alias("std"), F.min(col).alias("least"), F.max(col).alias("most")]
-
-
 def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key: upsert by primary key as a rank."""
     w = Window.partitionBy(*key).orderBy(*order)

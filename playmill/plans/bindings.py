@@ -39,7 +39,9 @@ SELECT l_suppkey AS player, CAST(extract(year FROM l_shipdate) AS INT) AS season
        l_orderkey AS game_id, l_linenumber AS line, l_returnflag AS venue,
        l_quantity AS mins, floor(l_quantity * (1 - l_discount)) AS fg, l_quantity AS fga, CAST(l_linenumber AS DOUBLE) AS p3,
        floor(l_quantity * l_tax) AS ft, floor(l_quantity * l_tax) + CAST(l_linenumber % 3 AS DOUBLE) AS fta,
-       CAST(l_partkey % 12 AS DOUBLE) AS trb, CAST(l_partkey % 7 AS DOUBLE) AS ast, floor(l_extendedprice / 1000) AS pts, l_tax * 100 AS usage_rate
+       CAST(l_partkey % 12 AS DOUBLE) AS trb, CAST(l_partkey % 7 AS DOUBLE) AS ast, floor(l_extendedprice / 1000) AS pts, l_tax * 100 AS usage_rate,
+       CAST(l_linenumber + l_partkey % 4 AS DOUBLE) AS p3a, CAST(l_partkey % 12 % 4 AS DOUBLE) AS orb, CAST(l_partkey % 12 - l_partkey % 12 % 4 AS DOUBLE) AS drb,
+       CAST(l_partkey % 6 AS DOUBLE) AS pf, CAST(l_orderkey % 4 AS DOUBLE) AS stl, CAST(l_partkey % 5 AS DOUBLE) AS tov, CAST(l_orderkey % 3 AS DOUBLE) AS blk
 FROM lineitem""",
     "plays": """
 SELECT user_id AS game_id, event_id AS play_id, CAST(1 + (event_id * 4) % 5 AS INT) AS period,

@@ -6,14 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playmill.functions import clock, text
-from playmill.operators import asof, joins
+from playmill.operators import asof, joins, names
 from playmill.plans.registry import query
 
-SUMS = ["mins", "fg", "fga", "p3", "ft", "fta", "trb", "ast", "pts"]
+SUMS = ["mins", "fg", "fga", "p3", "p3a", "ft", "fta", "orb", "drb", "trb", "ast", "pf", "stl", "tov", "blk", "pts"]
 SUMS_SQL = ", ".join(f"sum({c}) AS {c}" for c in SUMS)
-RATIO_SQL = """round(mins / games, 3) AS mpg, round(coalesce((fg + p3 * 0.5) / nullif(fga, 0), 0), 3) AS efg, round(coalesce(pts / nullif(2 * (fga + fta * 0.44), 0), 0), 3) AS ts,
- round(coalesce(p3 / nullif(fga, 0), 0), 3) AS p3r, round(coalesce(ft / nullif(fta, 0), 0), 3) AS ft_pct, round(coalesce(fta / nullif(fga + fta, 0), 0), 3) AS ftr,
- round(coalesce(ft / nullif(pts, 0), 0), 3) AS pfft, round(pts / games, 3) AS ppg, round(trb / games, 3) AS rpg, round(ast / games, 3) AS apg"""
+#: Each ratio as numerator and base, 0 where the base is 0.
+RATIOS = {
+    "mpg": ("mins", "games"), "p3_pct": ("p3", "p3a"), "ft_pct": ("ft", "fta"), "efg": ("(fg + p3 * 0.5)", "fga"), "ts": ("pts", "(2 * (fga + fta * 0.44))"), "p3r": ("p3a", "fga"),
+    "ftr": ("fta", "(fga + fta)"), "pfft": ("ft", "pts"), "ppg": ("pts", "games"), "rpg": ("(orb + drb)", "games"), "drpg": ("drb", "games"), "orpg": ("orb", "games"), "apg": ("ast", "games"),
+    "spg": ("stl", "games"), "bpg": ("blk", "games"), "bpm": ("blk", "mins"), "spm": ("stl", "mins"), "tpg": ("tov", "games"), "fpg": ("pf", "games"), "fpm": ("pf", "mins"),
+}
+RATIO_SQL = "round(fg - p3, 3) AS p2, " + ", ".join(f"round(coalesce({a} / nullif({b}, 0), 0), 3) AS {name}" for name, (a, b) in RATIOS.items())
+
+
+def component_sql(rows: str, group: str, name: str, features: list[str]) -> str:
+    """The profile score in SQL: a matrix squared over and over turns into its first component."""
+    k = len(features)
+    every = lambda f: "[" + ", ".join(f(c) for c in features) + "]"
+    products = "[" + ", ".join(f"covar_pop({a}, {b})" for a in features for b in features) + "]"
+    trace = " + ".join(f"m[{i * k + i + 1}]" for i in range(k))
+    diagonal = "[" + ", ".join(f"m[{i * k + i + 1}]" for i in range(k)) + "]"
+    return f"""WITH RECURSIVE f AS ({rows}), g AS (SELECT {group}, count(*) AS n, {every(lambda c: f'avg({c})')} AS mean, {every(lambda c: f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END')} AS scale, {products} AS c FROM f GROUP BY {group}),
+p({group}, step, m) AS (SELECT {group}, 0, list_transform(range({k * k}), lambda x: c[x + 1] / (scale[x // {k} + 1] * scale[x % {k} + 1])) FROM g
+ UNION ALL SELECT {group}, step + 1, list_transform(range({k * k}), lambda x: list_sum(list_transform(range({k}), lambda y: m[(x // {k}) * {k} + y + 1] * m[y * {k} + x % {k} + 1])) / (({trace}) * ({trace}))) FROM p WHERE step < 40),
+v AS (SELECT {group}, list_transform(range({k}), lambda x: m[x * {k} + place]) AS v FROM (SELECT {group}, m, list_position({diagonal}, list_max({diagonal})) AS place FROM p WHERE step = 40)),
+u AS (SELECT {group}, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM v)
+SELECT {group}, {name}, round(CASE WHEN n < 5 THEN 0 ELSE {' + '.join(f'({c} - mean[{i}]) / scale[{i}] * u[{i}]' for i, c in enumerate(features, 1))} END, 4) AS score FROM f JOIN g USING ({group}) JOIN u USING ({group})"""
+
+
+PROFILE_ROWS = f"SELECT season, player, {RATIO_SQL} FROM (SELECT season, player, {SUMS_SQL}, count(*) AS games FROM box GROUP BY season, player)"
+COHORT_ROWS = f"""SELECT CASE WHEN t.games >= 70 THEN 'sufficient' WHEN b.player IS NOT NULL THEN 'prior' ELSE 'none' END AS cohort, t.* FROM (SELECT player, games, {RATIO_SQL} FROM (SELECT player, {SUMS_SQL}, count(*) AS games FROM box WHERE season = 2001 GROUP BY player)) t
+ LEFT JOIN (SELECT DISTINCT player FROM box WHERE season = 2000) b USING (player)"""
 
 
 @query("a01_season_totals", f"SELECT player, season, {SUMS_SQL}, round(avg(usage_rate), 4) AS usage_rate, count(*) AS games FROM box GROUP BY player, season", "box")
@@ -84,20 +108,20 @@ def pair_profile(box: DataFrame) -> DataFrame:
     return asof.pair_profile(f, ["season"], "player", "x", "y").withColumn("score", F.round("score", 4))
 
 
-@query("a30_profiles", None, "box")
+@query("a30_profiles", component_sql(PROFILE_ROWS, "season", "player", ["efg", "ts", "ft_pct", "ppg"]), "box")
 def profiles(box: DataFrame) -> DataFrame:
     """One-component profile of four features per season."""
     f = asof.ratios(asof.totals(box, ["season", "player"], SUMS)).select("season", "player", "efg", "ts", "ft_pct", "ppg")
-    return asof.profile_scores(f, ["season"], "player", ["efg", "ts", "ft_pct", "ppg"])
+    return asof.profile_scores(f, ["season"], "player", ["efg", "ts", "ft_pct", "ppg"]).withColumn("score", F.round("score", 4))
 
 
-@query("a31_cohort_profiles", None, "box")
+@query("a31_cohort_profiles", component_sql(COHORT_ROWS, "cohort", "player", ["efg", "ts", "ppg"]), "box")
 def cohort_profiles(box: DataFrame) -> DataFrame:
     """Profiles fitted apart for entities with enough games, with a prior season only, and with neither."""
     f = asof.ratios(asof.totals(box.where("season = 2001"), ["player"], SUMS))
     prior = asof.totals(box.where("season = 2000"), ["player"], SUMS)
     sorted_in = asof.cohorts(f, prior, ["player"], 70).select("cohort", "player", "efg", "ts", "ppg")
-    return asof.profile_scores(sorted_in, ["cohort"], "player", ["efg", "ts", "ppg"])
+    return asof.profile_scores(sorted_in, ["cohort"], "player", ["efg", "ts", "ppg"]).withColumn("score", F.round("score", 4))
 
 
 @query("a32_modal_season", "SELECT player, season FROM (SELECT player, season, row_number() OVER (PARTITION BY player ORDER BY count(*) DESC, season) AS rn FROM box GROUP BY player, season) WHERE rn = 1", "box")
@@ -107,11 +131,11 @@ def modal_season(box: DataFrame) -> DataFrame:
     return counts.groupBy("player").agg(F.max_by("season", F.struct("n", -F.col("season"))).alias("season"))
 
 
-@query("a33_ids_by_season", "SELECT season, string_agg(CAST(player AS STRING), ',' ORDER BY player) AS players FROM (SELECT DISTINCT season, player FROM box WHERE pts > 90) GROUP BY season", "box")
+@query("a33_ids_by_season", "SELECT season, string_agg(CAST(player AS STRING), ',' ORDER BY player) AS players FROM (SELECT DISTINCT season, player FROM box) GROUP BY season", "box")
 def ids_by_season(box: DataFrame) -> DataFrame:
     """Ids listed by season."""
     ids = F.transform(F.array_sort(F.collect_set("player")), lambda x: x.cast("string"))
-    return box.where("pts > 90").groupBy("season").agg(F.array_join(ids, ",").alias("players"))
+    return box.groupBy("season").agg(F.array_join(ids, ",").alias("players"))
 
 
 @query("a37_rosters", "SELECT game_id, string_agg(CAST(player AS STRING), ',' ORDER BY line, player, pts) AS roster FROM box GROUP BY game_id", "box")
@@ -127,19 +151,46 @@ def dimension(supplier: DataFrame, teams: DataFrame) -> DataFrame:
     return supplier.join(teams.where("conference <> 'ASIA'"), supplier.s_nationkey == teams.team_id, "left").select(F.col("s_suppkey").alias("supplier"), F.coalesce("full_name", F.lit("unknown")).alias("name"))
 
 
-@query("j05_substring_match", "SELECT n.n_name AS nation, t.abbr FROM nation n JOIN teams t ON contains(n.n_name, substring(t.abbr, 1, 3)) AND t.conference = 'EUROPE'", "t:nation", "teams")
+@query("j05_substring_match", "SELECT DISTINCT n.n_name AS nation, t.full_name FROM nation n JOIN teams t ON contains(t.full_name, n.n_name)", "t:nation", "teams")
 def substring_match(nation: DataFrame, teams: DataFrame) -> DataFrame:
-    """Containment join against a few candidates."""
-    few = teams.where("conference = 'EUROPE'").select("abbr")
-    return nation.join(few, F.col("n_name").contains(F.substring("abbr", 1, 3))).select(F.col("n_name").alias("nation"), "abbr")
+    """The names that each full name holds, met by their rarest three letters."""
+    return names.contained(teams, "full_name", nation, "n_name").withColumnRenamed("n_name", "nation")
 
 
-@query("j18_shared_words", "SELECT a.team_id AS a, b.team_id AS b FROM teams a JOIN teams b ON a.conference = b.conference AND a.team_id < b.team_id WHERE len(list_intersect(list_filter(string_split(lower(a.full_name), ' '), lambda x: x NOT IN ('the', 'of')), list_filter(string_split(lower(b.full_name), ' '), lambda x: x NOT IN ('the', 'of')))) > 0", "teams")
+MENTIONS = """(SELECT DISTINCT CASE s_suppkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' of ' || r_name WHEN 2 THEN 'the  ' || lower(n_name) WHEN 3 THEN 'Club at ' || r_name ELSE s_name END AS mention
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+WORDS_SQL = "list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w NOT IN ('the', 'of', 'and', 'in', 'at', 'to', 'for', ''))"
+
+
+@query("j18_name_ladder", f"""WITH m AS (SELECT mention, coalesce(c.full_name, mention) AS f, coalesce(d.abbr, mention) AS k, {WORDS_SQL.format('mention')} AS w FROM {MENTIONS} LEFT JOIN teams c ON mention = c.abbr LEFT JOIN teams d ON mention = d.full_name)
+SELECT mention, team_id, CASE WHEN mention = full_name THEN 'name' WHEN f = full_name THEN 'full' WHEN k = abbr THEN 'code' ELSE 'word' END AS rung FROM m, teams
+WHERE mention = full_name OR f = full_name OR k = abbr OR len(list_intersect(w, {WORDS_SQL.format('full_name')})) > 0""", "t:supplier", "t:nation", "t:region", "teams")
+def name_ladder(supplier: DataFrame, nation: DataFrame, region: DataFrame, teams: DataFrame) -> DataFrame:
+    """Names as they are mentioned against teams, by the best rung that matches."""
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    which, n = F.col("s_suppkey") % 5, F.col("n_name")
+    mention = F.when(which == 0, n).when(which == 1, F.concat(n, F.lit(" of "), "r_name")).when(which == 2, F.concat(F.lit("the  "), F.lower(n))).when(which == 3, F.concat(F.lit("Club at "), "r_name")).otherwise(F.col("s_name"))
+    known = teams.select(F.col("abbr").alias("code"), F.col("full_name").alias("full"))
+    return names.ladder(rows.select(mention.alias("mention")).distinct(), teams, "mention", "team_id", "mention", "full_name", known)
+
+
+PART_NAME = "p_name || ' of ' || p_brand || ' ' || p_type"
+
+
+@query("j18_similar_names", f"""WITH n AS (SELECT DISTINCT {PART_NAME} AS name FROM part), w AS (SELECT DISTINCT name, unnest({WORDS_SQL.format('name')}) AS w FROM n), s AS (SELECT name, count(*) AS n FROM w GROUP BY name),
+o AS (SELECT x.name AS a, y.name AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.name < y.name GROUP BY ALL)
+SELECT a, b, CAST(shared AS INT) AS shared, CAST(p.n + q.n - shared AS INT) AS words FROM o JOIN s p ON a = p.name JOIN s q ON b = q.name WHERE shared * 100 >= (p.n + q.n - shared) * 75""", "t:part")
+def similar_names(part: DataFrame) -> DataFrame:
+    """Names of parts whose words overlap by three quarters, through an index of their rarest words."""
+    return names.similar(part.select(F.expr(PART_NAME).alias("name")), "name", 75)
+
+
+@query("j18_shared_words", f"SELECT a.team_id AS a, b.team_id AS b FROM teams a JOIN teams b ON a.team_id < b.team_id WHERE len(list_intersect({WORDS_SQL.format('a.full_name')}, {WORDS_SQL.format('b.full_name')})) > 0", "teams")
 def shared_words(teams: DataFrame) -> DataFrame:
-    """Names that share a word."""
-    a, b = teams.alias("a"), teams.alias("b")
-    pairs = a.join(b, (F.col("a.conference") == F.col("b.conference")) & (F.col("a.team_id") < F.col("b.team_id")))
-    return pairs.where(joins.shared_words(F.col("a.full_name"), F.col("b.full_name"))).select(F.col("a.team_id").alias("a"), F.col("b.team_id").alias("b"))
+    """Names that share a word, met by that word."""
+    words = teams.select("team_id", F.explode(names.significant_words(F.col("full_name"))).alias("w"))
+    a, b = words.withColumnRenamed("team_id", "a"), words.withColumnRenamed("team_id", "b")
+    return a.join(b, "w").where("a < b").select("a", "b").distinct()
 
 
 @query("j19_rivals", "SELECT a.abbr AS team, b.abbr AS rival, a.conference = b.conference AS same_conference FROM teams a JOIN teams b ON a.division = b.division AND a.team_id <> b.team_id", "teams")
@@ -150,10 +201,10 @@ def rivals(teams: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.abbr").alias("team"), F.col("b.abbr").alias("rival"), (F.col("a.conference") == F.col("b.conference")).alias("same_conference"))
 
 
-@query("j11_lookup_default", "SELECT p_partkey AS part, round(coalesce(q, 0.0), 4) AS score FROM part LEFT JOIN (SELECT l_partkey, avg(l_discount) AS q FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey) ON p_partkey = l_partkey", "t:part", "t:lineitem")
+@query("j11_lookup_default", "SELECT p_partkey AS part, round(coalesce(q, 0.0), 4) AS score FROM part LEFT JOIN (SELECT l_partkey, avg(l_discount) AS q FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey", "t:part", "t:lineitem")
 def lookup_default(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Feature lookup with a default."""
-    q = lineitem.where("l_quantity > 45").groupBy("l_partkey").agg(F.avg("l_discount").alias("q"))
+    q = lineitem.groupBy("l_partkey").agg(F.avg("l_discount").alias("q"))
     return part.join(q, part.p_partkey == q.l_partkey, "left").select(F.col("p_partkey").alias("part"), F.round(F.coalesce("q", F.lit(0.0)), 4).alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playmill.functions import maths
-from playmill.operators import betting, joins, runs as ops, sequence
+from playmill.operators import betting, joins, quantiles, runs as ops, sequence
 from playmill.plans.registry import query
 
 #: Score texts read and gated as the operators do.
@@ -103,15 +103,15 @@ def platforms(runs: DataFrame) -> DataFrame:
 
 @query("a15_scoring_patterns", "SELECT coalesce(game_id, 'all') AS game, round(avg(scoring_rate), 4) AS mean, round(CAST(median(scoring_rate) AS DOUBLE), 4) AS median, round(stddev_samp(scoring_rate), 4) AS std, min(scoring_rate) AS least, max(scoring_rate) AS most FROM runs GROUP BY GROUPING SETS ((), (game_id))", "runs")
 def scoring_patterns(runs: DataFrame) -> DataFrame:
-    """Spread of the scoring rate overall and per game by grouping sets."""
-    return runs.groupingSets([[], [F.col("game_id")]], F.col("game_id")).agg(*ops.spread_of("scoring_rate")).select(F.coalesce("game_id", F.lit("all")).alias("game"), "mean", "median", "std", "least", "most")
+    """Spread of the scoring rate overall and per game by grouping sets, medians without one task for all values."""
+    return quantiles.spread(runs, [[], ["game_id"]], "scoring_rate").select(F.coalesce("game_id", F.lit("all")).alias("game"), "mean", "median", "std", "least", "most")
 
 
 @query("a16_duration_analysis", "SELECT coalesce(status, '-') AS status, coalesce(game_id, '-') AS game, round(avg(duration_seconds), 4) AS mean, round(CAST(median(duration_seconds) AS DOUBLE), 4) AS median, round(stddev_samp(duration_seconds), 4) AS std, min(duration_seconds) AS least, max(duration_seconds) AS most FROM runs GROUP BY GROUPING SETS ((), (status), (game_id))", "runs")
 def durations(runs: DataFrame) -> DataFrame:
     """Durations overall, by status and by game."""
-    s, g = F.col("status"), F.col("game_id")
-    return runs.groupingSets([[], [s], [g]], s, g).agg(*ops.spread_of("duration_seconds")).select(F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("game_id", F.lit("-")).alias("game"), "mean", "median", "std", "least", "most")
+    found = quantiles.spread(runs, [[], ["status"], ["game_id"]], "duration_seconds")
+    return found.select(F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("game_id", F.lit("-")).alias("game"), "mean", "median", "std", "least", "most")
 
 
 @query("a17_failure_analysis", "SELECT error_message, count(*) AS n FROM runs WHERE error_message IS NOT NULL GROUP BY 1 ORDER BY n DESC, error_message LIMIT 5", "runs")
@@ -163,7 +163,7 @@ def bins(runs: DataFrame) -> DataFrame:
 @query("a29_descriptive", "SELECT round(avg(duration_seconds), 4) AS mean, round(CAST(median(duration_seconds) AS DOUBLE), 4) AS median, round(stddev_samp(duration_seconds), 4) AS std, min(duration_seconds) AS least, max(duration_seconds) AS most FROM runs", "runs")
 def descriptive(runs: DataFrame) -> DataFrame:
     """Mean, median, deviation and range."""
-    return runs.agg(*ops.spread_of("duration_seconds"))
+    return quantiles.spread(runs, [[]], "duration_seconds")
 
 
 @query("a34_failure_patterns", "SELECT status, arg_min(run_id, CAST(run_id AS INT)) AS first_run, arg_max(run_id, CAST(run_id AS INT)) AS last_run, count(DISTINCT error_message) AS kinds, count(error_message) AS n FROM runs GROUP BY status", "runs")
