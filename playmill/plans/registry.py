@@ -41,4 +41,4 @@ def job(name: str, sql: str | None):
     return wrap
 
 
-from playmill.plans import context_plans, features, files, io, quality, records, results, scalars, sequences, stores, streams  # noqa: E402, F401
+from playmill.plans import context_plans, features, files, io, quality, records, results, scalars, sequences, stores, streams, training_plans  # noqa: E402, F401
