@@ -58,7 +58,7 @@ def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 @job("k01_database_saves", BATCHES_SQL)
 def database_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1, K2: three saves of runs by primary key, each seen whole or not at all."""
+    """K1: three saves of runs by primary key, each seen whole or not at all."""
     folder = scratch_path(spark, "saves")
     for batch in _batches(spark, sf_dir):
         databases.save(batch, folder, "runs", ["run_id"], [F.col("attempt")], 8)
