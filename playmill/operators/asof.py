@@ -104,6 +104,20 @@ def with_fallback(current: DataFrame, prior: DataFrame, keys: list[str], columns
     return joined.select(*keys, *out, *rest, F.coalesce("games", F.lit(0)).alias("original_games"), source)
 
 
+def season_fallback(current: DataFrame, whole: DataFrame, entity: str, season: str, columns: list[str], least_games: int) -> DataFrame:
+    """Figures of the season so far; with too few games, those of the whole season before it, if that has enough.
+
+    ``whole`` holds only the seasons that may be fallen back to.  What fell back names its season in ``fallback_from``;
+    ``original_games`` is the number of games of the season so far.  Without a season to fall back to, the few games
+    stay.  Both tables have one row for each entity and season, and ``games`` among ``columns``.
+    """
+    prior = whole.where(F.col("games") >= least_games).select(F.col(entity).alias("__entity"), (F.col(season) + 1).alias("__next"), F.struct(*columns).alias("__prior"))
+    joined = current.join(prior, (F.col(entity) == F.col("__entity")) & (F.col(season) == F.col("__next")), "left")
+    falls = (F.col("games") < least_games) & F.col("__prior").isNotNull()
+    chosen = joined.withColumn("__falls", falls).withColumn("__own", F.struct(*columns)).withColumn("__chosen", F.when(F.col("__falls"), F.col("__prior")).otherwise(F.col("__own")))
+    return chosen.select(entity, season, F.col("games").alias("original_games"), F.when(F.col("__falls"), F.col(season)).alias("fallback_from"), *[F.col(f"__chosen.{c}").alias(c) for c in columns])
+
+
 def two_row_games(df: DataFrame, game: str, venue: str, team: str, points: str, spread: str, order: list[str]) -> DataFrame:
     """One row per game of exactly two: R is away and H home; N and N goes by the sign of the first row's spread."""
     rows = F.sort_array(F.collect_list(F.struct(*order, F.col(venue).alias("v"), F.col(team).alias("t"), F.col(points).alias("p"), F.col(spread).alias("s"))))

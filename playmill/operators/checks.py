@@ -67,6 +67,28 @@ def response_errors(line: Column) -> Column:
     })
 
 
+def roster(teams: Column, least: int = 5, most: int = 15) -> Column:
+    """What is odd about the rosters of a game, an array of (team, players): whether there are any, and each team's size.
+
+    Fixed values: the messages.  A null array counts as an empty one, a null list of players as no players.
+    """
+    known = F.coalesce(teams, F.expr("array()").cast("array<struct<team:string,players:array<string>>>"))
+    size = lambda t: F.coalesce(F.array_size(t["players"]), F.lit(0))
+    warning = lambda t: (
+        F.when(size(t) == 0, F.concat(F.lit("No players found for team: "), t["team"]))
+        .when(size(t) < least, F.format_string(f"Team %s has only %d players (expected {least}+)", t["team"], size(t)))
+        .when(size(t) > most, F.format_string("Team %s has %d players (unusually high)", t["team"], size(t)))
+    )
+    empty = F.size(known) == 0
+    return F.struct(
+        (~empty).alias("is_valid"),
+        F.array_compact(F.array(F.when(empty, F.lit("No lineup data provided")))).alias("errors"),
+        F.array_compact(F.transform(known, warning)).alias("warnings"),
+        F.size(known).alias("team_count"),
+        F.aggregate(known, F.lit(0), lambda n, t: n + size(t)).alias("total_players"),
+    )
+
+
 def completeness(expected: Column, found: Column) -> Column:
     """complete, nearly complete, partial or missing, by the share found."""
     share = F.try_divide(found, expected)

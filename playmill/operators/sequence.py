@@ -86,14 +86,19 @@ def first_scorers(df: DataFrame, keys: list[str], order: str, team: str, away: s
     return marked.groupBy(*keys).agg(F.coalesce(F.min_by(team, "__a"), F.lit("Unknown")).alias("away_team"), F.coalesce(F.min_by(team, "__h"), F.lit("Unknown")).alias("home_team"))
 
 
-def chunk_of(df: DataFrame, order: list[str], chunks: int, parts: int = 32) -> DataFrame:
+def _parts(df: DataFrame, parts: int | None, rows: int = 500_000) -> int:
+    """``parts``, or how many ranges of about ``rows`` rows there are, at least 32."""
+    return parts or max(32, -(-df.count() // rows))
+
+
+def chunk_of(df: DataFrame, order: list[str], chunks: int, parts: int | None = None) -> DataFrame:
     """Adds ``chunk``: contiguous pieces of ceil(n / chunks) rows in ``order``, numbered from 0.
 
     Rows are dealt to ranges of the order first, so numbering needs no single task.  The deal is checkpointed: it is
     counted and numbered, and both must see the same one.
     """
     shared_folder(df.sparkSession)
-    spread = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    spread = df.repartitionByRange(_parts(df, parts), *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     rn = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -101,10 +106,10 @@ def chunk_of(df: DataFrame, order: list[str], chunks: int, parts: int = 32) -> D
     return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__rn") - 1) / F.ceil(F.col("__all") / F.lit(chunks)))).drop("__part", "__rn", "__before", "__all", "__n")
 
 
-def global_place(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
+def global_place(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Adds ``place``: the number of each row in ``order`` over the whole table, from 1, without a single task."""
     shared_folder(df.sparkSession)
-    spread = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    spread = df.repartitionByRange(_parts(df, parts), *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each part
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rn = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

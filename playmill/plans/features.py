@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playmill.functions import clock, text
-from playmill.operators import asof, joins, names
+from playmill.operators import asof, joins, names, running
 from playmill.plans.registry import query
 
 SUMS = ["mins", "fg", "fga", "p3", "p3a", "ft", "fta", "orb", "drb", "trb", "ast", "pf", "stl", "tov", "blk", "pts"]
@@ -72,6 +72,17 @@ def asof_medians(box: DataFrame) -> DataFrame:
     return asof.medians_before(box.select("player", "day", "pts", "mins"), asked, "player", "day", ["pts", "mins"])
 
 
+MEDIANS = ["pts", "mins", "trb", "ast", "fga"]
+
+
+@query("a04_every_day", f"""SELECT DISTINCT player, day AS as_of_day, {', '.join(f'round(CAST(median({m}) OVER w AS DOUBLE), 1) AS {m}' for m in MEDIANS)}, count(*) OVER w AS games, max(day) OVER w AS last_day, date_diff('day', max(day) OVER w, day) AS rest_days
+FROM box WINDOW w AS (PARTITION BY player ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) QUALIFY games > 0""", "box")
+def medians_every_day(box: DataFrame) -> DataFrame:
+    """A4: exact medians before every game day of every player, by one walk of all days down the values."""
+    found = running.running_medians(box, box, ["player"], "day", MEDIANS)
+    return found.select("player", "as_of_day", *[F.round(m, 1).alias(m) for m in MEDIANS], "games", "last_day", "rest_days")
+
+
 @query("j07_fallback", """WITH cur AS (SELECT player, sum(pts) / count(*) AS ppg, count(*) AS games, date_diff('day', max(day), DATE '2000-02-01') AS rest_days FROM box WHERE season = 2000 AND day < DATE '2000-02-01' GROUP BY player),
 pri AS (SELECT player, sum(pts) / count(*) AS ppg, count(*) AS games FROM box WHERE season = 1999 GROUP BY player)
 SELECT player, round(CASE WHEN c.games >= 8 THEN c.ppg ELSE coalesce(p.ppg, 0) END, 4) AS ppg, CASE WHEN coalesce(c.games, 0) = 0 THEN 10 ELSE c.rest_days END AS rest_days, coalesce(c.games, 0) AS original_games,
@@ -85,6 +96,24 @@ def fallback(box: DataFrame) -> DataFrame:
     return asof.with_fallback(cur, prior, ["player"], ["ppg"], 8, default_rest=10).withColumn("ppg", F.round("ppg", 4))
 
 
+#: The seasons that a fallback may use.
+PRIOR_SEASONS = (1992, 1994, 1995, 1997)
+
+
+@query("j08_season_fallback", f"""WITH asked AS (SELECT DISTINCT player, season, make_date(season, 1, 25) AS day FROM box),
+cur AS (SELECT a.player, a.season, {', '.join(f'coalesce(sum(b.{c}), 0) AS {c}' for c in SUMS)}, count(b.player) AS games FROM asked a LEFT JOIN box b ON a.player = b.player AND a.season = b.season AND b.day < a.day GROUP BY a.player, a.season),
+pri AS (SELECT player, season + 1 AS season, {SUMS_SQL}, count(*) AS games FROM box WHERE season IN {PRIOR_SEASONS} GROUP BY player, season HAVING count(*) >= 5),
+met AS (SELECT c.*, p.player IS NOT NULL AND c.games < 5 AS fell, {', '.join(f'p.{c} AS p_{c}' for c in [*SUMS, 'games'])} FROM cur c LEFT JOIN pri p USING (player, season)),
+chosen AS (SELECT player, season, games AS original_games, CASE WHEN fell THEN season END AS fallback_from, {', '.join(f'CASE WHEN fell THEN p_{c} ELSE {c} END AS {c}' for c in [*SUMS, 'games'])} FROM met)
+SELECT player, season, original_games, fallback_from, games, {RATIO_SQL} FROM chosen""", "box")
+def season_fallback(box: DataFrame) -> DataFrame:
+    """Every player's season so far, or the whole season before it where that is a known one, with its tags."""
+    asked = box.select("player", "season").distinct().withColumn("day", F.make_date("season", F.lit(1), F.lit(25)))
+    current = asof.as_of(box, asked, ["player", "season"], "day", SUMS).drop("day")
+    whole = asof.totals(box.where(F.col("season").isin(*PRIOR_SEASONS)), ["player", "season"], SUMS)
+    return asof.ratios(asof.season_fallback(current, whole, "player", "season", [*SUMS, "games"], least_games=5)).drop(*SUMS)
+
+
 @query("a06_game_pivot", """WITH t AS (SELECT game_id, line, player, CASE venue WHEN 'A' THEN 'H' ELSE venue END AS venue, pts, CASE WHEN line % 3 = 0 THEN NULL ELSE CAST(line - 4 AS DOUBLE) END AS spread, row_number() OVER (PARTITION BY game_id ORDER BY line, player, pts) AS rn, count(*) OVER (PARTITION BY game_id) AS n FROM box),
 p AS (SELECT a.game_id, a.venue AS v1, b.venue AS v2, a.player AS t1, b.player AS t2, a.pts AS p1, b.pts AS p2, (a.venue = 'R' AND b.venue = 'H') OR (a.venue = 'N' AND b.venue = 'N' AND coalesce(a.spread > 0, FALSE)) AS af FROM t a JOIN t b USING (game_id) WHERE a.n = 2 AND a.rn = 1 AND b.rn = 2)
 SELECT game_id, CASE WHEN af THEN t1 ELSE t2 END AS away_team, CASE WHEN af THEN t2 ELSE t1 END AS home_team, CASE WHEN af THEN p1 ELSE p2 END AS away_score, CASE WHEN af THEN p2 ELSE p1 END AS home_score, v1 = 'N' AS neutral_site

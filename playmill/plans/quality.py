@@ -75,5 +75,17 @@ def season_report(orders: DataFrame) -> DataFrame:
 
 @query("a45_completeness", "SELECT user_id, CASE WHEN n / 70.0 >= 0.99 THEN 'complete' WHEN n / 70.0 >= 0.95 THEN 'nearly complete' WHEN n > 0 THEN 'partial' ELSE 'missing' END AS verdict FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)", "t:events")
 def completeness(events: DataFrame) -> DataFrame:
-    """A verdict by the share found."""
+    """A verdict by the share found."""
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", checks.completeness(F.lit(70), F.col("n")).alias("verdict"))
+
+
+@query("a44_rosters", """WITH r AS (SELECT user_id, event_type AS team, count(DISTINCT event_id % 37) AS n FROM events GROUP BY ALL)
+SELECT user_id, count(*) AS team_count, CAST(sum(n) AS BIGINT) AS total_players, string_agg(CASE WHEN n < 5 THEN 'Team ' || team || ' has only ' || n || ' players (expected 5+)' WHEN n > 15 THEN 'Team ' || team || ' has ' || n || ' players (unusually high)' END, '; ' ORDER BY team) AS warnings
+FROM r GROUP BY user_id""", "t:events")
+def rosters(events: DataFrame) -> DataFrame:
+    """The rosters of each game held against their usual sizes."""
+    players = events.select("user_id", F.col("event_type").alias("team"), F.concat(F.lit("P"), F.expr("event_id % 37")).alias("player")).distinct()
+    teams = players.groupBy("user_id", "team").agg(F.collect_list("player").alias("players"))
+    games = teams.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("team", "players"))).alias("teams"))
+    found = games.select("user_id", checks.roster(F.col("teams")).alias("r"))
+    return found.select("user_id", "r.team_count", F.col("r.total_players").cast("long").alias("total_players"), F.when(F.size("r.warnings") > 0, F.array_join("r.warnings", "; ")).alias("warnings"))
