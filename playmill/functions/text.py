@@ -13,12 +13,18 @@ def whole(text: Column) -> Column:
     return F.when(text.rlike(INTEGER), text.try_cast("int"))
 
 
+def score_sides(text: Column) -> tuple[Column, Column]:
+    """Away and home of ``X a - Y b``: the integer at the end of each side, null where it has none or the sides are not two."""
+    cut = " - "
+    two = F.length(text) - F.length(F.replace(text, F.lit(cut), F.lit(""))) == len(cut)
+    last = lambda count: F.regexp_extract(F.substring_index(text, cut, count), r"(?:^|\s)([+-]?\d+) *\z", 1).try_cast("int")
+    return F.when(two, last(1)), F.when(two, last(-1))
+
+
 def score_pair(text: Column) -> Column:
     """``X a - Y b`` as struct(away, home), null where either side has no integer at its end."""
-    parts = F.split(text, " - ")
-    side = lambda i: whole(F.element_at(F.split(F.trim(F.get(parts, F.lit(i))), r"\s+"), -1))
-    away, home = side(0), side(1)
-    return F.when((F.size(parts) == 2) & away.isNotNull() & home.isNotNull(), F.struct(away.alias("away"), home.alias("home")))
+    away, home = score_sides(text)
+    return F.when(away.isNotNull() & home.isNotNull(), F.struct(away.alias("away"), home.alias("home")))
 
 
 def without_parentheses(text: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playmill.functions.text import score_pair
+from playmill.functions.text import score_pair, score_sides
 
 SUCCESS = ("completed", "game_ended")
 
@@ -24,8 +24,9 @@ def with_scores(runs: DataFrame, col: str = "final_score") -> DataFrame:
 
 def realistic(runs: DataFrame, least: int = 325, most: int = 550, cap: int = 175, statuses: tuple[str, ...] = SUCCESS) -> DataFrame:
     """Successful runs of a plausible length whose scores can be read and stay below ``cap``."""
-    scored = with_scores(runs)
-    return scored.where(success(names=statuses) & F.col("successful_predictions").between(least, most) & (F.col("away") < cap) & (F.col("home") < cap))
+    away, home = score_sides(F.col("final_score"))  # both are asked for, so neither need look at the other
+    played = runs.where(success(names=statuses) & F.col("successful_predictions").between(least, most))
+    return played.withColumn("away", away).withColumn("home", home).where((F.col("away") < cap) & (F.col("home") < cap))
 
 
 def run_summary(runs: DataFrame, keys: list[str]) -> DataFrame:

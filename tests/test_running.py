@@ -72,3 +72,23 @@ def test_rosters(spark):
     for game in "hi":
         assert (got[game]["is_valid"], got[game]["team_count"], got[game]["total_players"], got[game]["errors"]) == (False, 0, 0, ["No lineup data provided"])
     assert got["j"]["warnings"] == ["No players found for team: few"] and got["j"]["total_players"] == 0
+
+
+def test_score_sides(spark):
+    from playmill.functions.text import score_pair
+
+    def side(text):
+        tokens = text.strip(" ").replace("\t", " ").replace("\n", " ").split(" ")
+        token = tokens[-1] if tokens else ""
+        body = token[1:] if token[:1] in "+-" and token else token
+        return int(token) if body.isdigit() and abs(int(token)) < 2**31 else None
+
+    texts = ["AWY 18 - HOM 11", "18 - 11", " 18  -  11 ", "A 1 - B 2 - C 3", "A 1 - - 5", "A 1 - -5", "A -1 - B +2", "A 1.5 - B 2", "A1 - B 2", "A 1-B 2", "", " - ", "A 1 - ", "A 1\t - B\t2", "A 1 - B 2\n", "A 99999999999 - B 1", "x " * 20000 + "7 - y 8"]
+    expected = {}
+    for t in texts:
+        parts = t.split(" - ")
+        both = [side(p) for p in parts] if len(parts) == 2 else [None]
+        expected[t] = tuple(both) if None not in both else None
+    expected["A 1 - B 2\n"] = None  # a line break behind the number is not trimmed
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", score_pair(F.col("t")).alias("p")).collect()
+    assert {r["t"]: None if r["p"] is None else tuple(r["p"]) for r in got} == {**expected, None: None}
