@@ -19,11 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playmill.llm.common import materialize
+from playmill.llm.common import join_hot, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
+#: Into how many parts a hub's edges are dealt.
+SALTS = 32
+
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with host and path as the rules read them."""
@@ -50,15 +53,34 @@ def host_links(pages: DataFrame) -> DataFrame:
     return lower.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, every: int = 4) -> DataFrame:
+def weighted_edges(links: DataFrame, a: str, b: str, salts: int = SALTS, hot_share: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """(edges, hubs): the links from ``a`` to ``b`` as (src, dst, weight, salt), weights of a src summing to 1, and (hub) the hot ones.
+
+    A src with more than 1 / ``hot_share`` of all edges is a hub; there are at most ``hot_share``.  A hub's edges are dealt
+    to ``salts`` parts by their dst, so a hub that holds a third of all edges comes into no single task.
+    """
+    totals = links.groupBy(a).agg(F.sum("links").alias("sent"), F.count(F.lit(1)).alias("rows"))
+    totals = materialize(totals, "degrees")
+    edges = totals.agg(F.sum("rows")).first()[0] or 0
+    totals = totals.withColumn("hub", F.col("rows") * hot_share > edges)
+    met = join_hot(links, totals, a, "rows", F.concat(F.lit("/"), F.col(b)), hot_share)  # no host holds a slash
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64(b), F.lit(salts))).otherwise(0).cast("int")
+    out = met.select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("sent")).alias("weight"), salt.alias("salt"))
+    return materialize(out, "edges"), materialize(totals.where("hub").select(F.col(a).alias("hub")), "hubs")
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, hubs: DataFrame, damping: float, rounds: int, every: int = 4, salts: int = SALTS) -> DataFrame:
     """(host, score) after ``rounds`` of score = (1 - damping) seed + damping * sum of weighted neighbours.
 
-    ``seeds``: (host, mass); ``edges``: (src, dst, weight), weights of a src summing to 1.
+    ``seeds``: (host, mass); ``edges`` and ``hubs``: as ``weighted_edges`` gives them.  A hub's score goes to each of its
+    salts, any other host's to salt 0; the hubs are few and broadcast.
     """
     start = seeds.select("host", (F.col("mass") * (1 - damping)).alias("score"))
     score = start
+    parts = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     for k in range(1, rounds + 1):
-        moved = score.join(edges, score.host == edges.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
+        sent = score.join(F.broadcast(hubs), score.host == hubs.hub, "left").select("host", "score", F.explode(parts).alias("part"))
+        moved = sent.join(edges, (sent.host == edges.src) & (sent.part == edges.salt)).select(F.col("dst").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
         score = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
         if k % every == 0 and k < rounds:
             score = materialize(score, "scores")
@@ -90,9 +112,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], damping: flo
     if links.isEmpty():
         spread = [lambda seeds: seeds.select("host", (F.col("mass") * (1 - damping)).alias("score"))] * 2
     else:
-        weigh = lambda a, b: links.join(links.groupBy(a).agg(F.sum("links").alias("__all")), a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("__all")).alias("weight"))
-        ways = [materialize(weigh(*ends), label) for ends, label in ((("src", "dst"), "forward"), (("dst", "src"), "reverse"))]
-        spread = [lambda seeds, way=way: propagate(seeds, way, damping, rounds) for way in ways]
+        ways = [weighted_edges(links, *ends) for ends in (("src", "dst"), ("dst", "src"))]
+        spread = [lambda seeds, way=way: propagate(seeds, *way, damping, rounds) for way in ways]
     nodes = hosts.select("host").union(links.select("src")).union(links.select("dst")).distinct().withColumn("mass", F.lit(1.0))
     scores = hosts.select("host", (F.col("allowed") + F.col("blocked") > 0).alias("ruled"))
     for way, (name, seeds) in zip(spread, (("trust", seed("allowed")), ("distrust", seed("blocked")))):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playmill.llm import chat, common, merkle, whitening
+from playmill.llm import chat, common, merkle, urls, whitening
 
 H = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
 
@@ -247,3 +247,36 @@ def test_pieces_of_texts_without_spaces_are_not_kept():
             assert ids == ",".join(map(str, lib.encode(text))) and decoded == text and n == ids.count(",") + 1
     codec.encode_batch(["end"])
     assert not [w for w in codec.words.young if len(w) > 64]
+
+
+# 5: a hub among the hosts
+
+
+def test_hub_edges_are_dealt_to_salts(spark):
+    pairs = [("hub.x", f"h{i}.x", 1 + i % 3) for i in range(3000)] + [(f"h{i}.x", f"h{(i * 7 + 1) % 3000}.x", 1) for i in range(3000)] + [(f"h{i}.x", "hub.x", 2) for i in range(3000)]
+    links = spark.createDataFrame(pairs, "src string, dst string, links long")
+    for a, b in (("src", "dst"), ("dst", "src")):
+        edges, hubs = urls.weighted_edges(links, a, b)
+        assert [r.hub for r in hubs.collect()] == ["hub.x"]
+        rows = edges.collect()
+        assert len(rows) == len(pairs) and {r.salt for r in rows if r.src != "hub.x"} == {0}
+        parts = {}
+        for r in rows:
+            if r.src == "hub.x":
+                parts[r.salt] = parts.get(r.salt, 0) + 1
+        assert len(parts) == 32 and max(parts.values()) < 200 and sum(parts.values()) == 3000
+        sent, weights = {}, {}
+        for p in pairs:
+            s, t = (p[0], p[1]) if a == "src" else (p[1], p[0])
+            sent[s] = sent.get(s, 0) + p[2]
+            weights[s, t] = weights.get((s, t), 0) + p[2]
+        want = {"h1.x": 0.15, "hub.x": 0.15}
+        for _ in range(3):
+            out = {"h1.x": 0.15, "hub.x": 0.15}
+            for (s, t), w in weights.items():
+                if s in want:
+                    out[t] = out.get(t, 0.0) + 0.85 * want[s] * w / sent[s]
+            want = out
+        seeds = spark.createDataFrame([("h1.x", 1.0), ("hub.x", 1.0)], "host string, mass double")
+        got = {r.host: r.score for r in urls.propagate(seeds, edges, hubs, 0.85, 3, every=2).collect()}
+        assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-12 for h in want)
