@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,11 +55,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.describe_tables(spark).where("table = 'playmill_regions'")
 
 
-@job("s17_config", "SELECT * FROM (VALUES ('games', 31), ('iterations', 550), ('runs', 25)) t(key, value)")
+@job("s17_config", "SELECT 'games' AS key, CAST(count(DISTINCT o_custkey) AS INT) AS value FROM orders UNION ALL SELECT 'runs', CAST(count(*) AS INT) FROM orders UNION ALL SELECT 'iterations', CAST(max(o_orderkey % 550) AS INT) FROM orders")
 def config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text sink and a JSON configuration read from it."""
+    """A configuration of figures of the runs, written as JSON text and read back."""
     path = scratch_path(spark, "config")
-    spark.createDataFrame([(json.dumps({"games": 31, "runs": 25, "iterations": 550}),)], "value string").coalesce(1).write.text(path)
+    figures = table(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey").alias("games"), F.count(F.lit(1)).alias("runs"), F.max(F.expr("o_orderkey % 550")).alias("iterations"))
+    figures.select(F.to_json(F.struct("*"))).write.text(path)
     return spark.createDataFrame(sorted(readers.read_config(spark, path).items()), "key string, value int")
 
 
