@@ -33,7 +33,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, limit: int = 100_0
     if (asked.agg(F.max("__d")).first()[0] or 0) <= limit:
         return _ranked(rows, asked, keys)
     rows, asked = _kept(rows), _kept(asked)
-    small = _ranked(*_part(rows, asked, keys, F.col("__d") <= limit), keys)
+    small = _ranked(*_part(rows, asked, keys, F.col("__d") <= limit, many=True), keys)
     rows, asked = _part(rows, asked, keys, F.col("__d") > limit)
     done = [small]
     # a plain sum of comparisons is compiled, where a filter over the array would be walked row by row
@@ -49,7 +49,7 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, limit: int = 100_0
         narrowed = _kept(chosen.select(*keys, "__d", (F.col("__r1") - F.col("__base")).alias("__r1"), (F.col("__r2") - F.col("__base")).alias("__r2"), "__low", "__high"))
         inside = placed.alias("p").join(narrowed.alias("w"), _same("p", "w", keys)).where("__b between __low and __high")
         rows, asked = _kept(inside.select(*[f"p.{k}" for k in keys], "p.__v", "p.__n")), narrowed.drop("__low", "__high")
-        done.append(_ranked(*_part(rows, asked, keys, F.col("__d") <= limit), keys))
+        done.append(_ranked(*_part(rows, asked, keys, F.col("__d") <= limit, many=True), keys))
         rows, asked = _part(rows, asked, keys, F.col("__d") > limit)
         if asked.isEmpty():
             return reduce(DataFrame.unionByName, done)
@@ -62,15 +62,16 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _part(rows: DataFrame, asked: DataFrame, keys: list[str], which: Column) -> tuple[DataFrame, DataFrame]:
+def _part(rows: DataFrame, asked: DataFrame, keys: list[str], which: Column, many: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The groups that fit, with their rows; ``many`` where there may be more groups than a driver can hold, none of them large."""
     wanted = asked.where(which)
-    return rows.alias("r").join(wanted.select(*keys).alias("w"), _same("r", "w", keys), "left_semi"), wanted
+    return rows.alias("r").join((wanted.hint("merge") if many else wanted).select(*keys).alias("w"), _same("r", "w", keys), "left_semi"), wanted
 
 
 def _ranked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v"))
     spans = rows.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__n"))
-    met = spans.alias("s").join(asked.alias("a"), _same("s", "a", keys))
+    met = spans.alias("s").join(asked.alias("a").hint("merge"), _same("s", "a", keys))
     value = lambda r: F.max(F.when((F.col(r) >= F.col("__from")) & (F.col(r) < F.col("__to")), F.col("__v")))
     return met.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).agg(((value("__r1") + value("__r2")) / 2).alias("median"))
 

@@ -16,6 +16,16 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
+def _met(left: DataFrame, a: str, right: DataFrame, b: str, keys: list[str], how: str = "inner", also: Column | None = None) -> DataFrame:
+    """A join of two sides that both grow with the table, always sorted and merged.
+
+    Written numbers and days take a few bits a row, so a planner that goes by the size of files would send millions of
+    rows through the driver.
+    """
+    on = _same(a, b, keys)
+    return left.alias(a).join(right.alias(b).hint("merge"), on if also is None else on & also, how)
+
+
 def _kept(df: DataFrame, label: str) -> DataFrame:
     """The rows as written to the shared folder, where they survive lost executors."""
     path = scratch_path(df.sparkSession, label)
@@ -45,20 +55,20 @@ def running_medians(facts: DataFrame, asked: DataFrame, keys: list[str], day: st
     daily = _kept(stacked.groupBy(*group, "__v", "__day").agg(F.count(F.lit(1)).alias("__n")), "daily")
     placed = global_place(daily.select(*group, "__v").distinct(), [*group, "__v"])
     least = placed.groupBy(*group).agg(F.min("place").alias("__least"))
-    codes = _kept(placed.alias("p").join(least.alias("l"), _same("p", "l", group)).select(*[f"p.{g}" for g in group], "__v", (F.col("place") - F.col("__least")).alias("__code")), "codes")
-    coded = _kept(daily.alias("d").join(codes.alias("c"), _same("d", "c", [*group, "__v"])).select(*[f"d.{g}" for g in group], "__day", "__n", "__code"), "coded")
+    codes = _kept(_met(placed, "p", least, "l", group).select(*[f"p.{g}" for g in group], "__v", (F.col("place") - F.col("__least")).alias("__code")), "codes")
+    coded = _kept(_met(daily, "d", codes, "c", [*group, "__v"]).select(*[f"d.{g}" for g in group], "__day", "__n", "__code"), "coded")
     most = codes.agg(F.max("__code")).first()[0] or 0
     depth = max(1, -(-most.bit_length() // bits))
     walkers = points.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(len(measures) - 1)))).select(*group, "__day", F.lit(0).cast("long").alias("__node"), F.lit(None).cast("long").alias("__rank"))
     for level in range(depth):
         walkers = _kept(_descended(coded, walkers, group, bits, bits * (depth - 1 - level), first=level == 0), "walkers")
-    found = walkers.alias("w").join(codes.alias("c"), _same("w", "c", group) & (F.col("w.__node") == F.col("c.__code")))
+    found = _met(walkers, "w", codes, "c", group, also=F.col("w.__node") == F.col("c.__code"))
     mids = found.groupBy(*[F.col(f"w.{k}").alias(k) for k in keys], "__day").agg(*[F.avg(F.when(F.col("w.__m") == i, F.col("__v"))).alias(m) for i, m in enumerate(measures)])
     counted = known.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n")).unionByName(points.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
     earlier = Window.partitionBy(*keys).orderBy(day_number(F.col("__day"))).rangeBetween(Window.unboundedPreceding, -1)
     played = F.max(F.when(F.col("__n").isNotNull(), F.col("__day"))).over(earlier)
     games = counted.select(*keys, "__day", "__asked", F.sum("__n").over(earlier).alias("games"), played.alias("last_day")).where("__asked and games > 0")
-    joined = games.alias("g").join(mids.alias("m"), _same("g", "m", [*keys, "__day"]), "left")
+    joined = _met(games, "g", mids, "m", [*keys, "__day"], "left")
     return joined.select(*[f"g.{k}" for k in keys], F.col("g.__day").alias(f"as_of_{day}"), *measures, "games", "last_day", F.datediff("g.__day", "last_day").alias("rest_days"))
 
 
@@ -67,7 +77,7 @@ def _descended(coded: DataFrame, walkers: DataFrame, group: list[str], bits: int
     width, at = 2**bits, [*group, "__node"]
     facts = coded.withColumn("__node", F.shiftright("__code", bits + shift)).withColumn("__branch", F.shiftright("__code", shift).bitwiseAND(F.lit(width - 1)))
     if not first:
-        facts = facts.alias("f").join(walkers.select(*at).distinct().alias("w"), _same("f", "w", at), "left_semi")
+        facts = _met(facts, "f", walkers.select(*at).distinct(), "w", at, "left_semi")
     by_day = facts.groupBy(*at, "__day").agg(*[F.sum(F.when(F.col("__branch") == i, F.col("__n"))).alias(f"__b{i}") for i in range(width)])
     both = by_day.unionByName(walkers.withColumn("__walker", F.lit(True)), allowMissingColumns=True)
     earlier = Window.partitionBy(*at).orderBy(day_number(F.col("__day"))).rangeBetween(Window.unboundedPreceding, -1)

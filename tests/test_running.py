@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from playmill.operators import asof, checks
+from playmill.operators import asof, checks, running
 from playmill.operators.running import running_medians
 
 FACTS = "player string, day date, pts double, mins double"
@@ -36,6 +36,16 @@ def test_medians_every_day(spark, bits):
     assert {tuple(r) for r in found.collect()} == plain(facts, asked)
 
 
+def test_no_side_of_a_join_passes_the_driver(spark, monkeypatch):
+    """Kept numbers are small as files whatever their rows, so the planner would broadcast them."""
+    plans, kept = [], running._kept
+    monkeypatch.setattr(running, "_kept", lambda df, label: plans.append(df) or kept(df, label))
+    facts = spark.range(400).selectExpr("id % 7 AS player", "date_add(DATE '2020-01-01', CAST(id % 40 AS INT)) AS day", "CAST(id % 300 AS DOUBLE) AS pts")
+    plans.append(running_medians(facts, facts, ["player"], "day", ["pts"]))
+    joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert [j for j in joins if "[__part" not in j] == []  # a row a range of the whole table is all that may be sent
+
+
 def test_medians_of_nothing(spark):
     facts, asked = spark.createDataFrame([], FACTS), spark.createDataFrame([("a", date(2020, 1, 1))], "player string, day date")
     assert running_medians(facts, asked, ["player"], "day", ["pts", "mins"]).collect() == []
