@@ -65,6 +65,27 @@ def test_each_rule(spark):
     assert got == {i: c[1] for i, c in enumerate(cases)}
 
 
+def test_elements_that_are_no_objects(spark):
+    missing = lambda path: ";".join(sorted(f"error play_structure {path}.{f}" for f in PLAY))
+    cases = [
+        (line(lambda u, a: u["recent_plays"].insert(0, "words")), missing("user.recent_plays[0]")),
+        (line(lambda u, a: u["recent_plays"].insert(0, None)), missing("user.recent_plays[0]")),
+        (line(lambda u, a: u["recent_plays"].append(7)), missing("user.recent_plays[1]")),
+        (line(lambda u, a: u.update(home_team=None, recent_plays=None)), "error user_context user.home_team;error user_context user.recent_plays"),
+        (line(messages=["a", {"role": "assistant"}]), "error chat_format messages[0].role"),
+        (line(messages=[None, None]), "error chat_format messages[0].role"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, line string")
+    got = {r.i: r.f for r in df.select("i", rules.said(rules.line_findings(F.col("line"), ["A", "B"])).alias("f")).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_each_part_is_read_once(spark):
+    """A column named twice is computed twice, so a plan that repeats its parts grows far faster than the rules."""
+    plan = spark.createDataFrame([("",)], "line string").where("line > ''").select(rules.line_findings(F.col("line"), ["A", "B"]).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") == 3  # the line and both contents
+
+
 def test_play_lists(spark):
     cases = [({"plays": [PLAY] * 50}, ""), ({"plays": []}, "error play_count plays"), ({"plays": [PLAY] * 51}, "error play_count plays"), ({"plays": PLAY}, "error plays plays"), ({}, "error plays plays"), ({"plays": [PLAY, {**PLAY, "quarter": 0}]}, "warning play_validation plays[1].quarter")]
     df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "i int, line string")
