@@ -37,21 +37,24 @@ class ValidatorProcessor(StatefulProcessor):
         self.patterns = handle.getMapState("patterns", "pattern string", "n int")
 
     def _loaded(self) -> tuple[State, dict[str, int]]:
-        held = self.counters.get() if self.counters.exists() else None
+        held = self.counters.get()
         if held is None:
             return State(), {}
-        plays = {name: [list(r) for r in state.get()] if state.exists() else [] for name, state in self.lists.items()}
-        seen = {k[0]: v[0] for k, v in self.patterns.iterator()} if self.patterns.exists() else {}
-        return State(**dict(zip(SCALARS, held)), patterns=dict(seen), context=plays["context"], snapshot=plays["snapshot"] if held[-1] else None), seen
+        context, snapshot = ([list(r) for r in self.lists[name].get()] if wanted else None for name, wanted in zip(LISTS, (True, held[-1])))
+        seen = {k[0]: v[0] for k, v in self.patterns.iterator()}
+        return State(**dict(zip(SCALARS, held)), patterns=dict(seen), context=context, snapshot=snapshot), seen
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # every call on a state is a round trip to the JVM, so only what is there is read and only what changed is written
         s, seen = self._loaded()
+        before = {name: getattr(s, name) for name in LISTS}
         out = _fold(pd.concat(list(rows)), s, self.limits)
         self.counters.update((*[getattr(s, n) for n in SCALARS], s.snapshot is not None))
         for name, state in self.lists.items():
-            state.clear()
             if plays := getattr(s, name):
                 state.put([tuple(p) for p in plays])
+            elif before[name]:
+                state.clear()
         for pattern in seen.keys() - s.patterns.keys():
             self.patterns.removeKey((pattern,))
         for pattern, n in s.patterns.items():

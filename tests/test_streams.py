@@ -56,3 +56,18 @@ def test_late_rows_are_dropped_and_repetitions_written_once(spark):
     hours = lambda s: windows.windowed(s, "at", "1 hour", None, [], [F.count(F.lit(1)).alias("n")], "1 hour").select(F.hour("window.start").alias("hour"), "n")
     counted = replay.replayed(df, "batch", 2, hours)[0]
     assert sorted(map(tuple, counted.collect())) == [(0, 1), (4, 1), (5, 2)]
+
+
+def test_deliveries_are_worked_out_once(spark):
+    """However many deliveries there are, the table behind them is computed a single time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(60).selectExpr("id", "CAST(id % 3 AS INT) AS batch").mapInArrow(counted, "id long, batch int")
+    out, _ = replay.replayed(rows, "batch", 3, lambda s: s.selectExpr("id * 2 AS twice"))
+    assert sorted(r.twice for r in out.collect()) == [2 * i for i in range(60)]
+    assert seen.value == 60
