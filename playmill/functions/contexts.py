@@ -17,6 +17,8 @@ STATS = ("OEFF", "DEFF", "PACE")
 TEAM = f"struct<name:string,stats:struct<{','.join(f'{s}:double' for s in STATS)},REST_DAYS:int>,players:array<struct<name:string,profile:struct<{','.join(f'{p}:double' for p in PROFILE)},MPG:int,usage:int>>>>"
 PLAY = "struct<quarter:int,time_remaining:string,score:string,players_on_court:array<struct<team:string,players:array<string>>>,player:string,description:string,shot_details:struct<team:string,points:int>>"
 VERBOSE = f"struct<away_team:{TEAM},home_team:{TEAM},recent_plays:array<{PLAY}>>"
+#: A compact record as it is read: arrays of mixed kinds as texts.
+RECORD = "struct<A:string,H:string,as:array<string>,hs:array<string>,ap:array<array<string>>,hp:array<array<string>>,L:array<struct<A:array<double>,H:array<double>>>,p:array<array<string>>>"
 #: What stands for a missing rating, rest, profile, minutes, usage, clock and quarter.
 DEFAULTS = {"OEFF": 110.0, "DEFF": 110.0, "PACE": 100.0, "REST_DAYS": 2, "profile": 0.0, "MPG": 20, "usage": 15, "clock": "12:00", "quarter": 1}
 
@@ -43,49 +45,81 @@ def _roster(team: Column) -> Column:
     return F.transform(team["players"], lambda p, i: _mixed(F.coalesce(p["name"], F.concat(F.lit("Player"), i.cast("string"))), *profile(p), _default(p["profile"]["MPG"], "MPG"), _default(p["profile"]["usage"], "usage")))
 
 
-def _score(play: Column) -> Column:
-    pair = text.score_pair(play["score"])
-    return F.struct(F.coalesce(pair["away"], F.lit(0)).alias("a"), F.coalesce(pair["home"], F.lit(0)).alias("h"))
+def facts(play: Column, away: Column, home: Column, away_names: Column, home_names: Column) -> Column:
+    """What a play says on its own, given both team codes and rosters; the score before and the line-ups around it come later."""
+    on_court = lambda code: F.flatten(F.transform(F.filter(_array(play["players_on_court"], "struct<team:string,players:array<string>>"), lambda t: t["team"] == code), lambda t: t["players"]))
+    told = F.struct(text.score_pair(play["score"]).alias("score"), nested.actor(play["player"], play["shot_details"]["team"], away_names, home_names, away, home).alias("who"))
+    return nested.let(
+        told,
+        lambda x: F.struct(
+            _default(play["quarter"], "quarter").alias("q"), clock.clock_seconds(_default(play["time_remaining"], "clock")).alias("t"),
+            F.coalesce(x["score"]["away"], F.lit(0)).alias("a"), F.coalesce(x["score"]["home"], F.lit(0)).alias("h"), x["who"]["side"].alias("side"), x["who"]["index"].alias("index"),
+            F.upper(play["description"]).alias("d"), F.coalesce(text.distance(play["description"]), F.lit("")).alias("feet"), play["shot_details"]["points"].alias("given"),
+            F.struct(nested.lineup_key(on_court(away), away_names).alias("A"), nested.lineup_key(on_court(home), home_names).alias("H")).alias("key"),
+        ),
+    )
+
+
+def scored(fact: Column, before: Column) -> Column:
+    """The points of a play: those given, else what either score grew by since the play before, which may be null."""
+    grown = F.greatest(fact["a"] - F.coalesce(before["a"], F.lit(0)), fact["h"] - F.coalesce(before["h"], F.lit(0)), F.lit(0))
+    return F.coalesce(fact["given"], grown)
+
+
+def event(fact: Column, points: Column) -> Column:
+    """struct(code, points) of a play whose points are known."""
+    return text.worded_event(fact["d"], fact["feet"], points)
+
+
+def rosters(team: Column) -> Column:
+    """The names of a team's players."""
+    return F.transform(_array(team["players"], TEAM.partition("players:array<")[2][:-2]), lambda p: p["name"])
+
+
+def codes(away: Column, home: Column) -> tuple[Column, Column]:
+    """The codes of both teams."""
+    return F.coalesce(away["name"], F.lit("AWAY")), F.coalesce(home["name"], F.lit("HOME"))
+
+
+def _head(away: Column, home: Column) -> list[Column]:
+    ac, hc = codes(away, home)
+    return [ac.alias("A"), hc.alias("H"), _ratings(away).alias("as"), _ratings(home).alias("hs"), _roster(away).alias("ap"), _roster(home).alias("hp")]
+
+
+def head_text(away: Column, home: Column) -> Column:
+    """What a compact record says of its teams, as JSON."""
+    return F.to_json(F.struct(*_head(away, home)))
 
 
 def compact_struct(context: Column) -> Column:
-    """The compact record of a verbose context, as a struct whose JSON is the record."""
+    """The compact record of a verbose context, as a struct whose JSON is the record.
+
+    Contexts that slide over the plays of a table share most plays: ``operators.contexts`` reads each of those once.
+    """
     away, home = context["away_team"], context["home_team"]
-    away_code, home_code = F.coalesce(away["name"], F.lit("AWAY")), F.coalesce(home["name"], F.lit("HOME"))
-    names = lambda team: F.transform(_array(team["players"], TEAM.partition("players:array<")[2][:-2]), lambda p: p["name"])
-    on_court = lambda p, code: F.flatten(F.transform(F.filter(_array(p["players_on_court"], "struct<team:string,players:array<string>>"), lambda t: t["team"] == code), lambda t: t["players"]))
-    key = lambda p, k: F.struct(nested.lineup_key(on_court(p, k["ac"]), k["an"]).alias("A"), nested.lineup_key(on_court(p, k["hc"]), k["hn"]).alias("H"))
-    known = F.struct(away_code.alias("ac"), home_code.alias("hc"), names(away).alias("an"), names(home).alias("hn"), _array(context["recent_plays"], PLAY).alias("plays"))
-
-    def told(k: Column, h: Column) -> Column:
-        """The tuples of plays, with the team codes and rosters of ``k`` and the keys, line-ups and scores of ``h``."""
-
-        def written(p: Column, i: Column) -> Column:
-            now, before = F.get(h["scores"], i), F.get(h["scores"], i - 1)
-            delta = F.greatest(now["a"] - F.coalesce(before["a"], F.lit(0)), now["h"] - F.coalesce(before["h"], F.lit(0)), F.lit(0))
-            event = lambda d: text.described_event(d, p["shot_details"]["points"], delta)
-            who = nested.actor(p["player"], p["shot_details"]["team"], k["an"], k["hn"], k["ac"], k["hc"])
-            lineup = F.array_position(h["lineups"], F.get(h["keys"], i)).cast("int") - 1
-            said = lambda w, code, points: F.concat(
-                _mixed(_default(p["quarter"], "quarter"), clock.clock_seconds(_default(p["time_remaining"], "clock")), F.array(now["a"], now["h"]), _mixed(w["side"], w["index"]), code),
+    away_code, home_code = codes(away, home)
+    known = F.struct(away_code.alias("ac"), home_code.alias("hc"), rosters(away).alias("an"), rosters(home).alias("hn"), _array(context["recent_plays"], PLAY).alias("plays"))
+
+    def told(fs: Column, lineups: Column) -> Column:
+        """The tuples of plays by their facts and the line-ups of all."""
+
+        def written(f: Column, i: Column) -> Column:
+            lineup = F.array_position(lineups, f["key"]).cast("int") - 1
+            said = lambda code, points: F.concat(
+                _mixed(f["q"], f["t"], F.array(f["a"], f["h"]), _mixed(f["side"], f["index"]), code),
                 F.when(points.isNotNull(), _mixed(points)).otherwise(F.array().cast("array<variant>")),
                 _mixed(lineup),
             )
             nothing = F.lit(None).cast("int")
             # an offensive foul is a turnover as well
-            both = lambda e, w: F.when(e["code"] == "o_foul", F.array(said(w, F.lit("o_foul"), nothing), said(w, F.lit("tov"), nothing))).otherwise(F.array(said(w, e["code"], e["points"])))
-            return nested.let(F.struct(event(p["description"]).alias("e"), who.alias("w")), lambda x: both(x["e"], x["w"]))
+            both = lambda e: F.when(e["code"] == "o_foul", F.array(said(F.lit("o_foul"), nothing), said(F.lit("tov"), nothing))).otherwise(F.array(said(e["code"], e["points"])))
+            return nested.let(scored(f, F.get(fs, i - 1)), lambda n: nested.let(event(f, n), both))
 
-        return F.flatten(F.transform(k["plays"], written))
+        return F.flatten(F.transform(fs, written))
 
-    def record(k: Column, h: Column) -> Column:
-        return F.struct(
-            k["ac"].alias("A"), k["hc"].alias("H"), _ratings(away).alias("as"), _ratings(home).alias("hs"), _roster(away).alias("ap"), _roster(home).alias("hp"),
-            h["lineups"].alias("L"), told(k, h).alias("p"),
-        )
-
-    held = lambda k, keys: F.struct(keys.alias("keys"), F.array_distinct(keys).alias("lineups"), F.transform(k["plays"], _score).alias("scores"))
-    return nested.let(known, lambda k: nested.let(F.transform(k["plays"], lambda p: key(p, k)), lambda keys: nested.let(held(k, keys), lambda h: record(k, h))))
+    record = lambda fs, lineups: F.struct(*_head(away, home), lineups.alias("L"), told(fs, lineups).alias("p"))
+    read = lambda k: F.transform(k["plays"], lambda p: facts(p, k["ac"], k["hc"], k["an"], k["hn"]))
+    return nested.let(known, lambda k: nested.let(read(k), lambda fs: nested.let(F.array_distinct(F.transform(fs, lambda f: f["key"])), lambda lineups: record(fs, lineups))))
 
 
 def compact_text(context: Column) -> Column:
@@ -94,46 +128,54 @@ def compact_text(context: Column) -> Column:
 
 
 def verbose_struct(record: Column) -> Column:
-    """The verbose context of a compact record's JSON; plays of fewer than six elements are left out."""
-    item = lambda p, i, kind: F.get(p, F.lit(i)).cast(kind)
+    """The verbose context of a compact record's JSON; plays of fewer than six elements are left out.
+
+    One walk over the text reads it: what is of several kinds comes as text, without a VARIANT for each element.
+    """
+    strict = {"mode": "FAILFAST"}
+    number = lambda t, kind="int": t.cast("double").cast(kind)
+    item = lambda p, i, kind: F.get(p, F.lit(i)) if kind == "string" else number(F.get(p, F.lit(i)), kind)
 
     def parts(v: Column) -> Column:
-        part = lambda path, kind: F.variant_get(v, path, kind)
         profile = lambda p: F.struct(*[item(p, i + 1, "double").alias(k) for i, k in enumerate(PROFILE)], item(p, 5, "int").alias("MPG"), item(p, 6, "int").alias("usage"))
-        roster = lambda key: F.transform(_array(part(f"$.{key}", "array<array<variant>>"), "array<variant>"), lambda p: F.struct(item(p, 0, "string").alias("name"), profile(p).alias("profile")))
-        ratings = lambda key: F.struct(*[F.coalesce(part(f"$.{key}[{i}]", "double"), F.lit(DEFAULTS[s])).alias(s) for i, s in enumerate(STATS)], F.coalesce(part(f"$.{key}[3]", "int"), F.lit(DEFAULTS["REST_DAYS"])).alias("REST_DAYS"))
+        roster = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: F.struct(item(p, 0, "string").alias("name"), profile(p).alias("profile")))
+        names = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: item(p, 0, "string"))
+        ratings = lambda key: F.struct(*[_default(item(v[key], i, "double"), s).alias(s) for i, s in enumerate(STATS)], _default(item(v[key], 3, "int"), "REST_DAYS").alias("REST_DAYS"))
         return F.struct(
-            F.coalesce(part("$.A", "string"), F.lit("AWAY")).alias("ac"), F.coalesce(part("$.H", "string"), F.lit("HOME")).alias("hc"), ratings("as").alias("as"), ratings("hs").alias("hs"), roster("ap").alias("ap"), roster("hp").alias("hp"),
-            _array(part("$.L", "array<struct<A:array<int>,H:array<int>>>"), "struct<A:array<int>,H:array<int>>").alias("L"),
-            F.filter(_array(part("$.p", "array<array<variant>>"), "array<variant>"), lambda p: F.size(p) >= 6).alias("p"),
+            F.coalesce(v["A"], F.lit("AWAY")).alias("ac"), F.coalesce(v["H"], F.lit("HOME")).alias("hc"), ratings("as").alias("as"), ratings("hs").alias("hs"), roster("ap").alias("ap"), roster("hp").alias("hp"),
+            names("ap").alias("an"), names("hp").alias("hn"), _array(v["L"], "struct<A:array<double>,H:array<double>>").alias("L"),
+            F.filter(_array(v["p"], "array<string>"), lambda p: F.size(p) >= 6).alias("p"),
         )
 
-    def fields(r: Column, p: Column) -> Column:
+    def fields(r: Column, p: Column, pair: Column) -> Column:
         scored = F.size(p) >= 7
-        who = item(p, 3, "array<variant>")
+        score, who = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
         return F.struct(
-            item(p, 0, "int").alias("quarter"), item(p, 1, "int").alias("seconds"), item(p, 2, "array<int>").alias("score"), F.get(who, F.lit(0)).cast("string").alias("side"), F.get(who, F.lit(1)).cast("int").alias("index"),
+            item(p, 0, "int").alias("quarter"), item(p, 1, "int").alias("seconds"), number(F.get(score, F.lit(0))).alias("away"), number(F.get(score, F.lit(1))).alias("home"), item(who, 0, "string").alias("side"), item(who, 1, "int").alias("index"),
             item(p, 4, "string").alias("code"), F.when(scored, item(p, 5, "int")).alias("points"), F.get(r["L"], F.when(scored, item(p, 6, "int")).otherwise(item(p, 5, "int"))).alias("lineup"),
         )
 
     def play(r: Column, f: Column) -> Column:
-        called = lambda places, players: F.filter(F.transform(places, lambda i: F.get(players, i)["name"]), lambda n: n.isNotNull())
-        court = F.array(F.struct(r["ac"].alias("team"), called(f["lineup"]["A"], r["ap"]).alias("players")), F.struct(r["hc"].alias("team"), called(f["lineup"]["H"], r["hp"]).alias("players")))
+        called = lambda places, names: F.array_compact(F.transform(places, lambda i: F.get(names, i.cast("int"))))
+        court = F.array(F.struct(r["ac"].alias("team"), called(f["lineup"]["A"], r["an"]).alias("players")), F.struct(r["hc"].alias("team"), called(f["lineup"]["H"], r["hn"]).alias("players")))
         digits = lambda n: F.lpad(n.cast("string"), 2, "0")
         return F.struct(
             f["quarter"].alias("quarter"),
             F.concat(digits(F.floor(f["seconds"] / 60)), F.lit(":"), digits(f["seconds"] % 60)).alias("time_remaining"),
-            text.score_text(F.get(f["score"], F.lit(0)), F.get(f["score"], F.lit(1)), r["ac"], r["hc"]).alias("score"),
+            text.score_text(f["away"], f["home"], r["ac"], r["hc"]).alias("score"),
             F.when(f["lineup"].isNotNull(), court).otherwise(F.array().cast("array<struct<team:string,players:array<string>>>")).alias("players_on_court"),
-            F.when(f["index"] >= 0, F.when(f["side"] == "A", F.get(r["ap"], f["index"])["name"]).when(f["side"] == "H", F.get(r["hp"], f["index"])["name"])).alias("player"),
+            F.when(f["index"] >= 0, F.when(f["side"] == "A", F.get(r["an"], f["index"])).when(f["side"] == "H", F.get(r["hn"], f["index"]))).alias("player"),
             F.concat(F.lit("Converted from "), f["code"]).alias("description"),
             F.struct(F.when(f["points"].isNotNull(), F.when(f["side"] == "A", r["ac"]).otherwise(r["hc"])).alias("team"), f["points"].alias("points")).alias("shot_details"),
         )
 
     team = lambda code, stats, players: F.struct(code.alias("name"), stats.alias("stats"), players.alias("players"))
+    # scores and actors are arrays within the tuples: all of a record are read at once
+    inner = lambda p: F.concat(F.lit("["), F.coalesce(F.get(p, F.lit(2)), F.lit("null")), F.lit(","), F.coalesce(F.get(p, F.lit(3)), F.lit("null")), F.lit("]"))
+    pairs = lambda r: F.from_json(F.concat(F.lit("["), F.array_join(F.transform(r["p"], inner), ","), F.lit("]")), "array<array<array<string>>>", strict)
     whole = lambda r: F.struct(
         team(r["ac"], r["as"], r["ap"]).alias("away_team"),
         team(r["hc"], r["hs"], r["hp"]).alias("home_team"),
-        F.transform(r["p"], lambda p: nested.let(fields(r, p), lambda f: play(r, f))).alias("recent_plays"),
+        nested.let(pairs(r), lambda q: F.transform(r["p"], lambda p, i: nested.let(fields(r, p, F.get(q, i)), lambda f: play(r, f)))).alias("recent_plays"),
     )
-    return nested.let(F.parse_json(record), lambda v: nested.let(parts(v), whole))
+    return nested.let(F.from_json(record, RECORD, strict), lambda v: nested.let(parts(v), whole))

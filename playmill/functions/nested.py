@@ -16,8 +16,11 @@ from playmill.operators.checks import is_json
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use`` of a value that is computed once, however often it names it.
+
+    The finish of an aggregate over no elements, as an element of a transformed array would be copied whole at each level.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, use)
 
 
 def roster_index(names: Column, name: Column) -> Column:

@@ -136,9 +136,11 @@ TEXT_EVENTS = [
 
 def described_event(description: Column, given_points: Column, score_delta: Column) -> Column:
     """struct(code, points) of a described play."""
-    d = F.upper(description)
-    feet = F.coalesce(distance(description), F.lit(""))
-    scored = F.coalesce(given_points, F.greatest(score_delta, F.lit(0)), F.lit(0))
+    return worded_event(F.upper(description), F.coalesce(distance(description), F.lit("")), F.coalesce(given_points, F.greatest(score_delta, F.lit(0)), F.lit(0)))
+
+
+def worded_event(d: Column, feet: Column, scored: Column) -> Column:
+    """The same of the description in upper case, its distance or '', and the points scored; each is named many times, so bind them first where nothing else does."""
     points = lambda worth: F.when(scored > 0, scored).otherwise(F.lit(worth)).cast("int")
     none = F.lit(None).cast("int")
     value = lambda name, pts=none, suffix=None: F.struct((F.concat(F.lit(name), suffix) if suffix is not None else F.lit(name)).alias("code"), pts.alias("points"))

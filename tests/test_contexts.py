@@ -66,3 +66,31 @@ def test_what_is_missing(spark):
     df = spark.createDataFrame([('{"A":"X","p":[[1,2]]}',), (None,)], "t string").select(contexts.verbose_struct(F.col("t")).alias("v"))
     first, second = [r.v for r in df.collect()]
     assert first.away_team.name == "X" and first.recent_plays == [] and second.home_team.name == "HOME" and second.recent_plays == []
+
+
+def test_windows_equal_whole_contexts(spark):
+    """Records of sliding windows are those of the whole verbose contexts, with each play's texts read below the window only."""
+    from playmill.operators.contexts import compact_windows
+
+    odd = [play(1, "08:00", "odd", "nobody", None, AWAY[2:], [], "IND"), play(None, None, None, "a", "PUTBACK offensive foul", [], HOME, "CLE"), play(2, "08:00", "CLE 5 - IND 2", "a", "PUTBACK offensive foul", AWAY, HOME, None)]
+    told = [json.dumps(p) for p in EXAMPLE["recent_plays"] + odd]
+    plays = spark.createDataFrame([(g, i, t) for g in ("x", "y") for i, t in enumerate(told)], "g string, i int, t string").select("g", "i", F.from_json("t", contexts.PLAY).alias("play"))
+    sides = [(json.dumps(EXAMPLE["away_team"]), json.dumps(EXAMPLE["home_team"]))]
+    teams = spark.createDataFrame([(g, *s) for g in ("x", "y") for s in sides], "g string, a string, h string").select("g", F.from_json("a", contexts.TEAM).alias("away_team"), F.from_json("h", contexts.TEAM).alias("home_team"))
+    rosters = (F.lit("CLE"), F.lit("IND"), F.array(*map(F.lit, AWAY)), F.array(*map(F.lit, HOME)))
+    got = compact_windows(plays, teams, rosters, ["g"], ["i"], 3)
+    assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString().split("collect_list")[0]
+    whole = F.struct("away_team", "home_team", F.col("recent").alias("recent_plays")).cast(contexts.VERBOSE)
+    rows = got.select("record", contexts.compact_text(whole).alias("theirs")).collect()
+    assert len(rows) == 2 * len(told) and all(r.record == r.theirs for r in rows)
+    assert any('"o_foul"' in r.record for r in rows) and any('"putback2"' in r.record for r in rows)
+
+
+def test_reading_builds_no_variants(spark):
+    """A compact record is read in one walk; numbers with a fraction of nothing are whole numbers."""
+    df = spark.createDataFrame([('{"ap":[["a",1,2,3,4,30.0,21]],"L":[{"A":[0.0],"H":[]}],"p":[[1.0,65,[3,0],["A",0],"2pm",2,0],[1,60,[3,0],["H",-1],"tov",7]]}',)], "t string").select(contexts.verbose_struct(F.col("t")).alias("v"))
+    assert "variant" not in df._jdf.queryExecution().optimizedPlan().toString()
+    v = df.first().v
+    first, second = v.recent_plays
+    assert (first.quarter, first.time_remaining, first.score, first.player, first.players_on_court[0].players, first.shot_details.points) == (1, "01:05", "AWAY 3 - HOME 0", "a", ["a"], 2)
+    assert second.players_on_court == [] and second.player is None and v.away_team.players[0].profile.MPG == 30
