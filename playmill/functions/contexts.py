@@ -17,8 +17,11 @@ STATS = ("OEFF", "DEFF", "PACE")
 TEAM = f"struct<name:string,stats:struct<{','.join(f'{s}:double' for s in STATS)},REST_DAYS:int>,players:array<struct<name:string,profile:struct<{','.join(f'{p}:double' for p in PROFILE)},MPG:int,usage:int>>>>"
 PLAY = "struct<quarter:int,time_remaining:string,score:string,players_on_court:array<struct<team:string,players:array<string>>>,player:string,description:string,shot_details:struct<team:string,points:int>>"
 VERBOSE = f"struct<away_team:{TEAM},home_team:{TEAM},recent_plays:array<{PLAY}>>"
-#: A compact record as it is read: arrays of mixed kinds as texts.
+#: A compact record as it is read, with arrays of mixed kinds as texts; and the same with its teams as whole texts.
 RECORD = "struct<A:string,H:string,as:array<string>,hs:array<string>,ap:array<array<string>>,hp:array<array<string>>,L:array<struct<A:array<double>,H:array<double>>>,p:array<array<string>>>"
+TEAM_TEXTS = ("A", "H", "as", "hs", "ap", "hp")
+TEXTS = f"struct<{','.join(f'{k}:string' for k in TEAM_TEXTS)},{RECORD[RECORD.index('L:') :]}"
+STRICT = {"mode": "FAILFAST"}
 #: What stands for a missing rating, rest, profile, minutes, usage, clock and quarter.
 DEFAULTS = {"OEFF": 110.0, "DEFF": 110.0, "PACE": 100.0, "REST_DAYS": 2, "profile": 0.0, "MPG": 20, "usage": 15, "clock": "12:00", "quarter": 1}
 
@@ -127,55 +130,74 @@ def compact_text(context: Column) -> Column:
     return F.to_json(compact_struct(context))
 
 
-def verbose_struct(record: Column) -> Column:
-    """The verbose context of a compact record's JSON; plays of fewer than six elements are left out.
+def _number(value: Column, kind: str = "int") -> Column:
+    return value.cast("double").cast(kind)
 
-    One walk over the text reads it: what is of several kinds comes as text, without a VARIANT for each element.
-    """
-    strict = {"mode": "FAILFAST"}
-    number = lambda t, kind="int": t.cast("double").cast(kind)
-    item = lambda p, i, kind: F.get(p, F.lit(i)) if kind == "string" else number(F.get(p, F.lit(i)), kind)
-
-    def parts(v: Column) -> Column:
-        profile = lambda p: F.struct(*[item(p, i + 1, "double").alias(k) for i, k in enumerate(PROFILE)], item(p, 5, "int").alias("MPG"), item(p, 6, "int").alias("usage"))
-        roster = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: F.struct(item(p, 0, "string").alias("name"), profile(p).alias("profile")))
-        names = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: item(p, 0, "string"))
-        ratings = lambda key: F.struct(*[_default(item(v[key], i, "double"), s).alias(s) for i, s in enumerate(STATS)], _default(item(v[key], 3, "int"), "REST_DAYS").alias("REST_DAYS"))
-        return F.struct(
-            F.coalesce(v["A"], F.lit("AWAY")).alias("ac"), F.coalesce(v["H"], F.lit("HOME")).alias("hc"), ratings("as").alias("as"), ratings("hs").alias("hs"), roster("ap").alias("ap"), roster("hp").alias("hp"),
-            names("ap").alias("an"), names("hp").alias("hn"), _array(v["L"], "struct<A:array<double>,H:array<double>>").alias("L"),
-            F.filter(_array(v["p"], "array<string>"), lambda p: F.size(p) >= 6).alias("p"),
-        )
 
-    def fields(r: Column, p: Column, pair: Column) -> Column:
+def _item(values: Column, i: int, kind: str) -> Column:
+    return F.get(values, F.lit(i)) if kind == "string" else _number(F.get(values, F.lit(i)), kind)
+
+
+def parsed(record: Column, layout: str) -> Column:
+    """A record's JSON in a layout; what does not fit it ends the job."""
+    return F.from_json(record, layout, STRICT)
+
+
+def read_teams(v: Column) -> Column:
+    """struct(ac, hc, as, hs, ap, hp, an, hn): codes, ratings, rosters and names of both teams of a record in the layout ``RECORD``."""
+    profile = lambda p: F.struct(*[_item(p, i + 1, "double").alias(k) for i, k in enumerate(PROFILE)], _item(p, 5, "int").alias("MPG"), _item(p, 6, "int").alias("usage"))
+    roster = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: F.struct(_item(p, 0, "string").alias("name"), profile(p).alias("profile")))
+    names = lambda key: F.transform(_array(v[key], "array<string>"), lambda p: _item(p, 0, "string"))
+    ratings = lambda key: F.struct(*[_default(_item(v[key], i, "double"), s).alias(s) for i, s in enumerate(STATS)], _default(_item(v[key], 3, "int"), "REST_DAYS").alias("REST_DAYS"))
+    return F.struct(
+        F.coalesce(v["A"], F.lit("AWAY")).alias("ac"), F.coalesce(v["H"], F.lit("HOME")).alias("hc"), ratings("as").alias("as"), ratings("hs").alias("hs"), roster("ap").alias("ap"), roster("hp").alias("hp"),
+        names("ap").alias("an"), names("hp").alias("hn"),
+    )
+
+
+def read_plays(r: Column, lineups: Column, tuples: Column) -> Column:
+    """The verbose plays of a record's line-ups and tuples, with the teams of ``read_teams``."""
+
+    def fields(held: Column, p: Column, pair: Column) -> Column:
         scored = F.size(p) >= 7
         score, who = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
         return F.struct(
-            item(p, 0, "int").alias("quarter"), item(p, 1, "int").alias("seconds"), number(F.get(score, F.lit(0))).alias("away"), number(F.get(score, F.lit(1))).alias("home"), item(who, 0, "string").alias("side"), item(who, 1, "int").alias("index"),
-            item(p, 4, "string").alias("code"), F.when(scored, item(p, 5, "int")).alias("points"), F.get(r["L"], F.when(scored, item(p, 6, "int")).otherwise(item(p, 5, "int"))).alias("lineup"),
+            _item(p, 0, "int").alias("quarter"), _item(p, 1, "int").alias("seconds"), _number(F.get(score, F.lit(0))).alias("away"), _number(F.get(score, F.lit(1))).alias("home"), _item(who, 0, "string").alias("side"), _item(who, 1, "int").alias("index"),
+            _item(p, 4, "string").alias("code"), F.when(scored, _item(p, 5, "int")).alias("points"), F.get(held["L"], F.when(scored, _item(p, 6, "int")).otherwise(_item(p, 5, "int"))).alias("lineup"),
         )
 
-    def play(r: Column, f: Column) -> Column:
+    def play(f: Column) -> Column:
         called = lambda places, names: F.array_compact(F.transform(places, lambda i: F.get(names, i.cast("int"))))
         court = F.array(F.struct(r["ac"].alias("team"), called(f["lineup"]["A"], r["an"]).alias("players")), F.struct(r["hc"].alias("team"), called(f["lineup"]["H"], r["hn"]).alias("players")))
         digits = lambda n: F.lpad(n.cast("string"), 2, "0")
+        shown = lambda n: F.coalesce(n.cast("string"), F.lit("null"))
         return F.struct(
             f["quarter"].alias("quarter"),
             F.concat(digits(F.floor(f["seconds"] / 60)), F.lit(":"), digits(f["seconds"] % 60)).alias("time_remaining"),
-            text.score_text(f["away"], f["home"], r["ac"], r["hc"]).alias("score"),
+            F.concat(r["ac"], F.lit(" "), shown(f["away"]), F.lit(" - "), r["hc"], F.lit(" "), shown(f["home"])).alias("score"),
             F.when(f["lineup"].isNotNull(), court).otherwise(F.array().cast("array<struct<team:string,players:array<string>>>")).alias("players_on_court"),
             F.when(f["index"] >= 0, F.when(f["side"] == "A", F.get(r["an"], f["index"])).when(f["side"] == "H", F.get(r["hn"], f["index"]))).alias("player"),
             F.concat(F.lit("Converted from "), f["code"]).alias("description"),
             F.struct(F.when(f["points"].isNotNull(), F.when(f["side"] == "A", r["ac"]).otherwise(r["hc"])).alias("team"), f["points"].alias("points")).alias("shot_details"),
         )
 
-    team = lambda code, stats, players: F.struct(code.alias("name"), stats.alias("stats"), players.alias("players"))
     # scores and actors are arrays within the tuples: all of a record are read at once
     inner = lambda p: F.concat(F.lit("["), F.coalesce(F.get(p, F.lit(2)), F.lit("null")), F.lit(","), F.coalesce(F.get(p, F.lit(3)), F.lit("null")), F.lit("]"))
-    pairs = lambda r: F.from_json(F.concat(F.lit("["), F.array_join(F.transform(r["p"], inner), ","), F.lit("]")), "array<array<array<string>>>", strict)
-    whole = lambda r: F.struct(
-        team(r["ac"], r["as"], r["ap"]).alias("away_team"),
-        team(r["hc"], r["hs"], r["hp"]).alias("home_team"),
-        nested.let(pairs(r), lambda q: F.transform(r["p"], lambda p, i: nested.let(fields(r, p, F.get(q, i)), lambda f: play(r, f)))).alias("recent_plays"),
-    )
-    return nested.let(F.from_json(record, RECORD, strict), lambda v: nested.let(parts(v), whole))
+    pairs = lambda ps: parsed(F.concat(F.lit("["), F.array_join(F.transform(ps, inner), ","), F.lit("]")), "array<array<array<string>>>")
+    held = F.struct(_array(lineups, "struct<A:array<double>,H:array<double>>").alias("L"), F.filter(_array(tuples, "array<string>"), lambda p: F.size(p) >= 6).alias("p"))
+    each = lambda h, q: F.transform(h["p"], lambda p, i: nested.let(fields(h, p, F.get(q, i)), play))
+    return nested.let(held, lambda h: nested.let(pairs(h["p"]), lambda q: each(h, q)))
+
+
+def verbose(r: Column, plays: Column) -> Column:
+    """The verbose context of teams and plays that were read."""
+    team = lambda code, stats, players: F.struct(r[code].alias("name"), r[stats].alias("stats"), r[players].alias("players"))
+    return F.struct(team("ac", "as", "ap").alias("away_team"), team("hc", "hs", "hp").alias("home_team"), plays.alias("recent_plays"))
+
+
+def verbose_struct(record: Column) -> Column:
+    """The verbose context of a compact record's JSON; plays of fewer than six elements are left out.
+
+    One walk over the text reads it: what is of several kinds comes as text, without a VARIANT for each element.
+    """
+    return nested.let(parsed(record, RECORD), lambda v: nested.let(read_teams(v), lambda r: verbose(r, read_plays(r, v["L"], v["p"]))))

@@ -70,16 +70,17 @@ def test_what_is_missing(spark):
 
 def test_windows_equal_whole_contexts(spark):
     """Records of sliding windows are those of the whole verbose contexts, with each play's texts read below the window only."""
-    from playmill.operators.contexts import compact_windows
+    from playmill.operators.contexts import compact_windows, verbose_windows
 
     odd = [play(1, "08:00", "odd", "nobody", None, AWAY[2:], [], "IND"), play(None, None, None, "a", "PUTBACK offensive foul", [], HOME, "CLE"), play(2, "08:00", "CLE 5 - IND 2", "a", "PUTBACK offensive foul", AWAY, HOME, None)]
     told = [json.dumps(p) for p in EXAMPLE["recent_plays"] + odd]
     plays = spark.createDataFrame([(g, i, t) for g in ("x", "y") for i, t in enumerate(told)], "g string, i int, t string").select("g", "i", F.from_json("t", contexts.PLAY).alias("play"))
-    sides = [(json.dumps(EXAMPLE["away_team"]), json.dumps(EXAMPLE["home_team"]))]
-    teams = spark.createDataFrame([(g, *s) for g in ("x", "y") for s in sides], "g string, a string, h string").select("g", F.from_json("a", contexts.TEAM).alias("away_team"), F.from_json("h", contexts.TEAM).alias("home_team"))
+    teams = tuple(F.from_json(F.lit(json.dumps(EXAMPLE[side])), contexts.TEAM) for side in ("away_team", "home_team"))
     rosters = (F.lit("CLE"), F.lit("IND"), F.array(*map(F.lit, AWAY)), F.array(*map(F.lit, HOME)))
     got = compact_windows(plays, teams, rosters, ["g"], ["i"], 3)
     assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString().split("collect_list")[0]
+    both = verbose_windows(got, ["g"], ["i"]).select(F.to_json("back").alias("ours"), F.to_json(contexts.verbose_struct(F.col("record"))).alias("theirs")).collect()
+    assert len(both) == 2 * len(told) and all(r.ours == r.theirs for r in both)
     whole = F.struct("away_team", "home_team", F.col("recent").alias("recent_plays")).cast(contexts.VERBOSE)
     rows = got.select("record", contexts.compact_text(whole).alias("theirs")).collect()
     assert len(rows) == 2 * len(told) and all(r.record == r.theirs for r in rows)
