@@ -91,3 +91,13 @@ def test_play_lists(spark):
     df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "i int, line string")
     got = {r.i: r.f for r in df.select("i", rules.said(rules.play_list_findings(F.col("line"))).alias("f")).collect()}
     assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_bound_values_are_not_copied(spark):
+    """A bound value is handed on as it is; an element of a transformed array would be copied at every level of a line."""
+    from playmill.functions import nested
+
+    df = spark.range(3).select(nested.let(F.struct("id", F.concat(F.lit("n"), F.col("id")).alias("t")), lambda x: F.struct(x["t"].alias("t"), (x["id"] + x["id"]).alias("n"))).alias("v"), nested.let(F.nullif("id", F.lit(1)), lambda x: F.coalesce(x, F.lit(-1))).alias("w"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("concat(") == 1
+    assert [(r.v.t, r.v.n, r.w) for r in df.collect()] == [("n0", 0, 0), ("n1", 2, -1), ("n2", 4, 2)]
