@@ -29,7 +29,7 @@ def time_rule(quarter: Column, seconds: Column, next_quarter: Column, next_secon
 
 def scoring_rule(description: Column, points: Column) -> Column:
     """Points on a play whose words say it cannot score."""
-    return description.rlike("(?i)" + "|".join(NON_SCORING)) & (points > 0)
+    return (points > 0) & description.rlike("(?i)" + "|".join(NON_SCORING))
 
 
 def is_json(text: Column) -> Column:

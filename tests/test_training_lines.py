@@ -101,3 +101,27 @@ def test_bound_values_are_not_copied(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and plan.count("concat(") == 1
     assert [(r.v.t, r.v.n, r.w) for r in df.collect()] == [("n0", 0, 0), ("n1", 2, -1), ("n2", 4, 2)]
+
+
+def test_plain_texts_are_read_by_their_schema(spark):
+    """Values of a plain text are not taken out of a VARIANT one by one; a text with a null anywhere is, and both ways find the same."""
+    fields = rules.context_fields(["A", "B"])
+    plain, other = json.dumps(USER), json.dumps({**USER, "more": None})
+    found = spark.createDataFrame([(plain,), (other,)], "t string").select(rules._typed(F.col("t"), fields).isNotNull().alias("f")).collect()
+    assert [r.f for r in found] == [True, False]
+    changes = [
+        lambda u, a: None,
+        lambda u, a: u["away_team"].update(name=7),
+        lambda u, a: u["away_team"].update(name=True, stats=[]),
+        lambda u, a: u["away_team"]["stats"].update(OEFF="high", DEFF="NaN", PACE=10**40, REST_DAYS=10**20),
+        lambda u, a: u["recent_plays"].append({**PLAY, "quarter": 1.5, "time_remaining": {"x": 1}}),
+        lambda u, a: u["recent_plays"].append([PLAY]),
+        lambda u, a: a["next_play"].update(description={"a": "miss"}),
+        lambda u, a: a["next_play"].update(description="[miss]", quarter="1"),
+        lambda u, a: a.update(next_play=[PLAY]),
+    ]
+    with_null = lambda f: lambda u, a: (f(u, a), u.update(more=None), a.update(more=None))
+    df = spark.createDataFrame([(i, line(f), line(with_null(f))) for i, f in enumerate(changes)], "i int, x string, y string")
+    got = df.select("i", *[rules.said(rules.line_findings(F.col(c), ["A", "B"])).alias(c) for c in ("x", "y")]).orderBy("i").collect()
+    assert [r.x for r in got] == [r.y for r in got]
+    assert got[0].x == "" and got[6].x == "" and "scoring_consistency" in got[7].x and "DEFF" in got[3].x and "PACE" not in got[3].x
