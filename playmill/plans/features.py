@@ -78,8 +78,8 @@ MEDIANS = ["pts", "mins", "trb", "ast", "fga"]
 @query("a04_every_day", f"""SELECT DISTINCT player, day AS as_of_day, {', '.join(f'round(CAST(median({m}) OVER w AS DOUBLE), 1) AS {m}' for m in MEDIANS)}, count(*) OVER w AS games, max(day) OVER w AS last_day, date_diff('day', max(day) OVER w, day) AS rest_days
 FROM box WINDOW w AS (PARTITION BY player ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) QUALIFY games > 0""", "box")
 def medians_every_day(box: DataFrame) -> DataFrame:
-    """A4: exact medians before every game day of every player, by one walk of all days down the values."""
-    found = running.running_medians(box, box, ["player"], "day", MEDIANS)
+    """A4: exact medians before every game day of every player, by one pass over each player's days."""
+    found = running.running_medians(box, None, ["player"], "day", MEDIANS)
     return found.select("player", "as_of_day", *[F.round(m, 1).alias(m) for m in MEDIANS], "games", "last_day", "rest_days")
 
 

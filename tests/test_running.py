@@ -36,6 +36,47 @@ def test_medians_every_day(spark, bits):
     assert {tuple(r) for r in found.collect()} == plain(facts, asked)
 
 
+@pytest.mark.parametrize("limit", [0, 100, 500_000])
+def test_groups_above_and_below_the_limit_have_the_same_medians(spark, limit):
+    rng = random.Random(7)
+    start, odd = date(2020, 1, 1), [float("nan"), float("-inf"), float("inf"), -0.0, 0.0, None]
+    facts = [(rng.choice(["hot"] * 6 + ["a", "b", None]), start + timedelta(rng.randrange(40)), float(rng.randrange(30)), rng.choice([*odd, rng.random(), -1.0])) for _ in range(500)]
+    facts += [("nans", start + timedelta(d), float("nan"), -0.0) for d in range(5)] + [("a", None, 1.0, 1.0)]
+    asked = [(f[0], start + timedelta(rng.randrange(60))) for f in facts[:80]]
+    ranked = lambda v: (v != v, v)
+
+    def median(values):
+        values = sorted((v for v in values if v is not None), key=ranked)
+        return values[len(values) // 2] if len(values) % 2 else (values[len(values) // 2 - 1] + values[len(values) // 2]) / 2 if values else None
+
+    def expected(asked):
+        for player, day in {(p, d) for p, d in asked if d}:
+            if before := [f for f in facts if f[0] == player and f[1] and f[1] < day]:
+                yield str((player, day, *[None if (m := median([f[i] for f in before])) is None else m + 0.0 for i in (2, 3)], len(before)))
+
+    df, days = spark.createDataFrame(facts, FACTS), spark.createDataFrame(asked, "player string, day date")
+    shown = lambda found: sorted(str(tuple(r)[:5]) for r in found.collect())
+    assert shown(running_medians(df, days, ["player"], "day", ["pts", "mins"], limit=limit)) == sorted(expected(asked))
+    assert shown(running_medians(df, None, ["player"], "day", ["pts", "mins"], limit=limit)) == sorted(expected([f[:2] for f in facts]))
+
+
+def test_ordinary_groups_move_once_and_keep_no_files(spark, monkeypatch):
+    """Numbers kept a level and a measure took some thirty times the room of the table."""
+    monkeypatch.setattr(running, "_kept", lambda df, label: pytest.fail(f"{label} kept"))
+    facts = spark.range(400).selectExpr("id % 7 AS player", "date_add(DATE '2020-01-01', CAST(id % 40 AS INT)) AS day", "CAST(id % 300 AS DOUBLE) AS pts", "CAST(id % 9 AS DOUBLE) AS mins")
+    plan = running_medians(facts, None, ["player"], "day", ["pts", "mins"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_no_large_group_passes_the_driver(spark, monkeypatch):
+    plans, kept = [], running._kept
+    monkeypatch.setattr(running, "_kept", lambda df, label: plans.append(df) or kept(df, label))
+    facts = spark.range(400).selectExpr("id % 7 AS player", "date_add(DATE '2020-01-01', CAST(id % 40 AS INT)) AS day", "CAST(id % 300 AS DOUBLE) AS pts")
+    plans.append(running_medians(facts, facts, ["player"], "day", ["pts"], limit=50))
+    joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert joins and [j for j in joins if "[__part" not in j and "LeftSemi" not in j and "LeftAnti" not in j] == []  # besides a row a range, the names of large groups
+
+
 def test_no_side_of_a_join_passes_the_driver(spark, monkeypatch):
     """Kept numbers are small as files whatever their rows, so the planner would broadcast them."""
     plans, kept = [], running._kept
