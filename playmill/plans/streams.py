@@ -234,6 +234,6 @@ def stream_state(steps: DataFrame) -> DataFrame:
     """The state that the stream leaves, read back from its checkpoint; no run holds more than its context."""
     spark = steps.sparkSession
     _, checkpoint = replay.replayed(_in_thirds(steps), "batch", 3, stateful.validate_stream)
-    held = replay.state_of(spark, checkpoint, "context").groupBy(F.col("key.run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("held"), F.max("list_element.seq").alias("latest"))
-    counters = replay.state_of(spark, checkpoint, "counters").select("key.run_id", *[f"value.{c}" for c in ("plays", "quarter", "seconds", "away", "home", "score_strikes", "text_strikes", "ended")])
-    return counters.join(held, "run_id", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+    kept = replay.state_of(spark, checkpoint, "context")
+    counters = [f"value.{c}" for c in ("plays", "quarter", "seconds", "away", "home", "score_strikes", "text_strikes", "ended")]
+    return kept.select("key.run_id", *counters, F.size("value.held.seq").cast("long").alias("held"), F.array_max("value.held.seq").alias("latest"))

@@ -71,3 +71,44 @@ def test_deliveries_are_worked_out_once(spark):
     out, _ = replay.replayed(rows, "batch", 3, lambda s: s.selectExpr("id * 2 AS twice"))
     assert sorted(r.twice for r in out.collect()) == [2 * i for i in range(60)]
     assert seen.value == 60
+
+
+def test_a_delivery_may_take_longer_than_any_fixed_time(spark, monkeypatch):
+    """A delivery of a large table was stopped after ten minutes, which failed the query."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    waits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, *timeout: waits.append(timeout) or wait(self, *timeout))
+    rows = spark.range(20).selectExpr("id", "CAST(id % 2 AS INT) AS batch")
+    assert replay.replayed(rows, "batch", 2, lambda s: s)[0].count() == 20
+    assert waits == [(), ()]
+
+
+def test_state_is_called_a_fixed_number_of_times_a_run():
+    """A call on state costs as much as many plays; one a pattern and a list of plays ruled the time of large tables."""
+    import json
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            Held.calls += 1
+            return self.value
+
+        def update(self, value):
+            Held.calls += 1
+            self.value = value
+
+    class Handle:
+        def __getattr__(self, kind):
+            return lambda *_: Held()
+
+    processor = stateful.ValidatorProcessor(validator.Limits(), None)
+    processor.init(Handle())
+    texts = ["P1 MISS 3PT", "SUB: P1 FOR P2", "Timeout", "foul", "rebound", "turnover", None]
+    plays = [dict(seq=i, quarter=1 + i // 20, seconds=700 if i % 9 < 4 else 700 - i, away=i, home=0, points=i % 4, description=texts[i % 7]) for i in range(60)]
+    shown = lambda part: [json.loads(r.said) for r in processor.handleInputRows((1,), iter([(1, json.dumps(p)) for p in reversed(part)]), None)][0]
+    got = shown(plays[:25]) + shown(plays[25:])
+    assert Held.calls <= 8
+    whole = validator.judged([[p.get(c) for c in validator.PLAYED] for p in plays], validator.State(), validator.Limits())
+    assert [tuple(v.values()) for v in got] == whole
