@@ -54,6 +54,34 @@ def test_whole_examples_hold_every_turn_before_the_reply(spark):
     assert replies == {"".join(map(write, range(i + 1))): f"turn {i} <\\/turn>" for i in range(1, 150, 2)}
 
 
+def test_the_chat_query_writes_out_every_context(spark, tmp_path, monkeypatch):
+    """A reply behind more than 64 turns was an example of its own block only."""
+    import duckdb
+
+    from playmill.llm import queries
+
+    df, rows = conversations(spark)
+    more = [(None, i, ("user", "assistant")[i % 2], f"n {i}") for i in range(2, 140)]
+    df.select("conv_id", "turn", "role", "text").union(spark.createDataFrame(more, TURNS)).write.parquet(str(tmp_path / "conversations.parquet"))
+    seen, read_back = [], chat.read_back
+    monkeypatch.setattr(chat, "read_back", lambda examples: seen.append(examples) or read_back(examples))
+    got = queries.op11_chat_formatting(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op11_chat_formatting"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(str(spark.createDataFrame([r], got.select(*names).schema).first()) for r in want.fetchall())
+    texts = {}
+    for r in seen[0].collect():
+        texts.setdefault(r.conv_id, []).append((r.text.count(chat.CLOSE + "\n"), r.text[r.loss_start : r.loss_end]))
+    for conv, turns in in_order(rows + more).items():
+        plain = lambda t: t.replace("\\", "\\\\").replace("### ", "#\\## ").replace(": ", ":\\ ").replace("</turn>", "<\\/turn>")
+        replies = [(i + 1, plain(t)) for i, (role, t) in enumerate(turns) if role == "assistant"]
+        tail = [(len(turns), "")] if turns[-1][0] != "assistant" else []
+        closing = [(n, "") for n in range(64, len(turns), 64) if turns[n - 1][0] != "assistant"]
+        assert sorted(texts[conv]) == sorted(replies + tail + closing)
+
+
 def test_chat_cases(spark):
     df, _ = conversations(spark)
     assert chat.read_back(chat.chat_examples(df.limit(0))).count() == 0
